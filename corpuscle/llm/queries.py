@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import packing, tokenfile
-from corpuscle.llm.common import table
+from corpuscle.llm import langid, packing, simhash, tokenfile
+from corpuscle.llm.common import crc32_mod, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +16,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_token_files)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 1)
+
+
+def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_token_files, op9_language_id, op10_simhash_neardup)}
 SQL: dict[str, str] = {}
