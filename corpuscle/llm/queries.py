@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import langid, packing, simhash, tokenfile
+from corpuscle.llm import langid, licenses, packing, simhash, tokenfile, warc
 from corpuscle.llm.common import crc32_mod, table
 
 
@@ -12,6 +12,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"), least_revisit=0)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), end_id=1)
 
@@ -24,5 +32,5 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_token_files, op9_language_id, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op5_license_scan, op6_token_files, op9_language_id, op10_simhash_neardup)}
 SQL: dict[str, str] = {}
