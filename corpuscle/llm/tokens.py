@@ -12,13 +12,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
 import regex
 
-#: Words that a worker remembers before it starts anew: a bound on memory that never changes an id.
-MAX_WORDS = 400_000
+#: Words that a worker holds in one generation, of which it keeps two: a bound on memory that never changes an id.
+MAX_WORDS = 300_000
 
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -34,16 +35,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Words and their places; a word not yet seen is coded when it is looked up."""
+    """Words and their places; a word not yet here is taken from the generation before, or else coded."""
 
-    def __init__(self, code):
+    def __init__(self, code, before: _Words | None = None):
         super().__init__()
         self.code = code
+        self.before = before
         self.flat = array("I")
         self.ends = array("Q", [0])
 
     def __missing__(self, word: str) -> int:
-        self.flat.extend(self.code(word))
+        old = self.before
+        at = None if old is None else old.get(word)
+        self.flat.extend(self.code(word) if at is None else old.flat[old.ends[at] : old.ends[at + 1]])
         self.ends.append(len(self.flat))
         k = self[word] = len(self.ends) - 2
         return k
@@ -61,20 +65,23 @@ class WordCoder:
         self.letters = byte_letters()
         self.max_words = max_words
         self.by_word = "ByteLevel" in str(self.lib.pre_tokenizer) and "Lowercase" in str(self.lib.normalizer)
-        self._forget()
-
-    def _forget(self) -> None:
         self.words = _Words(self._word)
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, tuple[int, ...]] = {}
+
+    def _next_generation(self) -> None:
+        self.words.before = None
+        self.words = _Words(self._word, self.words)
 
-    def _run(self, run: str) -> list[int]:
+    def _run(self, run: str) -> tuple[int, ...]:
         got = self.runs.get(run)
         if got is None:
+            if len(self.runs) >= self.max_words:
+                self.runs.clear()
             coded = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            got = self.runs[run] = [t.id for t in self.lib.model.tokenize(coded)]
+            got = self.runs[run] = tuple([t.id for t in self.lib.model.tokenize(coded)])
         return got
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> Sequence[int]:
         if word.isascii():
             if word.isalpha():
                 return self._run(word)
@@ -101,7 +108,7 @@ class WordCoder:
         if not self.by_word or any(s in text for s in self.specials):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.words) > self.max_words:
-            self._forget()
+            self._next_generation()
         words = self.words
         k = np.array(list(map(words.__getitem__, self._split(text))), np.int64)
         if not len(k):
