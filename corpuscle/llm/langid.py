@@ -133,24 +133,24 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_grams: int = FI
     return Filters.build(languages, found["l"].map({x: k for k, x in enumerate(languages)}).to_numpy(), found["g"].to_numpy().view(np.uint64))
 
 
-def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep_columns: tuple[str, ...] = ()) -> DataFrame:
-    """id column, ``keep_columns``, lang_pred and score (0 to 1) of every row, from its whole text alone.
+def tagged(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score (0 to 1) of every row, from its whole text alone.
 
     Null texts and texts without letters are ``und`` with score 0. The score is the best language's share of the
-    corrected counts. The filters travel as a broadcast of 8 MB for every 64 languages.
+    corrected counts. Columns lang_pred and score of the input are replaced. The filters travel as a broadcast of
+    8 MB for every 64 languages.
     """
     held = docs.sparkSession.sparkContext.broadcast(filters)
-    fields = [docs.schema[c] for c in (id_col, *keep_columns)]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    docs = docs.drop("lang_pred", "score")
+    where, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score"]
+    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for b in batches:
-            said = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            columns = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
+            said = [held.value.predict(t) for t in b.column(where).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names)
 
-    return docs.select(id_col, *keep_columns, F.col(text_col).alias("__text")).mapInArrow(of, schema)
+    return docs.mapInArrow(of, schema)
 
 
 def identify(docs: DataFrame, held_out: Column, **bounds) -> DataFrame:
@@ -161,4 +161,4 @@ def identify(docs: DataFrame, held_out: Column, **bounds) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out)
     filters = fit(rows.where(~F.col("held_out")), **bounds)
-    return predict(rows, filters, keep_columns=("held_out",))
+    return tagged(rows.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")

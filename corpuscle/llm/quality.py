@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,61 +57,94 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+def forms(word: bytes) -> list[bytes]:
+    """What stands for a word in the lexicon: the word itself and its beginnings of 4 to 10 bytes, marked by a blank."""
+    return [word, *(b" " + word[:n] for n in range(4, min(11, len(word))))]
+
+
 @dataclass
 class Evidence:
     """What a document says for itself: log-odds of being good and of being toxic."""
 
     good: np.ndarray | None
-    toxic: dict[bytes, float]
+    lexicon: dict[bytes, float]
+    toxic: np.ndarray | None
     toxic_prior: float
 
+    def __post_init__(self):
+        self.starts = {f.lstrip(b" ")[:4] for f in self.lexicon}
+
+    def signs(self, text: str | None) -> np.ndarray:
+        """Toxic words of a whole text: 1, their summed and highest log-odds, how many, how dense, log length."""
+        words = Counter(shingles.words_of(text))
+        near = [w for w in words if w[:4] in self.starts]
+        odds = [max(got) for w in near if (got := [self.lexicon[f] for f in forms(w) if f in self.lexicon])]
+        n = len(words)
+        again = sum(words[w] for w in near) if odds else 0
+        return np.array([1.0, sum(odds) / 10, max(odds, default=0.0), np.log1p(len(odds)), np.log1p(again), len(odds) / np.sqrt(n + 1.0), np.log1p(n) / 10])
+
     def __call__(self, text: str | None) -> tuple[float, float]:
         good = float(np.clip(features(text) @ self.good, -12, 12)) if self.good is not None else 0.0
-        if not self.toxic:
-            return good, self.toxic_prior
-        found = self.toxic.keys() & set(shingles.words_of(text))
-        return good, float(np.clip(self.toxic_prior + sum(self.toxic[w] for w in found), -12, 12))
+        toxic = float(np.clip(self.signs(text) @ self.toxic, -12, 12)) if self.toxic is not None else self.toxic_prior
+        return good, toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lexicon: int = LEXICON, id_col: str = "doc_id", text_col: str = "text") -> Evidence:
     """Learns the document evidence from a bounded sample of labelled rows, chosen by a hash of the id.
 
-    Quality: a logistic regression on the text's shape. Toxicity: words' log-odds between toxic and other
-    documents, each less two standard errors, so that a rare word says nothing; words for it only.
+    Quality: a logistic regression on the text's shape. Toxicity: on three quarters of the sample, the log-odds of
+    words and word beginnings between toxic and other documents, each less two standard errors, so that a rare
+    one says nothing; on the last quarter, a logistic regression on how many a document has and how dense.
     """
     named = labels.select(F.col(id_col).alias("i"), "quality", "toxic").where("i is not null").dropDuplicates(["i"])
     by_hash = Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("i"), "i")
-    chosen = named.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= sample_docs).drop("r")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("quality", "toxic", "t")
-    n = len(features(""))
+    chosen = named.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= sample_docs)
+    chosen = chosen.select("i", "quality", "toxic", (F.pmod("r", F.lit(4)) == 0).alias("late"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("quality", "toxic", "late", "t")
+    rows = keep(rows, "labelled")  # at most sample_docs documents a combination of labels
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            shape = pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))
-            words = pa.array([sorted(set(shingles.words_of(t))) for t in texts], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), shape, words], ["quality", "toxic", "shape", "words"])
-
-    kinds = ", ".join(f"{c} {labels.schema[c].dataType.simpleString()}" for c in ("quality", "toxic"))
-    sample = keep(rows.mapInArrow(read, f"{kinds}, shape array<double>, words array<binary>"), "labelled")
-    shapes = sample.select("quality", "toxic", "shape").toPandas()  # at most sample_docs a combination
-    rated = shapes[shapes["quality"].notna()]
-    good = None
-    if rated["quality"].nunique() > 1:
-        x = np.stack(rated["shape"].to_list()).reshape(-1, n)
-        good = logistic(x, (rated["quality"].to_numpy(float) > 0).astype(float))
-    sized = shapes[shapes["toxic"].notna()]
-    n_toxic, n_other = int((sized["toxic"] > 0).sum()), int((sized["toxic"] <= 0).sum())
-    toxic: dict[bytes, float] = {}
-    if n_toxic and n_other:
-        seen = sample.where("toxic is not null").select((F.col("toxic") > 0).alias("t"), F.explode("words").alias("word"))
-        counts = seen.groupBy("word").agg(F.count_if("t").alias("a"), F.count_if(~F.col("t")).alias("b")).where("a > 1")
-        a, b = F.col("a") + 0.5, F.col("b") + 0.5
-        odds = F.log(a / (n_toxic + 1.0)) - F.log(b / (n_other + 1.0)) - 2 * F.sqrt(1 / a + 1 / b)
-        toxic = {bytes(r.word): r.odds for r in counts.withColumn("odds", odds).where("odds > 1").orderBy(F.desc("odds"), "word").limit(lexicon).collect()}
+            shape = pa.array([features(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), shape], ["quality", "shape"])
+
+    kind = labels.schema["quality"].dataType.simpleString()
+    rated = rows.where("quality is not null").select("quality", "t").mapInArrow(read, f"quality {kind}, shape array<double>").toPandas()
+    good = logistic(np.stack(rated["shape"].to_list()), (rated["quality"].to_numpy(float) > 0).astype(float)) if rated["quality"].nunique() > 1 else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in batches:
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[bool(toxic)].update({f for w in set(shingles.words_of(text)) for f in forms(w)})
+        both = list(seen[0].keys() | seen[1].keys())
+        cells = [pa.array(both, pa.binary()), *(pa.array([c[f] for f in both], pa.int64()) for c in (seen[1], seen[0]))]
+        yield pa.RecordBatch.from_arrays(cells, ["form", "a", "b"])
+
+    sized = rows.where("toxic is not null").withColumn("toxic", F.col("toxic") > 0)
+    early = sized.where(~F.col("late")).groupBy("toxic").count().collect()
+    n = {r["toxic"]: r["count"] for r in early}
     share = labels.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.01
-    share = min(0.99, max(0.001, share))
-    return Evidence(good, toxic, float(np.log(share / (1 - share))))
+    prior = float(np.log(share / (1 - share))) if share < 1 else 12.0
+    if len(n) < 2:
+        return Evidence(good, {}, None, prior)
+    counts = sized.where(~F.col("late")).select("toxic", "t").mapInArrow(count, "form binary, a long, b long").groupBy("form").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 3")
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (n[True] + 1.0)) - F.log(b / (n[False] + 1.0)) - 2 * F.sqrt(1 / a + 1 / b)
+    top = counts.withColumn("odds", odds).where("odds > 0.7").orderBy(F.desc("odds"), "form").limit(lexicon).collect()
+    found = Evidence(good, {bytes(r.form): r.odds for r in top}, None, prior)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            signs = pa.array([found.signs(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), signs], ["toxic", "signs"])
+
+    late = sized.where("late").select("toxic", "t").mapInArrow(sign, "toxic boolean, signs array<double>").toPandas()
+    if late["toxic"].nunique() > 1:
+        y = late["toxic"].to_numpy(float)
+        found.toxic = logistic(np.stack(late["signs"].to_list()), y, ridge=0.1)
+        found.toxic[0] += prior - np.log(y.mean() / (1 - y.mean()))  # the sample is balanced, the corpus is not
+    return found
 
 
 def _logit(p):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import langid, licenses, packing, simhash, tokenfile, warc
+from corpuscle.llm import decontaminate, langid, licenses, packing, quality, simhash, tokenfile, warc
 from corpuscle.llm.common import crc32_mod, table
 
 
@@ -16,6 +16,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"), least_revisit=0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, least=0.8)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 1)
 
@@ -32,5 +40,5 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op5_license_scan, op6_token_files, op9_language_id, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op5_license_scan, op6_token_files, op7_decontamination, op9_language_id, op10_simhash_neardup)}
 SQL: dict[str, str] = {}
