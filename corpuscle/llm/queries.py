@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import decontaminate, langid, licenses, packing, quality, simhash, tokenfile, warc
+from corpuscle.llm import ann, decontaminate, html, langid, licenses, packing, quality, simhash, tokenfile, warc
 from corpuscle.llm.common import crc32_mod, table
 
 
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, factor=1.0)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, least=0.8)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 1)
 
@@ -40,5 +48,5 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op5_license_scan, op6_token_files, op7_decontamination, op9_language_id, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op4_nearest_neighbours, op5_license_scan, op6_token_files, op7_decontamination, op8_html_extraction, op9_language_id, op10_simhash_neardup)}
 SQL: dict[str, str] = {}
