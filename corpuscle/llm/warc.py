@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def write_warc(pages: DataFrame, path: str, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes one WARC/1.1 record a row into archives under ``path``.
+def write_warc(pages: DataFrame, path: str, least_revisit: int = 0, compression: str = "gzip", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Writes one WARC/1.1 record a row into archives under ``path``, by default compressed.
 
     The payload is the page in UTF-8; null is empty. Of the rows whose payloads of at least ``least_revisit``
     bytes are equal, those with the smallest id are ``response`` records; the others are ``revisit`` records
@@ -67,7 +68,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 0, id_col: str
     )
     record = F.concat(head, F.when(again, "").otherwise(F.col("html")))
     # A record ends in two line breaks; as the writer's line separator they make its text files WARC files.
-    rows.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", compression).text(path)
 
 
 def candidates(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -116,6 +117,7 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Reads every archive under ``path``: one row a record that the chain of boundaries reaches.
 
+    Compressed archives are unpacked, so offsets are those of the records themselves. Columns:
     archive, record_offset, page_id, url, record_type, refers_to, payload_bytes, payload_digest (of the payload found;
     a revisit's from its fields) and, if asked for, payload. Tasks emit each candidate with its successor's offset;
     an archive's candidates, a few numbers each, then meet in one group whose size its archive bounds. Heads that
@@ -132,7 +134,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         for b in batches:
             for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for at, successor, f, payload in candidates(content.as_py()):
+                raw = content.as_py()
+                for at, successor, f, payload in candidates(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     again = f.get("warc-type") == "revisit"
                     size = int(f.get("x-payload-length", "0")) if again else len(payload)
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") if again else base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -144,7 +147,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         return rows[reachable(rows["record_offset"].to_numpy(np.int64), rows["successor"].to_numpy(np.int64))]
 
     # small archives: a handful to a task
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
     return files.mapInArrow(scan, schema).groupBy("archive").applyInPandas(verify, schema).drop("successor")
 
 
