@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _CHECKPOINT = "spark.checkpoint.dir"
 
@@ -60,3 +61,17 @@ def kept_path(df: DataFrame) -> str:
 def crc32_mod(column: str, modulus: int):
     """crc32 of a key written as text, modulo a number; null keys count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def smallest_hashes(rows: DataFrame, group: list[str], key: str, most: int) -> DataFrame:
+    """Of each group the ``most`` rows with the smallest hashes of their key: a sample that any run draws alike.
+
+    Rows far beyond the bound are left out by their hash before anything is sorted, at twice the share that the group's
+    size calls for; what is ranked is then about twice ``most`` rows a group, whatever the group's size.
+    """
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    share = F.pmod(F.xxhash64(F.lit(7), F.col(f"a.{key}")), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.alias("a").join(sizes.alias("b"), same).where(share * F.col("__n") <= 2.0 * most + 20).select("a.*", share.alias("__u"))
+    order = Window.partitionBy(*group).orderBy("__u", key)
+    return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__u").withColumnRenamed("__r", "place")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuscle.llm.common import keep
+from corpuscle.llm.common import keep, smallest_hashes
 
 ORDERS = (2, 3, 4)
 SLOT_BITS, PROBES = 20, 3
@@ -106,8 +106,7 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_grams: int = FI
     """
     spark = train.sparkSession
     narrow = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    by_hash = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = narrow.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= sample_docs).select("i", "l")
+    chosen = smallest_hashes(narrow, ["l"], "i", sample_docs).select("i", "l")
     rows = train.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen.distinct()), ["i", "l"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

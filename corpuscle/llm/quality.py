@@ -10,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuscle.llm import shingles
-from corpuscle.llm.common import keep
+from corpuscle.llm.common import keep, smallest_hashes
 
 #: Bound of the fit: labelled documents read of each combination of labels.
 SAMPLE_DOCS = 1500
@@ -97,9 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lexi
     one says nothing; on the last quarter, a logistic regression on how many a document has and how dense.
     """
     named = labels.select(F.col(id_col).alias("i"), "quality", "toxic").where("i is not null").dropDuplicates(["i"])
-    by_hash = Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("i"), "i")
-    chosen = named.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= sample_docs)
-    chosen = chosen.select("i", "quality", "toxic", (F.pmod("r", F.lit(4)) == 0).alias("late"))
+    chosen = smallest_hashes(named, ["quality", "toxic"], "i", sample_docs)
+    chosen = chosen.select("i", "quality", "toxic", (F.pmod("place", F.lit(4)) == 0).alias("late"))
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("quality", "toxic", "late", "t")
     rows = keep(rows, "labelled")  # at most sample_docs documents a combination of labels
 
