@@ -16,10 +16,10 @@ def _probe(spark, d):
     return list(row[0]) if row else [0.0]
 
 
-@query(f"SELECT vec_id, round({_COS}, 6) AS distance FROM embeddings e, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) p ORDER BY {_COS}, vec_id LIMIT 10")
+@query(f"SELECT vec_id, round({_COS}, 6) + 0.0 AS distance FROM embeddings e, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) p ORDER BY {_COS}, vec_id LIMIT 10")
 def k1_vector_topk(spark, d):
     top = retrieval.vector_topk(table(spark, d, "embeddings"), _probe(spark, d), 10, "vec_id", "embedding")
-    return top.select("vec_id", F.round("distance", 6).alias("distance"))
+    return top.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length, 1.0::DOUBLE AS unit_length FROM embeddings")
