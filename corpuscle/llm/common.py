@@ -69,7 +69,8 @@ def smallest_hashes(rows: DataFrame, group: list[str], key: str, most: int) -> D
     Rows far beyond the bound are left out by their hash before anything is sorted, at twice the share that the group's
     size calls for; what is ranked is then about twice ``most`` rows a group, whatever the group's size.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    # stored, so that Spark knows how small it is and does not shuffle the rows to meet it
+    sizes = keep(rows.groupBy(*group).agg(F.count("*").alias("__n")), "sizes")
     same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
     share = F.pmod(F.xxhash64(F.lit(7), F.col(f"a.{key}")), F.lit(1 << 30)) / float(1 << 30)
     near = rows.alias("a").join(sizes.alias("b"), same).where(share * F.col("__n") <= 2.0 * most + 20).select("a.*", share.alias("__u"))
