@@ -83,10 +83,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     table gives an empty one; other columns are ignored.
     """
     fps = keep(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
-    first = keep(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
+    first = keep(fps.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "classes")
     linked = components(fingerprint_links(first), "a", "b").withColumnRenamed("node", "fp")
     least = linked.join(first, "fp").groupBy("component").agg(F.min("first").alias("least"))
     moved = linked.join(least, "component").select("fp", "least")
-    classes = first.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    classes = keep(first.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "classes")
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(classes, "fp").select(id_col, hex_, "component_id")
+    # Fingerprints of more than a thousandth of all rows: fewer than a thousand, whose rows never meet in one task.
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = classes.where(F.col("n") > total / 1000).select("fp", F.col("component_id").alias("hot"))
+    rows = fps.join(F.broadcast(hot), "fp", "left")
+    met = rows.where("hot is not null").select(id_col, "fp", F.col("hot").alias("component_id"))
+    others = rows.where("hot is null").select(id_col, "fp").join(classes.select("fp", "component_id"), "fp")
+    return met.unionByName(others).select(id_col, hex_, "component_id")
