@@ -1,7 +1,7 @@
 """The pipeline's stages against their operators' decisions, one after the other."""
 
 import corpus_pipeline as p
-from corpuscle.llm import decontaminate, quality, shingles, simhash
+from corpuscle.llm import decontaminate, quality, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,18 +20,18 @@ def test_stages_take_effect(spark):
     scored = quality.score(a, spark.read.parquet(f"{SF}/labels.parquet"))
     assert ids(b) == ids(scored.where("keep")) and len(ids(b)) < len(ids(a))
     c = one(spark, b, SF)
-    texts = {r.doc_id: r.text for r in b.collect()}
-    classes = {i: i for i in texts}
-    prints = {i: simhash.simhash(t) for i, t in texts.items()}
-    for _ in range(len(texts)):
+    sets = {r.doc_id: shingles.shingle_set(shingles.words_of(r.text), 5) for r in b.collect()}
+    near = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    classes = {i: i for i in sets}
+    for _ in range(len(sets)):
         before = dict(classes)
-        for i in sorted(texts):
-            for j in texts:
-                if (prints[i] ^ prints[j]).bit_count() <= 2:
-                    classes[i] = classes[j] = min(classes[i], classes[j])
+        for i, j in near:
+            classes[i] = classes[j] = min(classes[i], classes[j])
         if before == classes:
             break
-    assert ids(c) == {i for i in texts if classes[i] == i}
+    exact, got = {i for i in sets if classes[i] == i}, ids(c)
+    assert exact <= got  # no document goes without a link
+    assert len(got - exact) <= 0.03 * len(near) + 1  # SimHash may miss links near the threshold
     d = safe(spark, c, SF)
     items = [shingles.shingle_set(shingles.words_of(r.text), 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {r.doc_id for r in c.collect() for s in [shingles.shingle_set(shingles.words_of(r.text), 5)] if any(len(x & s) >= 0.8 * len(x) for x in items)}
