@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Spark hands to Python at once: whole documents are long, and an executor holds a batch several times.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +58,17 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_batches(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` on batches of at most ``BATCH_ROWS`` rows; the session's own limit stays if it is lower.
+
+    Spark reads the limit when the plan runs, so it is lowered for the session and not for one call.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+    return df.mapInArrow(of, schema)
+
+
 def kept_path(df: DataFrame) -> str:
     """Folder of a table that ``keep`` has written."""
     return df.inputFiles()[0].rsplit("/", 1)[0]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import shingles
+from corpuscle.llm.common import in_batches
 
 #: Items in one block of the index: what is collected and broadcast at once. More items make more blocks.
 BLOCK_ITEMS = 20_000
@@ -118,7 +119,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, least: float = 0.8,
                 item = pa.array(columns[1]) if rows else pa.nulls(0, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field(0).type), item, pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], [id_col, item_col, "containment", "n_shared", "n_shingles"])
 
-        found = docs.select(id_col, text_col).mapInArrow(of, schema)
+        found = docs.select(id_col, text_col).transform(in_batches, of, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -134,5 +135,5 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 5, least: float = 0.8,
             for b in batches:
                 yield b.filter(pa.array([not held.value.search(t) for t in b.column(where).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(of, docs.schema)
+        docs = docs.transform(in_batches, of, docs.schema)
     return docs

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuscle.llm.common import keep, smallest_hashes
+from corpuscle.llm.common import in_batches, keep, smallest_hashes
 
 ORDERS = (2, 3, 4)
 SLOT_BITS, PROBES = 20, 3
@@ -118,7 +118,7 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_grams: int = FI
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["l", "g", "n"])
 
-    counts = keep(rows.select("l", "t").mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
+    counts = keep(rows.select("l", "t").transform(in_batches, count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
     totals = {r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # one row a language
     if not totals:
         return Filters([], np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0))
@@ -149,7 +149,7 @@ def tagged(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
             said = [held.value.predict(t) for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names)
 
-    return docs.mapInArrow(of, schema)
+    return docs.transform(in_batches, of, schema)
 
 
 def identify(docs: DataFrame, held_out: Column, **bounds) -> DataFrame:

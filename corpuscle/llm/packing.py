@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import tokens
-from corpuscle.llm.common import keep
+from corpuscle.llm.common import in_batches, keep
 
 #: Pieces that one task packs, about: bounds its memory and leaves well under a bin in a thousand to the edges.
 GROUP_PIECES = 8192
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             n = 5 + with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:n], kinds[:n], strict=True)], names[:n])
 
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return docs.select(id_col, text_col).transform(in_batches, cut, schema)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import shingles
-from corpuscle.llm.common import keep, smallest_hashes
+from corpuscle.llm.common import in_batches, keep, smallest_hashes
 
 #: Bound of the fit: labelled documents read of each combination of labels.
 SAMPLE_DOCS = 1500
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lexi
             yield pa.RecordBatch.from_arrays([b.column(0), shape], ["quality", "shape"])
 
     kind = labels.schema["quality"].dataType.simpleString()
-    rated = rows.where("quality is not null").select("quality", "t").mapInArrow(read, f"quality {kind}, shape array<double>").toPandas()
+    rated = rows.where("quality is not null").select("quality", "t").transform(in_batches, read, f"quality {kind}, shape array<double>").toPandas()
     good = logistic(np.stack(rated["shape"].to_list()), (rated["quality"].to_numpy(float) > 0).astype(float)) if rated["quality"].nunique() > 1 else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lexi
     prior = float(np.log(share / (1 - share))) if share < 1 else 12.0
     if len(n) < 2:
         return Evidence(good, {}, None, prior)
-    counts = sized.where(~F.col("late")).select("toxic", "t").mapInArrow(count, "form binary, a long, b long").groupBy("form").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 3")
+    counts = sized.where(~F.col("late")).select("toxic", "t").transform(in_batches, count, "form binary, a long, b long").groupBy("form").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 3")
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (n[True] + 1.0)) - F.log(b / (n[False] + 1.0)) - 2 * F.sqrt(1 / a + 1 / b)
     top = counts.withColumn("odds", odds).where("odds > 0.7").orderBy(F.desc("odds"), "form").limit(lexicon).collect()
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lexi
             signs = pa.array([found.signs(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), signs], ["toxic", "signs"])
 
-    late = sized.where("late").select("toxic", "t").mapInArrow(sign, "toxic boolean, signs array<double>").toPandas()
+    late = sized.where("late").select("toxic", "t").transform(in_batches, sign, "toxic boolean, signs array<double>").toPandas()
     if late["toxic"].nunique() > 1:
         y = late["toxic"].to_numpy(float)
         found.toxic = logistic(np.stack(late["signs"].to_list()), y, ridge=0.1)
@@ -181,7 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s[0] for s in said], pa.float64()), pa.array([s[1] for s in said], pa.float64())], [id_col, "site", "g", "t"])
 
     site = F.regexp_replace(F.coalesce(F.col(site_col).cast("string"), F.lit("")), "^[a-z]+://", "")
-    rows = keep(docs.select(F.col(id_col), site.alias("site"), F.col(text_col)).mapInArrow(of, f"{id_col} {kind}, site string, g double, t double"), "evidence")
+    rows = keep(docs.select(F.col(id_col), site.alias("site"), F.col(text_col)).transform(in_batches, of, f"{id_col} {kind}, site string, g double, t double"), "evidence")
     rows = rows.select(id_col, F.substring_index("site", "/", 1).alias("host"), F.coalesce(F.get(F.split("site", "/"), F.lit(1)), F.lit("")).alias("path"), "g", "t")
     sure = lambda c: 1 / (1 + F.exp(-F.col(c)))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(sure("g")).alias("sg"), F.sum(sure("t")).alias("st"))

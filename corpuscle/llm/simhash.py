@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import shingles
-from corpuscle.llm.common import keep
+from corpuscle.llm.common import in_batches, keep
 from corpuscle.llm.components import components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             fp = np.array([simhash(t, words, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(of, f"{id_col} {kind}, fp long")
+    return docs.select(id_col, text_col).transform(in_batches, of, f"{id_col} {kind}, fp long")
 
 
 def _anchors(fp: Column) -> Column:
@@ -143,7 +143,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
             fps = pa.array([lanes_of(t, lanes).view(np.int64).tolist() for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), same, fps], [id_col, "same", "fps"])
 
-    rows = keep(docs.select(id_col, text_col).mapInArrow(read, f"{id_col} {kind}, same binary, fps array<long>"), "lanes")
+    rows = keep(docs.select(id_col, text_col).transform(in_batches, read, f"{id_col} {kind}, same binary, fps array<long>"), "lanes")
     first = keep(rows.where(F.col(id_col).isNotNull()).groupBy("same").agg(F.min(id_col).alias("rep"), F.first("fps").alias("fps")), "texts")
     members = first.select("rep", F.posexplode("fps").alias("lane", "fp"))
     groups = keep(members.groupBy("lane", "fp").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")), "groups")
@@ -163,7 +163,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     named = keep(pairs.select(F.col("u").alias(id_col)).unionByName(pairs.select(F.col("v").alias(id_col))).distinct(), "named")
-    texts = docs.select(id_col, text_col).join(named, id_col, "left_semi").mapInArrow(cut, f"rep {kind}, shingles binary")
+    texts = docs.select(id_col, text_col).join(named, id_col, "left_semi").transform(in_batches, cut, f"rep {kind}, shingles binary")
     sets = keep(texts.dropDuplicates(["rep"]), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["u", "v"])
 
     sized = pairs.join(sets.withColumnsRenamed({"rep": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"rep": "v", "shingles": "y"}), "v")
-    links = sized.select("u", "v", "x", "y").mapInArrow(check, f"u {kind}, v {kind}")
+    links = sized.select("u", "v", "x", "y").transform(in_batches, check, f"u {kind}, v {kind}")
     classes = components(links, "u", "v").withColumnsRenamed({"node": "rep"})
     reps = first.select("same", "rep").join(classes, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return rows.select(id_col, "same").join(reps, "same", "left").select(id_col, "component_id")

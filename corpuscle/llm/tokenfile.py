@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import tokens
-from corpuscle.llm.common import discard, keep, kept_path, shared_path
+from corpuscle.llm.common import discard, in_batches, keep, kept_path, shared_path
 
 #: Ids after which a block is closed; a block holds whole documents, so a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 19
@@ -72,7 +72,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(encode, "part int, key long, ids binary")
+    return rows.repartitionByRange(parts, "key").sortWithinPartitions("key").transform(in_batches, encode, "part int, key long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1,
@@ -99,7 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("ids").transform(in_batches, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))]  # no longer than the vocabulary
     spark.createDataFrame([(k, i) for k, i in enumerate(order)], "rank int, id long").coalesce(1).write.parquet(f"{path}/vocab")
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield close()
 
     # A file of the stored ids holds one part in order and one row group, so that one task reads it, from its start.
-    ids.mapInArrow(pack, "part int, block int, start long, n_docs int, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ids.transform(in_batches, pack, "part int, block int, start long, n_docs int, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     discard(spark, kept_path(ids)) if order else None
 
 
@@ -166,7 +166,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False, id_
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return blocks.select("part", "start", "n_docs", "n_tokens", "payload").mapInArrow(decode, schema)
+    return blocks.select("part", "start", "n_docs", "n_tokens", "payload").transform(in_batches, decode, schema)
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import shared_path
+from corpuscle.llm.common import in_batches, shared_path
 
 #: Records in one archive at most; archives roll over, as is usual, so that one task can hold one.
 ARCHIVE_RECORDS = 4000
@@ -148,7 +148,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
     # small archives: a handful to a task
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
-    return files.mapInArrow(scan, schema).groupBy("archive").applyInPandas(verify, schema).drop("successor")
+    return files.transform(in_batches, scan, schema).groupBy("archive").applyInPandas(verify, schema).drop("successor")
 
 
 def archive_digest(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
