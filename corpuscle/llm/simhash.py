@@ -68,16 +68,20 @@ def _anchors(fp: Column) -> Column:
     return F.array_compact(F.array(own, *(F.when(loose.bitwiseAND(x) != 0, own.bitwiseXOR(x)) for x in bit)))
 
 
-def fingerprint_links(fps: DataFrame, fp_col: str = "fp", lane_col: str | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, fp_col: str = "fp", lane_col: str | None = None, class_col: str | None = None) -> DataFrame:
     """Pairs a < b of distinct fingerprints at 1 or 2 differing bits, each once (with ``lane_col``: within a lane).
 
     Every fingerprint is sent to the anchors within reach and compared there with the others sent to it. A
-    fingerprint has at most 2080 neighbours within two bits, whatever the number of documents that share it.
+    fingerprint has at most 2080 neighbours within two bits, whatever the number of documents that share it. With
+    ``class_col``, pairs within one class (not null) are left out: they are joined already.
     """
     lane = F.lit(0) if lane_col is None else F.col(lane_col)
-    sent = fps.select(F.col(fp_col).alias("fp"), lane.alias("lane")).where("fp is not null").distinct().select("fp", "lane", F.explode(_anchors(F.col("fp"))).alias("anchor"))
-    a, b = sent.withColumnRenamed("fp", "a"), sent.withColumnRenamed("fp", "b")
+    held = [] if class_col is None else [F.col(class_col).alias("class")]
+    sent = fps.select(F.col(fp_col).alias("fp"), lane.alias("lane"), *held).where("fp is not null").distinct().select("fp", "lane", *(["class"] * len(held)), F.explode(_anchors(F.col("fp"))).alias("anchor"))
+    a, b = (sent.withColumnsRenamed({"fp": x, "class": f"class_{x}"}) for x in "ab")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    if held:
+        close &= F.coalesce(F.col("class_a") != F.col("class_b"), F.lit(True))
     found = a.join(b, ["lane", "anchor"]).where(close).select("lane", "a", "b").distinct()
     return found.drop("lane") if lane_col is None else found
 
@@ -129,6 +133,11 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     is found in 97 of 100 cases (measured on dispersed edits), a closer one more surely. Every candidate pair is then
     checked exactly on distinct shingles of ``words`` words; texts with fewer are one shingle.
 
+    Pairs are sought in two rounds, so that a large class costs a few pairs a text and not the square of its size. The
+    first ties a text to the least text of its fingerprint in each lane, and that one to the least text of the commonest
+    fingerprint within two bits under the same anchor. The second seeks all pairs, but only between classes that
+    the first has left apart; a pair within a class could join nothing. Both rounds check pairs in the same way.
+
     Equal texts are one entry from the start. Texts that share a lane's fingerprint are not paired with each other but with
     the least and the greatest of them, in each lane anew; chains do the rest. Null counts as empty, empty texts are one
     class, repeated rows stay, a null id gets the least id of its class; an empty table gives an empty one; other
@@ -146,37 +155,59 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     rows = keep(docs.select(id_col, text_col).transform(in_batches, read, f"{id_col} {kind}, same binary, fps array<long>"), "lanes")
     first = keep(rows.where(F.col(id_col).isNotNull()).groupBy("same").agg(F.min(id_col).alias("rep"), F.first("fps").alias("fps")), "texts")
     members = first.select("rep", F.posexplode("fps").alias("lane", "fp"))
-    groups = keep(members.groupBy("lane", "fp").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")), "groups")
+    groups = keep(members.groupBy("lane", "fp").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")), "groups")
     ends = members.join(groups.where("lo <> hi"), ["lane", "fp"])
-    near = fingerprint_links(groups, lane_col="lane")
-    near = near.join(groups.withColumnsRenamed({"fp": "a", "lo": "u", "hi": "u2"}), ["lane", "a"]).join(groups.withColumnsRenamed({"fp": "b", "lo": "v", "hi": "v2"}), ["lane", "b"])
     pair = lambda df, a, b: df.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    pairs = pair(ends, "rep", "lo").unionByName(pair(ends, "rep", "hi")).unionByName(pair(near, "u", "v")).unionByName(pair(near, "u2", "v2"))
-    pairs = keep(pairs.where("u <> v").distinct(), "pairs")
+
+    at = groups.select("lane", "fp", "lo", "n", F.get(_anchors(F.col("fp")), 0).alias("anchor"))
+    best = at.groupBy("lane", "anchor").agg(F.max_by(F.struct("fp", "lo"), F.struct("n", "fp")).alias("best"))
+    tied = at.join(best, ["lane", "anchor"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("best.fp"))) <= 2)
+    early = pair(ends, "rep", "lo").unionByName(pair(tied, "lo", F.col("best.lo"))).where("u <> v").distinct()
+    links = _similar(docs, keep(early, "pairs"), least, words, id_col, text_col)
+    joined = keep(components(links, "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
+
+    class_of = lambda df, c, to: df.join(joined.withColumnsRenamed({"rep": c, "class": to}), c, "left")
+    near = fingerprint_links(class_of(groups, "lo", "class"), lane_col="lane", class_col="class")
+    near = near.join(groups.select("lane", F.col("fp").alias("a"), F.col("lo").alias("u"), F.col("hi").alias("u2")), ["lane", "a"])
+    near = near.join(groups.select("lane", F.col("fp").alias("b"), F.col("lo").alias("v"), F.col("hi").alias("v2")), ["lane", "b"])
+    late = pair(ends, "rep", "hi").unionByName(pair(near, "u", "v")).unionByName(pair(near, "u2", "v2")).where("u <> v").distinct()
+    apart = class_of(class_of(late, "u", "cu"), "v", "cv").where(F.coalesce(F.col("cu") != F.col("cv"), F.lit(True))).select("u", "v")
+    more = _similar(docs, keep(apart, "pairs"), least, words, id_col, text_col)
+    classes = components(more.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep"})
+    reps = first.select("same", "rep").join(classes, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return rows.select(id_col, "same").join(reps, "same", "left").select(id_col, "component_id")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Of stored pairs u, v of ids, those whose texts' distinct shingles have a Jaccard similarity of ``least`` or more.
+
+    Shingles are compared by 40 bits of their hashes, ascending."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
             for t in b.column(1).to_pylist():
                 w = shingles.word_hashes(t)
-                sets.append(np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w))))).tobytes())
+                h = np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w)))) >> np.uint64(24))
+                sets.append(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
-    named = keep(pairs.select(F.col("u").alias(id_col)).unionByName(pairs.select(F.col("v").alias(id_col))).distinct(), "named")
-    texts = docs.select(id_col, text_col).join(named, id_col, "left_semi").transform(in_batches, cut, f"rep {kind}, shingles binary")
-    sets = keep(texts.dropDuplicates(["rep"]), "shingles")
+    def numbers(cell: pa.Scalar) -> np.ndarray:
+        raw = np.frombuffer(cell.as_py(), np.uint8).reshape(-1, 5)
+        return np.pad(raw, ((0, 0), (0, 3))).view("<u8").reshape(-1)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                p, q = numbers(x), numbers(y)
                 n = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= least * max(len(p), len(q)) else 0
                 good.append(n >= least * (len(p) + len(q) - n) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], ["u", "v"])
 
+    named = keep(pairs.select(F.col("u").alias(id_col)).unionByName(pairs.select(F.col("v").alias(id_col))).distinct(), "named")
+    texts = docs.select(id_col, text_col).join(named, id_col, "left_semi").transform(in_batches, cut, f"rep {kind}, shingles binary")
+    sets = keep(texts.dropDuplicates(["rep"]), "shingles")
     sized = pairs.join(sets.withColumnsRenamed({"rep": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"rep": "v", "shingles": "y"}), "v")
-    links = sized.select("u", "v", "x", "y").transform(in_batches, check, f"u {kind}, v {kind}")
-    classes = components(links, "u", "v").withColumnsRenamed({"node": "rep"})
-    reps = first.select("same", "rep").join(classes, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select(id_col, "same").join(reps, "same", "left").select(id_col, "component_id")
+    return sized.select("u", "v", "x", "y").transform(in_batches, check, f"u {kind}, v {kind}")
