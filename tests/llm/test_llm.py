@@ -315,6 +315,18 @@ def test_extract(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_frame_inside_article(spark):
+    page = lambda k: f"<body><article><h1>Head {k}</h1><p>Read by many</p><p>Body {k} of it</p>{'<p>Seldom</p>' if k == 7 else ''}<p>Write to us</p></article></body>"
+    text = lambda k: f"Head {k}\nBody {k} of it" + "\nSeldom" * (k == 7)
+    framed = lambda k: page(k).replace("<p>Read by many</p>", "<div>Read by many</div>").replace("<p>Write to us</p>", "<h4>Write to us</h4>")
+    assert html.main_text(framed(50), html.summary([framed(k) for k in range(5)])) == text(50)  # by its wrapper alone
+    rows = [(k, "http://h/x", page(k)) for k in range(40)] + [(99, "http://h/x", "<body><article><p>Other form</p><p>Write to us</p></article></body>")]
+    copies = [(100 + k, "http://copies/x", f"<body><nav>{k}</nav><article><p>Same text</p></article></body>") for k in range(6)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in range(40)] == [text(k) for k in range(40)] and out[99] == "Other form"
+    assert all(out[100 + k] == "Same text" for k in range(6))
+
+
 # 9
 
 
