@@ -14,6 +14,10 @@ from corpuscle.llm import shingles
 from corpuscle.llm.common import in_batches, keep
 from corpuscle.llm.components import components
 
+#: Texts that common shingles are counted in, and how many of these are known to all tasks. They set an order, no result.
+ORDER_TEXTS = 5000
+ORDER_SHINGLES = 1 << 17
+
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -127,19 +131,18 @@ def lanes_of(text: str | None, lanes: int) -> np.ndarray:
 def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents joined by chains of texts whose word shingles have a Jaccard similarity of ``least`` or more.
 
-    One row a document: id column and component_id (the least id of its class). Candidates come from SimHash: a text that
-    differs in one word in fifty has nearly the same set of words, so its word-set fingerprints lie a few bits away, and
-    in one of several independent lanes most likely two or fewer, where anchor covering finds it. A pair at the threshold
-    is found in 97 of 100 cases (measured on dispersed edits), a closer one more surely. Every candidate pair is then
-    checked exactly on distinct shingles of ``words`` words; texts with fewer are one shingle.
+    One row a document: id column and component_id (the least id of its class). No pair is missed: two texts at the
+    threshold share one of the first shingles of their sets, in an order that is the same for all texts (``_shared_prefixes``).
+    Every candidate pair is checked on distinct shingles of ``words`` words, by 40 bits of their hashes; texts with fewer
+    words are one shingle.
 
-    Pairs are sought in two rounds, so that a large class costs a few pairs a text and not the square of its size. The
-    first ties a text to the least text of its fingerprint in each lane, and that one to the least text of the commonest
-    fingerprint within two bits under the same anchor. The second seeks all pairs, but only between classes that
-    the first has left apart; a pair within a class could join nothing. Both rounds check pairs in the same way.
+    Pairs are sought in three rounds, so that a large class costs a few pairs a text and not the square of its size. The
+    first takes SimHash of the set of words in several lanes: it ties a text to the least text of its fingerprint in each
+    lane, and that one to the least text of the commonest fingerprint within two bits under the same anchor. The second
+    ties the texts that share a shingle of their prefixes to one of them, another for each shingle. The third seeks
+    all pairs whose prefixes share enough, but only between classes still apart; a pair within a class could join nothing.
 
-    Equal texts are one entry from the start. Texts that share a lane's fingerprint are not paired with each other but with
-    the least and the greatest of them, in each lane anew; chains do the rest. Null counts as empty, empty texts are one
+    Equal texts are one entry from the start. Null counts as empty, empty texts are one
     class, repeated rows stay, a null id gets the least id of its class; an empty table gives an empty one; other
     columns are ignored.
     """
@@ -166,18 +169,77 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     links = _similar(docs, keep(early, "pairs"), least, words, id_col, text_col)
     joined = keep(components(links, "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
 
-    class_of = lambda df, c, to: df.join(joined.withColumnsRenamed({"rep": c, "class": to}), c, "left")
-    near = fingerprint_links(class_of(groups, "lo", "class"), lane_col="lane", class_col="class")
-    near = near.join(groups.select("lane", F.col("fp").alias("a"), F.col("lo").alias("u"), F.col("hi").alias("u2")), ["lane", "a"])
-    near = near.join(groups.select("lane", F.col("fp").alias("b"), F.col("lo").alias("v"), F.col("hi").alias("v2")), ["lane", "b"])
-    late = pair(ends, "rep", "hi").unionByName(pair(near, "u", "v")).unionByName(pair(near, "u2", "v2")).where("u <> v").distinct()
-    apart = class_of(class_of(late, "u", "cu"), "v", "cv").where(F.coalesce(F.col("cu") != F.col("cv"), F.lit(True))).select("u", "v")
+    hits = keep(_shared_prefixes(docs, first, least, words, id_col, text_col), "prefixes")
+    of_class = lambda classes: hits.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    met = of_class(joined)
+    star = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min_by(F.struct("rep", "size", "class"), F.xxhash64("rep", "shingle")).alias("star")).where("one <> other").select("shingle", "star")
+    fit = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+    tied = met.join(star, "shingle").where((F.col("class") != F.col("star.class")) & fit(F.col("size"), F.col("star.size")))
+    late = _similar(docs, keep(pair(tied, "rep", F.col("star.rep")).distinct(), "pairs"), least, words, id_col, text_col)
+    united = lambda links: keep(components(links.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
+    joined = united(late)
+
+    met = of_class(joined)
+    mixed = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("shingle")
+    x, y = (met.join(mixed, "shingle", "left_semi").withColumnsRenamed({c: f"{c}_{k}" for c in ("rep", "size", "class")}) for k in "uv")
+    apart = x.join(y, "shingle").where((F.col("rep_u") < F.col("rep_v")) & (F.col("class_u") != F.col("class_v")) & fit(F.col("size_u"), F.col("size_v")))
+    # Of the text whose prefix ends first, what the other has lies in both prefixes or behind its own: a bound on the overlap.
+    behind = F.ceil(least * F.greatest("size_u", "size_v") - 1e-9) - 1
+    apart = apart.groupBy(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"), "size_u", "size_v").agg(F.count("*").alias("n")).where(F.col("n") + behind >= least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-6).select("u", "v").distinct()
     more = _similar(docs, keep(apart, "pairs"), least, words, id_col, text_col)
     classes = components(more.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep"})
     reps = first.select("same", "rep").join(classes, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return rows.select(id_col, "same").join(reps, "same", "left").select(id_col, "component_id")
 
 
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """40 bits of the hashes of a text's distinct shingles, ascending."""
+    w = shingles.word_hashes(text)
+    return np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w)))) >> np.uint64(24))
+
+
+def _shared_prefixes(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """shingle, rep, size (of the text's set): every shingle of a text's prefix that is in another text's prefix too.
+
+    Two sets with a Jaccard similarity of ``least`` or more share ``least`` of either at the fewest, so that if each
+    is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; here the
+    shingles go first that a sample of ``ORDER_TEXTS`` texts does not know as common, so that few texts meet. Counts
+    and joins are by single shingles: no list of texts is gathered, and a join may split a hot shingle.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
+    share = F.pmod(F.xxhash64(F.lit(11), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)
+    sample = keep(reps.where(share * reps.count() <= ORDER_TEXTS).select("rep"), "sample")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_shingles(t, words).view(np.int64) for t in b.column(0).to_pylist()], pa.list_(pa.int64()))], ["shingles"])
+
+    seen = rows.join(F.broadcast(sample), "rep", "left_semi").select("text").transform(in_batches, whole, "shingles array<long>")
+    common = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    found = sorted((r.shingle, r.n) for r in common.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect())
+    order = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = order.value
+        for b in batches:
+            sizes, heads = [], []
+            for t in b.column(1).to_pylist():
+                h = _shingles(t, words)
+                sizes.append(len(h))
+                most = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, n[at], 0), kind="stable")]
+                heads.append(h[:most].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["rep", "size", "prefix"])
+
+    heads = rows.transform(in_batches, cut, f"rep {kind}, size int, prefix array<long>").join(reps.select("rep"), "rep", "left_semi")
+    entries = heads.select("rep", "size", F.explode("prefix").alias("shingle")).transform(keep, "entries")
+    shared = entries.groupBy("shingle").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("shingle")
+    return entries.join(shared, "shingle").distinct()
+
+
 def _similar(docs: DataFrame, pairs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
     """Of stored pairs u, v of ids, those whose texts' distinct shingles have a Jaccard similarity of ``least`` or more.
 
@@ -186,11 +248,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, least: float, words: int, id_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for t in b.column(1).to_pylist():
-                w = shingles.word_hashes(t)
-                h = np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w)))) >> np.uint64(24))
-                sets.append(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            sets = [_shingles(t, words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     def numbers(cell: pa.Scalar) -> np.ndarray:

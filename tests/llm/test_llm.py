@@ -386,6 +386,30 @@ def test_links_equal_brute_force(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
+def test_similar_documents_misses_no_pair(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for n in (60, 150, 300, 800):
+        for share in (0.82, 0.85, 0.9):
+            for kind in ("extended", "truncated", "reordered", "edited") * 2:
+                base = words(n)
+                k = int(n * share)
+                other = {"extended": base + words(int(n / share) - n), "truncated": base[: k + 2], "reordered": base[k // 2 :] + base[: k // 2], "edited": [w if rng.random() > (1 - share) / 12 else "new" for w in base]}[kind]
+                rows += [" ".join(base), " ".join(other)]
+    line = " ".join(words(30))  # in many texts
+    rows += [line + " " + " ".join(words(30)) for _ in range(40)] + [line, "", "!"]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    sets = [shingles.shingle_set(shingles.words_of(t), 5) for t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label[i] = label[j]
+                break
+    assert len(set(label)) < len(rows) - 40 and [got[k] for k in range(len(rows))] == label
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "cycle", "random", "empty"])
 def test_components(spark, shape):
     rng = random.Random(7)
