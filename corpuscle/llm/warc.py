@@ -21,7 +21,8 @@ ARCHIVE_RECORDS = 4000
 DATE = "2024-01-01T00:00:00Z"
 
 _END = "\r\n\r\n"
-_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: A whole head, however long: its fields, which may be folded, and the blank line.
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n|[ \t][^\r\n]*\r\n)*+)\r\n")
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -76,11 +77,9 @@ def candidates(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
 
     A successor past the end of the archive makes a place no candidate; so does a head without a length.
     """
-    for m in _MAGIC.finditer(content):
-        body = content.find(b"\r\n\r\n", m.end() - 2)
-        if body < 0 or body - m.start() > 1 << 16:
-            continue
-        fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(content[m.end() : body])}
+    for m in _HEAD.finditer(content):
+        body = m.end() - 4
+        fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(m[1])}
         length = fields.get("content-length", "")
         if not length.isdigit():
             continue
@@ -121,10 +120,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     archive, record_offset, page_id, url, record_type, refers_to, payload_bytes, payload_digest (of the payload found;
     a revisit's from its fields) and, if asked for, payload. Tasks emit each candidate with its successor's offset;
     an archive's candidates, a few numbers each, then meet in one group whose size its archive bounds. Heads that
-    stand inside payloads are never reached and go. An archive that does not begin with a record gives no rows.
+    stand inside payloads are never reached and go. An archive that does not begin with a record gives no rows; a chain
+    that does not end where its archive ends is an error.
     """
-    kinds = {"archive": pa.string(), "record_offset": pa.int64(), "successor": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()} | ({"payload": pa.binary()} if with_payload else {})
-    schema = "archive string, record_offset long, successor long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
+    kinds = {"archive": pa.string(), "record_offset": pa.int64(), "successor": pa.int64(), "size": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()} | ({"payload": pa.binary()} if with_payload else {})
+    schema = "archive string, record_offset long, successor long, size long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
 
     def key(text: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", text or "")
@@ -135,20 +135,24 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
             for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
                 raw = content.as_py()
-                for at, successor, f, payload in candidates(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                whole = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                for at, successor, f, payload in candidates(whole):
                     again = f.get("warc-type") == "revisit"
-                    size = int(f.get("x-payload-length", "0")) if again else len(payload)
+                    length = int(f.get("x-payload-length", "0")) if again else len(payload)
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") if again else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    rows.append((archive, at, successor, key(f.get("warc-record-id")), f.get("warc-target-uri"), f.get("warc-type"), key(f.get("warc-refers-to")), size, digest, payload)[: len(kinds)])
+                    rows.append((archive, at, successor, len(whole), key(f.get("warc-record-id")), f.get("warc-target-uri"), f.get("warc-type"), key(f.get("warc-refers-to")), length, digest, payload)[: len(kinds)])
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[reachable(rows["record_offset"].to_numpy(np.int64), rows["successor"].to_numpy(np.int64))]
+        chain = rows[reachable(rows["record_offset"].to_numpy(np.int64), rows["successor"].to_numpy(np.int64))]
+        if len(chain) and chain["successor"].max() != chain["size"].iloc[0]:
+            raise ValueError(f"{chain['archive'].iloc[0]}: records end at {chain['successor'].max()} of {chain['size'].iloc[0]} bytes")
+        return chain
 
     # small archives: a handful to a task
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
-    return files.transform(in_batches, scan, schema).groupBy("archive").applyInPandas(verify, schema).drop("successor")
+    return files.transform(in_batches, scan, schema).groupBy("archive").applyInPandas(verify, schema).drop("successor", "size")
 
 
 def archive_digest(pages: DataFrame, least_revisit: int = 0) -> DataFrame:

@@ -126,6 +126,17 @@ def test_warc_payloads_and_plain_files(spark, tmp_path):
     assert sorted(bytes(r.payload) for r in out) == [b"q", "é\n".encode(), "é\n".encode()] and {r.record_type for r in out} == {"response"}
 
 
+def test_warc_long_heads_and_broken_chains(spark, tmp_path):
+    df = spark.createDataFrame([(k, "http://h/" + "u" * (200_000 if k == 2 else k), f"page {k}") for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"), compression="none")
+    assert sorted((r.page_id, len(r.url)) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == [(k, 9 + (200_000 if k == 2 else k)) for k in range(5)]
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "w").glob("part*")))
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.txt").write_bytes(whole[:-6])
+    with pytest.raises(Exception, match="records end at"):
+        warc.read_warc(spark, str(tmp_path / "cut")).collect()
+
+
 def test_pointer_jumping_follows_the_chain():
     at = np.array([0, 10, 15, 20, 40, 50])
     to = np.array([10, 20, 20, 40, 60, 60])
