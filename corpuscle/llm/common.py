@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _CHECKPOINT = "spark.checkpoint.dir"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that Spark hands to Python at once: whole documents are long, and an executor holds a batch several times.
-BATCH_ROWS = 500
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows, and bytes, that Spark hands to Python at once: whole documents are long, and an executor holds a batch several times.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,16 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def in_batches(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` on batches of at most ``BATCH_ROWS`` rows; the session's own limit stays if it is lower.
+    """``mapInArrow`` on batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes.
 
-    Spark reads the limit when the plan runs, so it is lowered for the session and not for one call.
+    Spark reads these limits when the plan runs, so they are lowered for the session and not for one call; limits of the
+    session's own that are lower stay. They set how rows travel, no result.
     """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, BATCH_ROWS)
+    for name, most in ((_BATCH, BATCH_ROWS), (_BATCH_BYTES, BATCH_BYTES)):
+        now = conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, most)
     return df.mapInArrow(of, schema)
 
 

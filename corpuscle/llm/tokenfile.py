@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 from corpuscle.llm import tokens
 from corpuscle.llm.common import discard, in_batches, keep, kept_path, shared_path
 
+#: Bytes of ids in one part, about: what a task sorts.
+PART_BYTES = 32 << 20
 #: Ids after which a block is closed; a block holds whole documents, so a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 19
 
+_COLUMNS = ["key", "row", "ids", "counts"]
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # bytes of the four ranks of a control byte
 
 
@@ -62,76 +66,97 @@ def unpack_ranks(data: bytes, n: int) -> np.ndarray:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows in ascending key order within parts: part int, key long, ids binary (little-endian, 16 or 32 bits)."""
+    """Rows as they lie: key long, row long (unlike for all rows), ids binary; and one row a task with its counts of ids.
+
+    Ids are little-endian, of two bytes if vocabulary and ``end_id`` allow, else of four; counts are 64-bit, by id.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder = TaskContext.get().partitionId(), tokens.coder(tokenizer)
+        coder = tokens.coder(tokenizer)
+        kind = coder.kind if end_id < 1 << 16 else np.dtype("<u4")
+        end = np.array([end_id], kind).tobytes()
+        total, row = np.zeros(0, np.int64), TaskContext.get().partitionId() << 33
         for b in batches:
-            ids = [np.append(coder.encode(t), np.uint32(end_id)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), b.column(0), pa.array(ids, pa.binary())], ["part", "key", "ids"])
+            ids = [coder.encode(t).astype(kind, copy=False).tobytes() + end for t in b.column(1).to_pylist()]
+            c = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            c[: len(total)] += total
+            total = c
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], _COLUMNS)
+            row += n
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], _COLUMNS)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "key").sortWithinPartitions("key").transform(in_batches, encode, "part int, key long, ids binary")
+    return rows.transform(in_batches, encode, "key long, row long, ids binary, counts binary")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1,
-                      id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, appends ``end_id`` to each and writes the file set described above.
-
-    Null and empty texts are documents of ``end_id`` alone. Null keys are written as the least long and come
-    first; rows with one key stay separate documents beside each other. Other columns are ignored. An empty
-    table gives tables without rows. Texts are tokenised once: their ids rest in the shared folder until the
-    frequencies, a table no larger than the vocabulary, are known.
-    """
-    spark = docs.sparkSession
-    ids = keep(_encoded(docs, tokenizer or tokens.default_tokenizer(), end_id, id_col, text_col), "ids")
+def _frequencies(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs. A task adds up the counts it reads; what returns is no longer than the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
-            if len(c) > len(total):
-                c[: len(total)] += total
-                total = c
-            else:
+            for cell in b.column(0):
+                c = np.frombuffer(cell.as_py(), np.int64).copy()
+                total, c = (total, c) if len(total) >= len(c) else (c, total)
                 total[: len(c)] += c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").transform(in_batches, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    order = [r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))]  # no longer than the vocabulary
+    found = encoded.where("counts is not null").select("counts").transform(in_batches, add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(max((r.id for r in found), default=-1) + 1, np.int64)
+    for r in found:
+        total[r.id] = r.n
+    return total
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1,
+                      id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> None:
+    """Encodes every whole text, appends ``end_id`` to each and writes the file set described above.
+
+    Null and empty texts are documents of ``end_id`` alone. Null keys are written as the least long and come
+    first; rows with one key stay separate documents beside each other, and a key with very many may go on in the next
+    part. Other columns are ignored. An empty table gives tables without rows. Texts are tokenised once, where they lie:
+    their ids, counted on the way, rest in the shared folder, and only ids are shuffled into the order of keys, into
+    as many parts as their bytes call for. A part is numbered and cut into blocks by the task that sorts it.
+    """
+    spark = docs.sparkSession
+    tokenizer = tokenizer or tokens.default_tokenizer()
+    encoded = keep(_encoded(docs, tokenizer, end_id, id_col, text_col), "ids")
+    counts = _frequencies(encoded)
+    order = [int(i) for i in np.lexsort((np.arange(len(counts)), -counts))[: np.count_nonzero(counts)]]
     spark.createDataFrame([(k, i) for k, i in enumerate(order)], "rank int, id long").coalesce(1).write.parquet(f"{path}/vocab")
-    rank = np.zeros(max(order, default=0) + 1, np.uint32)
+    rank = np.zeros(len(counts), np.uint32)
     rank[order] = np.arange(len(order))
     ranks = spark.sparkContext.broadcast(rank)
+    kind = tokens.coder(tokenizer).kind if end_id < 1 << 16 else np.dtype("<u4")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(int(counts.sum()) * kind.itemsize / part_bytes))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, block, start, keys, texts, held = ranks.value, -1, 0, 0, [], [], 0
+        table, part, block, start, keys, texts, held = ranks.value, TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(texts), "<u4")
-            head = np.array(keys, "<i8").tobytes() + np.array([len(t) // 4 for t in texts], "<u4").tobytes()
+            flat = np.frombuffer(b"".join(texts), kind)
+            head = np.array(keys, "<i8").tobytes() + np.array([len(t) // kind.itemsize for t in texts], "<u4").tobytes()
             cells = [[part], [block], [start], [len(keys)], [len(flat)], [head + pack_ranks(table[flat])]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "block", "start", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            for p, key, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if keys and (p != part or held >= BLOCK_TOKENS):
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held >= BLOCK_TOKENS:
                     yield close()
                     block, start, keys, texts, held = block + 1, start + held, [], [], 0
-                if p != part:
-                    part, block, start = p, 0, 0
                 keys.append(key)
                 texts.append(t)
-                held += len(t) // 4
+                held += len(t) // kind.itemsize
         if keys:
             yield close()
 
-    # A file of the stored ids holds one part in order and one row group, so that one task reads it, from its start.
-    ids.transform(in_batches, pack, "part int, block int, start long, n_docs int, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
-    discard(spark, kept_path(ids)) if order else None
+    rows = encoded.where("counts is null").select("key", "row", "ids")
+    ranges = rows.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row").select("key", "ids")
+    ranges.transform(in_batches, pack, "part int, block int, start long, n_docs int, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    discard(spark, kept_path(encoded)) if order else None
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False, id_col: str = "doc_id") -> DataFrame:

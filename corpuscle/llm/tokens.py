@@ -12,19 +12,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Sequence
-from itertools import chain
 
 import numpy as np
 import regex
 
 #: Words that a worker holds in one generation, of which it keeps two: a bound on memory that never changes an id.
-MAX_WORDS = 300_000
+MAX_WORDS = 400_000
 
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-\xff]")  # in a word: what the short way does not take
-_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xad]")
+#: Latin-1 characters that the short way does not take, white space apart.
+_CONTROLS = bytes([*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xA1), 0xAD])
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,22 +34,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Words and their places; a word not yet here is taken from the generation before, or else coded."""
+    """The ids of words and of the runs in them, as bytes; what is not yet here comes from the generation before, or is coded."""
 
     def __init__(self, code, before: _Words | None = None):
         super().__init__()
         self.code = code
         self.before = before
-        self.flat = array("I")
-        self.ends = array("Q", [0])
 
-    def __missing__(self, word: str) -> int:
-        old = self.before
-        at = None if old is None else old.get(word)
-        self.flat.extend(self.code(word) if at is None else old.flat[old.ends[at] : old.ends[at + 1]])
-        self.ends.append(len(self.flat))
-        k = self[word] = len(self.ends) - 2
-        return k
+    def __missing__(self, word: str) -> bytes:
+        ids = None if self.before is None else self.before.get(word)
+        if ids is None:
+            ids = self.code(word)
+        self[word] = ids
+        return ids
 
 
 class WordCoder:
@@ -62,64 +58,53 @@ class WordCoder:
 
         self.lib = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.tokenize = self.lib.model.tokenize
         self.letters = byte_letters()
         self.max_words = max_words
+        #: Numbers that ids are held in: two bytes each if the vocabulary allows.
+        self.kind = np.dtype("<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.array = "H" if self.kind.itemsize == 2 else "I"
         self.by_word = "ByteLevel" in str(self.lib.pre_tokenizer) and "Lowercase" in str(self.lib.normalizer)
         self.words = _Words(self._word)
-        self.runs: dict[str, tuple[int, ...]] = {}
 
     def _next_generation(self) -> None:
         self.words.before = None
         self.words = _Words(self._word, self.words)
 
-    def _run(self, run: str) -> tuple[int, ...]:
-        got = self.runs.get(run)
-        if got is None:
-            if len(self.runs) >= self.max_words:
-                self.runs.clear()
-            coded = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            got = self.runs[run] = tuple([t.id for t in self.lib.model.tokenize(coded)])
-        return got
+    def _run(self, run: str) -> bytes:
+        coded = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return array(self.array, [t.id for t in self.tokenize(coded)]).tobytes()
 
-    def _word(self, word: str) -> Sequence[int]:
+    def _word(self, word: str) -> bytes:
         if word.isascii():
             if word.isalpha():
                 return self._run(word)
             if word[-1] in ",." and word[:-1].isalpha():
-                return self._run(word[:-1]) + self._run(word[-1])
+                return self.words[word[:-1]] + self.words[word[-1]]
         if _ODD.search(word):
-            return self.lib.encode(word, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self._run, _RUNS.findall(word))))
+            return array(self.array, self.lib.encode(word, add_special_tokens=False).ids).tobytes()
+        runs = _RUNS.findall(word)
+        return self._run(word) if len(runs) == 1 else b"".join(map(self.words.__getitem__, runs))
 
     def _split(self, text: str) -> list[str]:
         """Words by ASCII white space, in lower case except those that the library is to code."""
         try:
-            text.encode("latin-1")
-            if not _CONTROLS.search(text):
+            raw = text.encode("latin-1")
+            if len(raw.translate(None, _CONTROLS)) == len(raw):
                 return text.lower().split()
         except UnicodeEncodeError:
             pass
         return [w if _ODD.search(w) else w.lower() for w in _BLANKS.split(text) if w]
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text, as unsigned 32-bit numbers; null counts as empty."""
+        """Ids of a whole text, as numbers of ``kind``; null counts as empty."""
         if not text:
-            return np.empty(0, np.uint32)
+            return np.empty(0, self.kind)
         if not self.by_word or any(s in text for s in self.specials):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
         if len(self.words) > self.max_words:
             self._next_generation()
-        words = self.words
-        k = np.array(list(map(words.__getitem__, self._split(text))), np.int64)
-        if not len(k):
-            return np.empty(0, np.uint32)
-        ends, flat = np.frombuffer(words.ends, np.uint64), np.frombuffer(words.flat, np.uint32)
-        lo = ends[k].astype(np.int64)
-        n = ends[k + 1].astype(np.int64) - lo
-        stop = np.cumsum(n)
-        ids = flat[np.arange(stop[-1]) + np.repeat(lo - (stop - n), n)]
-        del ends, flat  # arrays lent out could not grow
-        return ids
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self._split(text))), self.kind)
 
 
 _CODERS: dict[str, WordCoder] = {}

@@ -263,6 +263,33 @@ def test_token_files(spark, docs, library, tmp_path, monkeypatch):
     assert tokenfile.token_digest(docs.where("false")).count() == 0
 
 
+def test_token_starts_hold_at_any_split(spark, tmp_path, monkeypatch):
+    """Small row groups, splits, parts and blocks: starts are still the sums of what comes before; a hot key is split."""
+    monkeypatch.setattr(tokenfile, "BLOCK_TOKENS", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(150).select(F.lit(7).cast("long").alias("doc_id"), "text"))
+    coder = tokens.WordCoder(tokens.default_tokenizer())
+    said = sorted((r.doc_id, len(coder.encode(r.text)) + 1, zlib.crc32(np.append(coder.encode(r.text), np.uint32(1)).astype("<u4").tobytes())) for r in docs.collect())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    block = spark._jsc.hadoopConfiguration().get("parquet.block.size")
+    try:
+        for k in old:
+            spark.conf.set(k, "4096")
+        spark._jsc.hadoopConfiguration().set("parquet.block.size", "4096")
+        path = str(tmp_path / "files")
+        tokenfile.write_token_files(docs.repartition(3), path, part_bytes=2000)
+        blocks = spark.read.parquet(f"{path}/blocks")
+        assert blocks.select("part").distinct().count() > 20 and blocks.count() > blocks.select("part").distinct().count()
+        out = tokenfile.read_token_files(spark, path).toPandas().sort_values("start")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark._jsc.hadoopConfiguration().set("parquet.block.size", block) if block else spark._jsc.hadoopConfiguration().unset("parquet.block.size")
+    assert (out["start"].to_numpy() == np.cumsum([0, *out["n_tokens"]])[:-1]).all()
+    assert out["doc_id"].is_monotonic_increasing
+    assert sorted(zip(out["doc_id"], out["n_tokens"], out["ids_crc32"])) == said
+
+
 # 7
 
 
