@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -339,7 +340,7 @@ def test_wrappers_are_inferred():
     page = lambda title, n, more: f"<html><body><div id=top>Site</div><div id=c><h2>{title}</h2>{''.join(f'<p>{title} {k}</p>' for k in range(n))}{more}</div><div id=b>End of site</div></body></html>"
     pages = [page("a", 1, ""), page("b", 3, "<ul><li>q</li></ul>"), page("c", 2, "")]
     wrapper = html.infer(pages)
-    assert {"Site", "End of site"} <= set(html.fixed_texts(wrapper))
+    assert {"Site", "End of site"} <= {text for _, text in html.slots(wrapper)}
     flat = str(wrapper)
     assert "['+', ['<p>'" in flat and "'?'" in flat and "'#'" in flat
     assert html.main_text(pages[1], html.summary(pages)) == "b\nb 0\nb 1\nb 2\nq"
@@ -365,6 +366,46 @@ def test_frame_inside_article(spark):
     assert all(out[100 + k] == "Same text" for k in range(6))
 
 
+def made_page(rng, host, k):
+    """A page of a host's own frame, without any telling tag or class, and its main text."""
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    paragraphs = [say(rng.randint(8, 60)) for _ in range(rng.randint(1, 9))]
+    links = "".join(f"<td><a href=x>{say(2)}</a></td>" for _ in range(rng.randint(2, 6)))
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    items = [say(rng.randint(3, 9)) for _ in range(rng.randint(2, 4))] if rng.random() < 0.5 else []
+    body += "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>" if items else ""
+    extra = f"<section class=z{host}>{say(4)}</section>" if rng.random() < 0.4 else ""
+    page = f"<html><body><div class=q{host}><table><tr>{links}</table></div>{extra}<div class=body{host}><h1>t{k} {say(3)}</h1>{body}<p>Terms of host {host} apply</p></div><div>Made by {host}</div></body></html>"
+    return page, "\n".join([re.search("<h1>(.*?)</h1>", page)[1], *paragraphs, *items])
+
+
+def test_wrapper_slots_against_known_texts(spark):
+    """Pages whose main text nothing but their host's wrapper tells: every block is decided by a slot, and rightly."""
+    rng, rows, want = random.Random(8), [], {}
+    for host in range(6):
+        for k in range(30):
+            page, text = made_page(rng, host, k)
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://h{host}.example/{k}", page))
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    wrong = [r.page_id for r in out if r.text != want[r.page_id]]
+    assert not wrong, (out[0].text, want[out[0].page_id])
+    assert sum(r.by_tags for r in out) <= 0.02 * sum(r.by_wrapper for r in out)
+
+
+def test_fold_takes_units_of_any_length():
+    unit = [t for k in range(20) for t in (f"<d{k}>", "=x", f"</d{k}>")]
+    assert html.fold(unit * 3) == [["+", unit]]
+    assert html.fold(["<ul>", *["<li>", "=a", "</li>", "<li>", "=b", "</li>", "<li>", "=c", "</li>"], "</ul>"]) == ["<ul>", ["+", ["<li>", "#", "</li>"]], "</ul>"]
+
+
+def test_long_pages_are_read_whole(spark):
+    long = "<body><div class=menu>m</div><article>" + "<p>x y</p>" * 60_000 + "</article></body>"
+    rows = [(k, "http://long/", long if k == 0 else f"<body><div class=menu>m</div><article><p>page {k}</p></article></body>") for k in range(6)]
+    out = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0].n_chars == 60_000 * 4 - 1 and out[3].text == "page 3" and out[0].by_wrapper == 60_001
+
+
 # 9
 
 
