@@ -199,8 +199,37 @@ def test_vantage_tree_is_exact():
         keep = ids != ids[row]
         order = np.lexsort((ids[keep], -s[keep]))[:20]
         assert best.ids[n].tolist() == ids[keep][order].tolist() and best.scores[n].tolist() == s[keep][order].tolist()
-    loose = tree.search(ids[q], x[q], 20, factor=3.0)
-    assert sum(len(set(a) & set(b)) for a, b in zip(best.ids, loose.ids, strict=True)) > 0
+
+
+def clustered(n, seed=4):
+    """Vectors around 60 centres, as embeddings of texts are, and their ids."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, n)] + 0.12 * rng.normal(size=(n, 16))
+    return np.arange(n), x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_factor_trades_recall_for_work():
+    ids, x = clustered(6000)
+    tree, q = ann.VantageTree(ids, x, 1 + 1e-12), ids[::50]
+    exact, shares = tree.search(q, x[q], 20), []
+    for factor, least in ((1.0, 1.0), (1.5, 0.99), (2.0, 0.95), (3.0, 0.9)):
+        best = tree.search(q, x[q], 20, factor)
+        recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact.ids, best.ids, strict=True)])
+        assert recall >= least, (factor, recall)
+        shares.append(best.compared / (len(q) * len(ids)))
+    assert shares[0] < 0.5 and shares[0] >= shares[1] >= shares[2] >= shares[3] and shares[3] < 0.6 * shares[0], shares
+
+
+def test_nearest_in_cells(spark):
+    ids, x = clustered(1500)
+    x[700:1100] = x[0]  # a hot vector, more than one shard of it
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, k=20, shard_rows=100).collect()}
+    assert len(got) == 75 * 20
+    for q in range(0, 1500, 20):
+        s = ann.dot(np.repeat(x[q : q + 1], 1500, 0), x)
+        order = [k for k in np.lexsort((ids, -s)) if k != q][:20]
+        assert [got[q, r] for r in range(1, 21)] == [(k, s[k]) for k in order]
 
 
 def test_nearest_odd_vectors(spark):
