@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm.licenses import BASE, NOTICES
+from corpuscle.llm.licenses import BASE, COMMON, DRIFT, NOTICES
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
@@ -19,14 +19,16 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 _TEMPLATES = ", ".join(f"('{t}', '{label}', {str(base).lower()})" for names, base in ((BASE, True), (NOTICES, False)) for t, label in names.items())
 
+_COMMON = ", ".join(f"'{w}'" for w in COMMON)
+
 OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT text AS template, label, base, string_split(text, ' ') AS w FROM (VALUES {_TEMPLATES}) AS x(text, label, base)),
-tg AS (SELECT template, label, base, len(w) - 1 AS total, p AS place, w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM t)),
+tp AS (SELECT template, label, base, p AS place, w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM t) WHERE base OR NOT (w[p + 1] IN ({_COMMON}) AND w[p + 2] IN ({_COMMON}))),
+tg AS (SELECT *, count(*) OVER (PARTITION BY template, base) AS total FROM tp),
 dg AS (SELECT doc_id, p AS spot, w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM d)),
-v AS (SELECT doc_id, template, label, base, total, spot - place AS diagonal, min(spot) AS lo, max(spot) AS hi, list(DISTINCT place) AS places FROM dg JOIN tg USING (g) GROUP BY ALL),
-b AS (SELECT *, sum(CASE WHEN base OR before IS NULL OR diagonal - before > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v)),
-m AS (SELECT doc_id, label, base, total, min(diagonal) AS start, min(lo) AS lo, max(hi) AS hi, len(list_distinct(flatten(list(places)))) AS seen FROM b GROUP BY doc_id, template, label, base, total, band),
-k AS (SELECT *, base AND seen = total AS phrase, NOT base AND seen / total >= 0.8 AND hi - lo + 1 <= total * 1.5 AS notice FROM m)
-SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+v AS (SELECT doc_id, template, label, base, total, spot - place AS diagonal, list(place) AS places FROM dg JOIN tg USING (g) GROUP BY ALL),
+m AS (SELECT doc_id, label, base, total, diagonal, CASE WHEN base THEN len(places) ELSE len(list_distinct(flatten(list(places) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING)))) END AS seen FROM v),
+k AS (SELECT *, base AND seen = total AS phrase, NOT base AND seen / total >= 0.8 AS notice FROM m)
+SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word, max(diagonal) FILTER (phrase) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
 coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR notice), '') AS labels, coalesce(max(CASE WHEN phrase THEN 1.0 WHEN notice THEN seen / total END), 0.0)::DOUBLE AS score FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w"""
 
 OP7 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),

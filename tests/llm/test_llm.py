@@ -263,6 +263,26 @@ def test_license_scan(spark, docs):
     assert licenses.scan(docs).where("doc_id = 3").count() == 2 and licenses.scan(docs.where("false")).count() == 0
 
 
+def test_notices_are_not_hidden_by_their_own_words(spark):
+    rng = random.Random(6)
+    texts, want = [], []
+    for t, label in licenses.NOTICES.items():
+        w = t.split()
+        cut = [x for k, x in enumerate(w) if len(w) < 20 or k % 17]  # words dropped
+        more = [y for k, x in enumerate(w) for y in ((x, "indeed") if k % 25 == 9 else (x,))]  # words added
+        for v in (w, w + w[-2:] * 12, w[:2] * 9 + w, cut, more, w + w):
+            texts.append(" ".join([f"x{rng.randrange(99)}" for _ in range(rng.randrange(9))] + v + ["end"]))
+            want.append(label)
+        texts.append(" ".join(rng.sample(w, len(w))))  # the same words in no order
+        want.append(None)
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    said = {r.doc_id: r.labels.split(",") for r in out}
+    for k, label in enumerate(want):
+        assert label in said[k] if label else not {x for x in said[k] if x} - {"mit", "gpl", "apache"} or len(texts[k].split()) < 9, (texts[k], said[k], label)
+    with pytest.raises(ValueError, match="two words"):
+        licenses.scan(spark.createDataFrame([(1, "mit")], "doc_id int, text string"), base={"mit": "mit"})
+
+
 def test_license_scan_is_native(spark, docs, capsys):
     licenses.scan(docs).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Arrow" not in plan
