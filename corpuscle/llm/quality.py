@@ -19,10 +19,6 @@ SAMPLE_DOCS = 1500
 #: Bound of the lexicon: its strongest words.
 LEXICON = 5000
 
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 _SIGNS = [ord(c) for c in "!?.,|#$%&*@<>{}[]=/_;:-\"'"]
 
 
@@ -95,11 +91,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lexi
     words and word beginnings between toxic and other documents, each less two standard errors, so that a rare
     one says nothing; on the last quarter, a logistic regression on how many a document has and how dense.
     """
-    named = labels.select(F.col(id_col).alias("i"), "quality", "toxic").where("i is not null").dropDuplicates(["i"])
+    named = labels.select(F.col(id_col).alias("i"), "quality", "toxic").where("i is not null").groupBy("i").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = smallest_hashes(named, ["quality", "toxic"], "i", sample_docs)
     chosen = chosen.select("i", "quality", "toxic", (F.pmod("place", F.lit(4)) == 0).alias("late"))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("quality", "toxic", "late", "t")
-    rows = keep(rows, "labelled")  # at most sample_docs documents a combination of labels
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
+    rows = rows.groupBy("i", "quality", "toxic", "late").agg(F.min("t").alias("t")).drop("i")  # an id that repeats is read once
+    rows = keep(rows, "labelled")  # at most sample_docs rows a combination of labels
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,16 +158,18 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
           id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Posterior quality and toxicity of every row: id column, host, path, quality, toxic, keep.
 
-    A site ``host/path/...`` has two levels: host, and host with first path segment (empty if none). Each level's mean of
-    the documents' evidence is shrunk to the level above, hosts to the whole corpus and paths to their host, by
-    a pseudo-count that the spread between groups gives; so a sparse site stays near its parent. A document's
-    posterior log-odds are its own evidence and its path's shift from the corpus mean. ``keep``: quality at least
-    ``threshold`` and toxicity below it.
-
-    Null sites are one host '', null texts count as empty, repeated rows stay, null ids pass, other columns are
-    ignored; without labels of both kinds the evidence is neutral and all is kept; empty tables give no rows. Texts
-    are read once by the scoring pass; sites are grouped with partial sums, so that a host with a third of all rows
-    is a row a task, and what returns to the driver is one row of moments a level.
+    A site ``host/path/...`` has two levels: host, and host with first path segment (empty if none). A document speaks for its
+    site by its label, if it has one, and else by the classifier's probability. Each level's mean of what its
+    documents say is shrunk to the level above, hosts to the whole corpus and paths to their host, by a pseudo-count that
+    the spread between groups gives; so a sparse site stays near its parent. A document's posterior log-odds are its
+    own evidence and its path's shift from the corpus mean, of which what it says itself is taken out at both levels,
+    so that nothing counts twice. ``keep``: quality at least ``threshold`` and toxicity below it.
+
+    Null sites are one host '', null texts count as empty, repeated rows stay, null ids pass, labels of one id are
+    averaged, other columns are ignored; without labels of both kinds the evidence is neutral and all is kept; empty tables
+    give no rows. Texts are read once by the scoring pass; sites are grouped with partial sums, so that a host with a
+    third of all rows is a row a task, and what returns to the driver is one row of moments a level. Rows meet their
+    path's few numbers in a join, which Spark may broadcast or split where one path is hot.
     """
     evidence = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_docs, id_col=id_col, text_col=text_col))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,19 +182,21 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
     site = F.regexp_replace(F.coalesce(F.col(site_col).cast("string"), F.lit("")), "^[a-z]+://", "")
     rows = keep(docs.select(F.col(id_col), site.alias("site"), F.col(text_col)).transform(in_batches, of, f"{id_col} {kind}, site string, g double, t double"), "evidence")
     rows = rows.select(id_col, F.substring_index("site", "/", 1).alias("host"), F.coalesce(F.get(F.split("site", "/"), F.lit(1)), F.lit("")).alias("path"), "g", "t")
+    share = lambda c: F.avg((F.col(c) > 0).cast("double"))
+    named = labels.select(F.col(id_col).alias("__id"), "quality", "toxic").where("__id is not null").groupBy("__id").agg(share("quality").alias("lg"), share("toxic").alias("lt"))
     sure = lambda c: 1 / (1 + F.exp(-F.col(c)))
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(sure("g")).alias("sg"), F.sum(sure("t")).alias("st"))
-    paths = keep(paths, "paths")
+    said = {f"c{c}": F.coalesce(f"l{c}", sure(c)) for c in "gt"}
+    rows = keep(rows.join(named, F.col(id_col) == F.col("__id"), "left").withColumns(said).select(id_col, "host", "path", "g", "t", "cg", "ct"), "said")
+    paths = keep(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("cg").alias("sg"), F.sum("ct").alias("st")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("sg").alias("hg"), F.sum("st").alias("ht"))
     all_ = paths.agg(F.sum("n").alias("n"), F.sum("sg").alias("sg"), F.sum("st").alias("st")).first()
-    levels = paths.join(hosts, "host")
-    for one, s, h in (("g", "sg", "hg"), ("t", "st", "ht")):
-        overall = min(max((all_[s] or 0.0) / max(all_["n"] or 0, 1), 1e-4), 1 - 1e-4)
-        k = _strength(hosts.withColumn("m", F.col(h) / F.col("hn")), "m", "hn", overall)
-        m = _strength(paths.withColumn("m", F.col(s) / F.col("n")), "m", "n", overall)
-        host = (F.col(h) + k * overall) / (F.col("hn") + k)
-        levels = levels.withColumn(f"shift_{one}", _logit((F.col(s) + m * host) / (F.col("n") + m)) - _logit(F.lit(overall)))
-    shifted = rows.join(levels.select("host", "path", "shift_g", "shift_t"), ["host", "path"])
-    post = lambda c: 1 / (1 + F.exp(-(F.col(c) + F.col(f"shift_{c}"))))
-    out = shifted.select(id_col, "host", "path", post("g").alias("quality"), post("t").alias("toxic"))
+    placed, post = rows.join(paths.join(hosts, "host"), ["host", "path"]), []
+    for c, name in (("g", "quality"), ("t", "toxic")):
+        overall = min(max((all_[f"s{c}"] or 0.0) / max(all_["n"] or 0, 1), 1e-4), 1 - 1e-4)
+        k = _strength(hosts.withColumn("m", F.col(f"h{c}") / F.col("hn")), "m", "hn", overall)
+        m = _strength(paths.withColumn("m", F.col(f"s{c}") / F.col("n")), "m", "n", overall)
+        host = (F.col(f"h{c}") - F.col(f"c{c}") + k * overall) / (F.col("hn") - 1 + k)
+        path = (F.col(f"s{c}") - F.col(f"c{c}") + m * host) / (F.col("n") - 1 + m)
+        post.append((1 / (1 + F.exp(-(F.col(c) + _logit(path) - _logit(F.lit(overall)))))).alias(name))
+    out = placed.select(id_col, "host", "path", *post)
     return out.withColumn("keep", (F.col("quality") >= threshold) & (F.col("toxic") < threshold))

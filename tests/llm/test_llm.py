@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -167,6 +168,36 @@ def test_quality_held_out(spark):
     assert set(out.host) == {f"h{k}" for k in range(7)} and set(out.path) == {"p0", "p1"}
 
 
+def test_site_posteriors_against_brute_force(spark, monkeypatch):
+    """The grouped aggregation against loops over documents, with fixed evidence: labels reach sites, nothing counts twice."""
+    rng = np.random.default_rng(7)
+    rows = [(k, f"[{rng.normal():.3f}, {rng.normal():.3f}]", f"h{k % 5}/p{k % 3}/x" if k % 11 else f"rare{k}") for k in range(400)]
+    labels = [(int(k), int(k % 5 == 1), int(k % 4 == 0)) for k in rng.integers(0, 400, 120)]
+    monkeypatch.setattr(quality, "fit", lambda *a, **b: json.loads)
+    out = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    site = {k: (s.split("/")[0], (s.split("/") + [""])[1]) for k, _, s in rows}
+    for axis, name in enumerate(("quality", "toxic")):
+        own = {k: json.loads(t)[axis] for k, t, _ in rows}
+        label = {k: [x[1 + axis] for x in labels if x[0] == k] for k in own}
+        says = {k: float(np.mean(label[k])) if label[k] else 1 / (1 + np.exp(-own[k])) for k in own}
+        overall = np.mean(list(says.values()))
+
+        def strength(group):
+            held = [[says[k] for k in says if group(k) == g] for g in {group(k) for k in says}]
+            held = [h for h in held if len(h) > 1]
+            between = max(np.mean([(np.mean(h) - overall) ** 2 for h in held]) - np.mean([overall * (1 - overall) / len(h) for h in held]), 0)
+            return min(max(overall * (1 - overall) / between - 1, 5.0), 1e5) if between > 1e-9 else 1e5
+
+        a, b = strength(lambda k: site[k][0]), strength(lambda k: site[k])
+        logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+        for k in own:
+            host = [says[i] for i in says if site[i][0] == site[k][0] and i != k]
+            path = [says[i] for i in says if site[i] == site[k] and i != k]
+            mean = (sum(host) + a * overall) / (len(host) + a)
+            want = own[k] + logit((sum(path) + b * mean) / (len(path) + b)) - logit(overall)
+            assert abs(getattr(out[k], name) - 1 / (1 + np.exp(-want))) < 1e-9
+
+
 def test_quality_odd_cases(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality.score(docs, none)
