@@ -86,15 +86,29 @@ class Filters:
                 out.append(np.array([int(((masks >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(n)]))
         return np.concatenate(out)
 
+    def shares(self, grams: np.ndarray) -> np.ndarray:
+        """Of each language: the share of the n-grams that its filter knows, less those it reports wrongly."""
+        return (self.counts(grams) / len(grams) - self.wrong) / np.maximum(1 - self.wrong, 1e-9)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         grams = gram_hashes(text)
         if not len(grams) or not self.languages:
             return "und", 0.0
-        share = (self.counts(grams) / len(grams) - self.wrong) / np.maximum(1 - self.wrong, 1e-9)
+        share = self.shares(grams)
         best = int(np.argmax(share))
         seen = np.maximum(share, 0)
         return self.languages[best], float(seen[best] / seen.sum()) if seen[best] > 0 else 0.0
 
+    def knows(self, text: str | None, least: float) -> bool:
+        """Whether some language knows ``least`` of the text's n-grams, or as many as chance allows for so few.
+
+        Texts without letters are not known; if no language could be learnt, every other text is.
+        """
+        grams = gram_hashes(text)
+        if not len(grams) or not self.languages:
+            return bool(len(grams))
+        return float(self.shares(grams).max()) + 1 / np.sqrt(len(grams)) >= least
+
 
 def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_grams: int = FILTER_GRAMS, contrast: float = 0.25,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
@@ -105,9 +119,10 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_grams: int = FI
     language, so that stray foreign passages do not open a filter. Rows with a null language are left out.
     """
     spark = train.sparkSession
-    narrow = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
+    narrow = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).distinct()
     chosen = smallest_hashes(narrow, ["l"], "i", sample_docs).select("i", "l")
     rows = train.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen.distinct()), ["i", "l"], "left_semi")
+    rows = rows.groupBy("i", "l").agg(F.min("t").alias("t"))  # an id that repeats is read once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,6 +167,23 @@ def tagged(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
     return docs.transform(in_batches, of, schema)
 
 
+def recognised(docs: DataFrame, filters: Filters, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text is in a language that the filters know (``Filters.knows``).
+
+    Null and empty texts and texts without letters go; so do texts in other languages and strings of letters in none. A
+    text of n n-grams is given one standard error's double, 1/sqrt(n), so that short ones are not lost by chance.
+    Filters in place: columns, even such as lang_pred and score, stay as they are.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+    where = docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([held.value.knows(t, least) for t in b.column(where).to_pylist()], pa.bool_()))
+
+    return docs.transform(in_batches, of, docs.schema)
+
+
 def identify(docs: DataFrame, held_out: Column, **bounds) -> DataFrame:
     """Fits on the rows that are not held out and predicts all rows: doc_id, held_out, lang_pred, score.
 
