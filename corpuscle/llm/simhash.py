@@ -140,7 +140,8 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     first takes SimHash of the set of words in several lanes: it ties a text to the least text of its fingerprint in each
     lane, and that one to the least text of the commonest fingerprint within two bits under the same anchor. The second
     ties the texts that share a shingle of their prefixes to one of them, another for each shingle. The third seeks
-    all pairs whose prefixes share enough, but only between classes still apart; a pair within a class could join nothing.
+    all pairs that share a prefix shingle early enough to overlap as the threshold asks, but only between classes still
+    apart; a pair within a class could join nothing.
 
     Equal texts are one entry from the start. Null counts as empty, empty texts are one
     class, repeated rows stay, a null id gets the least id of its class; an empty table gives an empty one; other
@@ -181,11 +182,12 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
 
     met = of_class(joined)
     mixed = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("shingle")
-    x, y = (met.join(mixed, "shingle", "left_semi").withColumnsRenamed({c: f"{c}_{k}" for c in ("rep", "size", "class")}) for k in "uv")
-    apart = x.join(y, "shingle").where((F.col("rep_u") < F.col("rep_v")) & (F.col("class_u") != F.col("class_v")) & fit(F.col("size_u"), F.col("size_v")))
-    # Of the text whose prefix ends first, what the other has lies in both prefixes or behind its own: a bound on the overlap.
-    behind = F.ceil(least * F.greatest("size_u", "size_v") - 1e-9) - 1
-    apart = apart.groupBy(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"), "size_u", "size_v").agg(F.count("*").alias("n")).where(F.col("n") + behind >= least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-6).select("u", "v").distinct()
+    x, y = (met.join(mixed, "shingle", "left_semi").withColumnsRenamed({c: f"{c}_{k}" for c in ("rep", "size", "place", "class")}) for k in "uv")
+    # At the first shingle that two texts share, all that they share stands there or behind, in both: a bound on the overlap.
+    ahead = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
+    enough = ahead >= least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    apart = x.join(y, "shingle").where((F.col("rep_u") < F.col("rep_v")) & (F.col("class_u") != F.col("class_v")) & fit(F.col("size_u"), F.col("size_v")) & enough)
+    apart = apart.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct()
     more = _similar(docs, keep(apart, "pairs"), least, words, id_col, text_col)
     classes = components(more.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep"})
     reps = first.select("same", "rep").join(classes, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
@@ -199,7 +201,7 @@ def _shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _shared_prefixes(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """shingle, rep, size (of the text's set): every shingle of a text's prefix that is in another text's prefix too.
+    """shingle, rep, size (of the text's set), place (in its order): every shingle of a text's prefix that is in another's too.
 
     Two sets with a Jaccard similarity of ``least`` or more share ``least`` of either at the fewest, so that if each
     is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; here the
@@ -235,7 +237,7 @@ def _shared_prefixes(docs: DataFrame, reps: DataFrame, least: float, words: int,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["rep", "size", "prefix"])
 
     heads = rows.transform(in_batches, cut, f"rep {kind}, size int, prefix array<long>").join(reps.select("rep"), "rep", "left_semi")
-    entries = heads.select("rep", "size", F.explode("prefix").alias("shingle")).transform(keep, "entries")
+    entries = heads.select("rep", "size", F.posexplode("prefix").alias("place", "shingle")).transform(keep, "entries")
     shared = entries.groupBy("shingle").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("shingle")
     return entries.join(shared, "shingle").distinct()
 
