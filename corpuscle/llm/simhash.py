@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import shingles
-from corpuscle.llm.common import in_batches, keep
+from corpuscle.llm.common import discard, in_batches, keep, kept_path
 from corpuscle.llm.components import components
 
 #: Texts that common shingles are counted in, and how many of these are known to all tasks. They set an order, no result.
@@ -55,6 +55,15 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     return docs.select(id_col, text_col).transform(in_batches, of, f"{id_col} {kind}, fp long")
 
 
+_LOW = sum(1 << (3 * k) for k in range(21))
+
+
+def _own(fp: Column) -> tuple[Column, Column]:
+    """The anchor of a fingerprint itself, and the blocks whose bits differ among themselves, one bit each."""
+    a, b, c = (F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(_LOW)) for k in range(3))
+    return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c)), a.bitwiseXOR(b).bitwiseOR(a.bitwiseXOR(c))
+
+
 def _anchors(fp: Column) -> Column:
     """Anchors within reach of a fingerprint, as an array of longs.
 
@@ -64,30 +73,21 @@ def _anchors(fp: Column) -> Column:
     bit of ``fp`` are its own and those with one such block flipped: 17 on average, 22 at most. Two fingerprints
     at two bits have a point between them, one bit from each; its anchor is in both arrays.
     """
-    low = F.lit(sum(1 << (3 * k) for k in range(21)))
-    a, b, c = (F.shiftrightunsigned(fp, k).bitwiseAND(low) for k in range(3))
-    own = a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
-    loose = a.bitwiseXOR(b).bitwiseOR(a.bitwiseXOR(c))
+    own, loose = _own(fp)
     bit = [F.lit(1 << (3 * k)) for k in range(21)]
     return F.array_compact(F.array(own, *(F.when(loose.bitwiseAND(x) != 0, own.bitwiseXOR(x)) for x in bit)))
 
 
-def fingerprint_links(fps: DataFrame, fp_col: str = "fp", lane_col: str | None = None, class_col: str | None = None) -> DataFrame:
-    """Pairs a < b of distinct fingerprints at 1 or 2 differing bits, each once (with ``lane_col``: within a lane).
+def fingerprint_links(fps: DataFrame, fp_col: str = "fp") -> DataFrame:
+    """Pairs a < b of distinct fingerprints at 1 or 2 differing bits, each once.
 
     Every fingerprint is sent to the anchors within reach and compared there with the others sent to it. A
-    fingerprint has at most 2080 neighbours within two bits, whatever the number of documents that share it. With
-    ``class_col``, pairs within one class (not null) are left out: they are joined already.
+    fingerprint has at most 2080 neighbours within two bits, whatever the number of documents that share it.
     """
-    lane = F.lit(0) if lane_col is None else F.col(lane_col)
-    held = [] if class_col is None else [F.col(class_col).alias("class")]
-    sent = fps.select(F.col(fp_col).alias("fp"), lane.alias("lane"), *held).where("fp is not null").distinct().select("fp", "lane", *(["class"] * len(held)), F.explode(_anchors(F.col("fp"))).alias("anchor"))
-    a, b = (sent.withColumnsRenamed({"fp": x, "class": f"class_{x}"}) for x in "ab")
+    sent = fps.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct().select("fp", F.explode(_anchors(F.col("fp"))).alias("anchor"))
+    a, b = (sent.withColumnRenamed("fp", x) for x in "ab")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    if held:
-        close &= F.coalesce(F.col("class_a") != F.col("class_b"), F.lit(True))
-    found = a.join(b, ["lane", "anchor"]).where(close).select("lane", "a", "b").distinct()
-    return found.drop("lane") if lane_col is None else found
+    return a.join(b, "anchor").where(close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,12 +128,12 @@ def lanes_of(text: str | None, lanes: int) -> np.ndarray:
     return out
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents joined by chains of texts whose word shingles have a Jaccard similarity of ``least`` or more.
 
     One row a document: id column and component_id (the least id of its class). No pair is missed: two texts at the
-    threshold share one of the first shingles of their sets, in an order that is the same for all texts (``_shared_prefixes``).
-    Every candidate pair is checked on distinct shingles of ``words`` words, by 40 bits of their hashes; texts with fewer
+    threshold share one of the first shingles of their sets, in an order that is the same for all texts (``_heads``).
+    Every candidate pair is checked on distinct shingles of ``words`` words, by 48 bits of their hashes; texts with fewer
     words are one shingle.
 
     Pairs are sought in three rounds, so that a large class costs a few pairs a text and not the square of its size. The
@@ -148,6 +148,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,27 +159,28 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
 
     rows = keep(docs.select(id_col, text_col).transform(in_batches, read, f"{id_col} {kind}, same binary, fps array<long>"), "lanes")
     first = keep(rows.where(F.col(id_col).isNotNull()).groupBy("same").agg(F.min(id_col).alias("rep"), F.first("fps").alias("fps")), "texts")
+    heads = keep(_heads(docs, first, least, words, id_col, text_col), "heads")
+    similar = lambda pairs: _similar(docs, heads, keep(pairs, "pairs"), least, words, id_col, text_col)
+
     members = first.select("rep", F.posexplode("fps").alias("lane", "fp"))
-    groups = keep(members.groupBy("lane", "fp").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")), "groups")
-    ends = members.join(groups.where("lo <> hi"), ["lane", "fp"])
+    groups = keep(members.groupBy("lane", "fp").agg(F.min("rep").alias("lo"), F.count("*").alias("n")), "groups")
+    ends = members.join(groups.where("n > 1"), ["lane", "fp"])
     pair = lambda df, a, b: df.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
-    at = groups.select("lane", "fp", "lo", "n", F.get(_anchors(F.col("fp")), 0).alias("anchor"))
-    best = at.groupBy("lane", "anchor").agg(F.max_by(F.struct("fp", "lo"), F.struct("n", "fp")).alias("best"))
+    at = groups.select("lane", "fp", "lo", "n", _own(F.col("fp"))[0].alias("anchor"))
+    best = at.groupBy("lane", "anchor").agg(F.max(F.struct("n", "fp", "lo")).alias("best"))
     tied = at.join(best, ["lane", "anchor"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("best.fp"))) <= 2)
-    early = pair(ends, "rep", "lo").unionByName(pair(tied, "lo", F.col("best.lo"))).where("u <> v").distinct()
-    links = _similar(docs, keep(early, "pairs"), least, words, id_col, text_col)
+    links = similar(pair(ends, "rep", "lo").unionByName(pair(tied, "lo", F.col("best.lo"))).where("u <> v").distinct())
     joined = keep(components(links, "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
 
-    hits = keep(_shared_prefixes(docs, first, least, words, id_col, text_col), "prefixes")
+    hits = keep(_shared_prefixes(heads), "prefixes")
     of_class = lambda classes: hits.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     met = of_class(joined)
     star = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min_by(F.struct("rep", "size", "class"), F.xxhash64("rep", "shingle")).alias("star")).where("one <> other").select("shingle", "star")
     fit = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     tied = met.join(star, "shingle").where((F.col("class") != F.col("star.class")) & fit(F.col("size"), F.col("star.size")))
-    late = _similar(docs, keep(pair(tied, "rep", F.col("star.rep")).distinct(), "pairs"), least, words, id_col, text_col)
-    united = lambda links: keep(components(links.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
-    joined = united(late)
+    late = similar(pair(tied, "rep", F.col("star.rep")).distinct())
+    joined = keep(components(late.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
 
     met = of_class(joined)
     mixed = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("shingle")
@@ -187,26 +189,47 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     ahead = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
     enough = ahead >= least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-6
     apart = x.join(y, "shingle").where((F.col("rep_u") < F.col("rep_v")) & (F.col("class_u") != F.col("class_v")) & fit(F.col("size_u"), F.col("size_v")) & enough)
-    apart = apart.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct()
-    more = _similar(docs, keep(apart, "pairs"), least, words, id_col, text_col)
-    classes = components(more.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep"})
+    more = similar(apart.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct())
+    classes = keep(components(more.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep"}), "joined")
+    for done in (heads, hits, groups):
+        if done.columns and not done.isEmpty():
+            discard(spark, kept_path(done))
     reps = first.select("same", "rep").join(classes, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return rows.select(id_col, "same").join(reps, "same", "left").select(id_col, "component_id")
 
 
 def _shingles(text: str | None, words: int) -> np.ndarray:
-    """40 bits of the hashes of a text's distinct shingles, ascending."""
+    """48 bits of the hashes of a text's distinct shingles, ascending."""
     w = shingles.word_hashes(text)
-    return np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w)))) >> np.uint64(24))
+    return np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w)))) >> np.uint64(16))
 
 
-def _shared_prefixes(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """shingle, rep, size (of the text's set), place (in its order): every shingle of a text's prefix that is in another's too.
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of each of some slots, at least two for every hash and a power of two in all, whether an odd number of hashes falls there."""
+    slots = 64 << max(0, (2 * len(hashes) - 1).bit_length() - 6)
+    odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, least: float) -> bool:
+    """Whether two sets of n and m hashes with these parities can have a Jaccard similarity of ``least``: never wrongly false.
+
+    Slots of unlike parity hold an element that only one set has, so they are no more than such elements. The finer
+    parities are folded to the number of slots of the coarser.
+    """
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return min(n, m) >= least * max(n, m) - 1e-9 and int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-6
+
+
+def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, size (of the text's set of shingles), parity (``parities`` of the set) and prefix (its first shingles) of each text.
 
     Two sets with a Jaccard similarity of ``least`` or more share ``least`` of either at the fewest, so that if each
     is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; here the
-    shingles go first that a sample of ``ORDER_TEXTS`` texts does not know as common, so that few texts meet. Counts
-    and joins are by single shingles: no list of texts is gathered, and a join may split a hot shingle.
+    shingles go first that a sample of ``ORDER_TEXTS`` texts does not know as common, so that few texts meet.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
@@ -225,49 +248,67 @@ def _shared_prefixes(docs: DataFrame, reps: DataFrame, least: float, words: int,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = order.value
         for b in batches:
-            sizes, heads = [], []
+            sizes, odd, heads = [], [], []
             for t in b.column(1).to_pylist():
                 h = _shingles(t, words)
                 sizes.append(len(h))
+                odd.append(parities(h).tobytes())
                 most = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, n[at], 0), kind="stable")]
                 heads.append(h[:most].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["rep", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["rep", "size", "parity", "prefix"])
+
+    return rows.transform(in_batches, cut, f"rep {kind}, size int, parity binary, prefix array<long>").join(reps.select("rep"), "rep", "left_semi")
+
 
-    heads = rows.transform(in_batches, cut, f"rep {kind}, size int, prefix array<long>").join(reps.select("rep"), "rep", "left_semi")
-    entries = heads.select("rep", "size", F.posexplode("prefix").alias("place", "shingle")).transform(keep, "entries")
-    shared = entries.groupBy("shingle").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("shingle")
+def _shared_prefixes(heads: DataFrame) -> DataFrame:
+    """shingle, rep, size, place (in the text's order): every shingle of a text's prefix that is in another's too.
+
+    Counts and joins are by single shingles: no list of texts is gathered, and a join may split a hot shingle.
+    """
+    entries = heads.select("rep", "size", F.posexplode("prefix").alias("place", "shingle"))
+    shared = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     return entries.join(shared, "shingle").distinct()
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
+def _similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
     """Of stored pairs u, v of ids, those whose texts' distinct shingles have a Jaccard similarity of ``least`` or more.
 
-    Shingles are compared by 40 bits of their hashes, ascending."""
+    Parities, a small part of a set, rule most other pairs out (``may_be_similar``); the sets themselves, 48 bits a
+    shingle, are compared for those left."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            odd = [[np.frombuffer(x, "<u8") for x in b.column(k).to_pylist()] for k in (2, 3)]
+            good = pa.array([may_be_similar(x, y, n, m, least) for x, y, n, m in zip(*odd, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["u", "v"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [_shingles(t, words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in b.column(1).to_pylist()]
+            sets = [_shingles(t, words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     def numbers(cell: pa.Scalar) -> np.ndarray:
-        raw = np.frombuffer(cell.as_py(), np.uint8).reshape(-1, 5)
-        return np.pad(raw, ((0, 0), (0, 3))).view("<u8").reshape(-1)
+        raw = np.frombuffer(cell.as_py(), np.uint8).reshape(-1, 6)
+        return np.pad(raw, ((0, 0), (0, 2))).view("<u8").reshape(-1)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = numbers(x), numbers(y)
-                n = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= least * max(len(p), len(q)) else 0
+                n = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(n >= least * (len(p) + len(q) - n) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], ["u", "v"])
 
-    named = keep(pairs.select(F.col("u").alias(id_col)).unionByName(pairs.select(F.col("v").alias(id_col))).distinct(), "named")
+    of = lambda k: heads.select(F.col("rep").alias(k), F.col("parity").alias(f"parity_{k}"), F.col("size").alias(f"size_{k}"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "parity_u", "parity_v", "size_u", "size_v")
+    near = keep(met.transform(in_batches, narrow, f"u {kind}, v {kind}").distinct(), "near")
+    named = keep(near.select(F.col("u").alias(id_col)).unionByName(near.select(F.col("v").alias(id_col))).distinct(), "named")
     texts = docs.select(id_col, text_col).join(named, id_col, "left_semi").transform(in_batches, cut, f"rep {kind}, shingles binary")
-    sets = keep(texts.dropDuplicates(["rep"]), "shingles")
-    sized = pairs.join(sets.withColumnsRenamed({"rep": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"rep": "v", "shingles": "y"}), "v")
-    return sized.select("u", "v", "x", "y").transform(in_batches, check, f"u {kind}, v {kind}")
+    sets = texts.dropDuplicates(["rep"])
+    sized = near.join(sets.withColumnsRenamed({"rep": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"rep": "v", "shingles": "y"}), "v")
+    return keep(sized.select("u", "v", "x", "y").transform(in_batches, check, f"u {kind}, v {kind}"), "links")
