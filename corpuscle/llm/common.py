@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 _CHECKPOINT = "spark.checkpoint.dir"
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows, and bytes, that Spark hands to Python at once: whole documents are long, and an executor holds a batch several times.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
