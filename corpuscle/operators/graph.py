@@ -35,19 +35,20 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, node: str, depth: int, sou
     return seen
 
 
-def ancestors(tree: DataFrame, node: str, parent: str, deepest: int = 64) -> DataFrame:
+def ancestors(tree: DataFrame, node: str, parent: str) -> DataFrame:
     """node, ancestor and hops, nearest first; a cycle ends where it closes.
 
-    Walks up one join a level until no row is left. Trees of containment are shallow.
+    Walks up one join a level until no row is left, however deep the tree; each level is checkpointed, so that none is
+    computed again for the next or for the result.
     """
     up = tree.where(F.col(parent).isNotNull()).select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
     level = up.select(F.col("__n").alias("node"), F.col("__p").alias("ancestor"), F.lit(1).alias("hops"), F.array("__n").alias("seen")).where("node <> ancestor")
-    out = level
-    for hop in range(2, deepest + 1):
+    level = out = _cut(level)
+    hop = 1
+    while not level.isEmpty():
+        hop += 1
         level = level.join(up, F.col("ancestor") == F.col("__n")).where(~F.array_contains("seen", F.col("__p")) & (F.col("__p") != F.col("ancestor")))
-        level = level.select("node", F.col("__p").alias("ancestor"), F.lit(hop).alias("hops"), F.concat("seen", F.array("__n")).alias("seen"))
-        if level.isEmpty():
-            break
+        level = _cut(level.select("node", F.col("__p").alias("ancestor"), F.lit(hop).alias("hops"), F.concat("seen", F.array("__n")).alias("seen")))
         out = out.unionByName(level)
     return out.select("node", "ancestor", "hops")
 
@@ -57,7 +58,7 @@ def descendants(tree: DataFrame, node: str, parent: str) -> DataFrame:
     return ancestors(tree, node, parent).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "hops")
 
 
-def in_cycle(tree: DataFrame, node: str, parent: str, deepest: int = 64) -> DataFrame:
+def in_cycle(tree: DataFrame, node: str, parent: str) -> DataFrame:
     """Nodes whose chain of parents comes back to them.
 
     The nodes that lie on no cycle are peeled from both ends, a level a round: first what no one names as parent, then
@@ -65,7 +66,7 @@ def in_cycle(tree: DataFrame, node: str, parent: str, deepest: int = 64) -> Data
     """
     left = _cut(tree.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up")))
     size = left.count()
-    for _ in range(deepest):
+    while True:
         named, held = left.select(F.col("up").alias("node")), left.select(F.col("node").alias("up"))
         left = _cut(left.join(named, "node", "left_semi").join(held, "up", "left_semi").select("node", "up"))
         before, size = size, left.count()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +151,8 @@ def path_latency(segments: DataFrame, path: str = "path") -> DataFrame:
         return pd.DataFrame({path: [key[0]], "mean_ms": [mean], **{f"p{round(100 * q)}_ms": [quantile(total, q, step)] for q in (0.5, 0.95, 0.99)}, "saturated": [full]})
 
     kind = segments.schema[path].dataType.simpleString()
-    return segments.groupBy(path).applyInPandas(compose, f"{path} {kind}, mean_ms double, p50_ms double, p95_ms double, p99_ms double, saturated array<string>")
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work, not to be put together
+    return segments.repartition(parts, path).groupBy(path).applyInPandas(compose, f"{path} {kind}, mean_ms double, p50_ms double, p95_ms double, p99_ms double, saturated array<string>")
 
 
 # -- capacity
@@ -162,12 +166,72 @@ def bottlenecks(resources: DataFrame, limits: DataFrame) -> DataFrame:
     """
     from corpuscle.operators.relational import wildcard_join
 
-    rows = wildcard_join(resources, limits, "service")
-    usage = lambda rps: rps * numeric.queue(F.col("service_ms"), rps, F.col("servers"))["total_ms"] / 1000
-    found = rows.select("id", "limit_id", numeric.breaking_rate(usage, F.col("value")).alias("breaking_rps")).where("breaking_rps is not null")
+    rows = wildcard_join(resources, limits, "service").select("id", "limit_id", *(F.col(c).cast("double") for c in ("service_ms", "servers", "value")))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            service, servers, limit = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            usage = lambda rps: rps * total_ms(service, rps, servers) / 1000  # noqa: E731, B023
+            lo, hi = np.zeros(len(limit)), np.full(len(limit), numeric.RPS_CEILING)
+            for _ in range(numeric.BISECTIONS):
+                mid = (lo + hi) / 2
+                reached, open_ = usage(mid) >= limit, hi - lo > numeric.RPS_TOLERANCE
+                lo, hi = np.where(open_ & ~reached, mid, lo), np.where(open_ & reached, mid, hi)
+            rate = np.where(usage(np.zeros(len(limit))) >= limit, 0.0, hi)
+            breaks = usage(np.full(len(limit), numeric.RPS_CEILING)) >= limit
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rate, pa.float64())], ["id", "limit_id", "breaking_rps"]).filter(pa.array(breaks))
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "limit_id")}
+    found = rows.mapInArrow(solve, f"id {kinds['id']}, limit_id {kinds['limit_id']}, breaking_rps double")
     return found.orderBy("breaking_rps", "id", "limit_id")
 
 
+def total_ms(service: np.ndarray, rps: np.ndarray, servers: np.ndarray) -> np.ndarray:
+    """Time in a queue of exponential times, for whole arrays: ``numeric.queue`` on every row at once. Null counts as no limit's reach."""
+    c = np.maximum(1, np.floor(np.nan_to_num(servers, nan=1.0) + 0.5))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        capacity = c * 1000.0 / service
+        rho = np.minimum(np.maximum(0.0, rps) / capacity, numeric.SATURATION)
+        offered, blocked, wait = c * rho, np.ones(len(c)), np.zeros(len(c))
+        for n in range(1, int(c.max(initial=0)) + 1):
+            blocked = np.where(n <= c, offered * blocked / (n + offered * blocked), blocked)
+        wait = np.where(rho > 0, blocked / (1 - rho * (1 - blocked)), 0.0)
+        waited = wait / (capacity * (1 - rho)) * 1000
+    return np.where(service > 0, waited + service, np.maximum(0.0, np.nan_to_num(service)))
+
+
+def with_percentile(rows: DataFrame, queue: str, q: float, name: str, steps: int = 80) -> DataFrame:
+    """Adds the time that a share q of a queue's requests does not exceed: ``numeric.percentile_ms`` for a batch at once."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(b.schema.get_field_index(queue))
+            field = lambda k: held.field(k).to_numpy(zero_copy_only=False).astype(float)  # noqa: E731, B023
+            service, wait, p, total = (field(k) for k in ("service_ms", "queue_ms", "wait_probability", "total_ms"))
+            fixed = np.array([m == "fixed" for m in held.field("model").to_pylist()], bool)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                mu, nu = 1 / service, p / wait
+
+                def above(t: np.ndarray, mu=mu, nu=nu, p=p, wait=wait) -> np.ndarray:
+                    served, gap = np.exp(-mu * t), nu - mu
+                    moving = np.where(np.abs(gap) < 1e-12 * mu, served * (1 - p + p * (1 + mu * t)), (1 - p) * served + p * (nu * served - mu * np.exp(-nu * t)) / gap)
+                    return np.where(t <= 0, 1.0, np.where((wait > 0) & (p > 0), moving, served))
+
+                lo, hi = np.zeros(len(total)), np.maximum(total, 1.0)
+                for _ in range(200):
+                    short = above(hi) > 1 - q
+                    if not short.any():
+                        break
+                    hi = np.where(short, hi * 2, hi)
+                for _ in range(steps):
+                    mid = (lo + hi) / 2
+                    more, done = above(mid) > 1 - q, hi - lo <= 1e-12 * np.maximum(1.0, hi)
+                    lo, hi = np.where(~done & more, mid, lo), np.where(~done & ~more, mid, hi)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(fixed, service, (lo + hi) / 2), pa.float64())], [*b.schema.names, name])
+
+    return rows.mapInArrow(solve, rows.withColumn(name, F.lit(0.0)).schema)
+
+
 # -- availability
 
 

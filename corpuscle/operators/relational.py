@@ -122,9 +122,10 @@ def prefer(base: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that appeared and disappeared, with state, and one row of the number that stayed."""
+    """Rows that appeared and disappeared, with state; last, one row of nulls whose state is ``unchanged`` and their number."""
     new, gone = after.exceptAll(before).withColumn("state", F.lit("appeared")), before.exceptAll(after).withColumn("state", F.lit("resolved"))
-    return new.unionByName(gone)
+    stayed = before.intersectAll(after).agg(F.concat(F.lit("unchanged "), F.count(F.lit(1))).alias("state"))
+    return new.unionByName(gone).unionByName(stayed, allowMissingColumns=True)
 
 
 def duplicates(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -60,10 +60,11 @@ def f3_size_cap(spark, d):
     return table(spark, d, "documents").where("n_chars <= 2000").select("doc_id", "n_chars")
 
 
-@query("SELECT doc_id, false AS is_binary FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, true FROM documents WHERE doc_id % 2 = 1 AND length(text) < 8000")
+@query("SELECT doc_id, doc_id % 2 = 1 AS is_binary FROM documents")
 def f4_binary_probe(spark, d):
-    rows = table(spark, d, "documents").where((F.col("doc_id") % 2 == 0) | (F.length("text") < 8000))
-    raw = F.when(F.col("doc_id") % 2 == 1, F.unhex(F.concat(F.hex(F.encode(F.substring("text", 1, 2000), "UTF-8")), F.lit("0041")))).otherwise(F.encode("text", "UTF-8"))
+    rows = table(spark, d, "documents")
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    raw = F.when(F.col("doc_id") % 2 == 1, F.concat(F.unhex(F.lit("4100")), whole)).otherwise(whole)
     return rows.select("doc_id", manifest.binary(raw).alias("is_binary"))
 
 
@@ -128,10 +129,9 @@ def s13_line_slice(spark, d):
     return rows.where("lines is not null")
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) AS line FROM documents WHERE length(text) < 3000")
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS line FROM documents")
 def s14_line_of_byte(spark, d):
-    rows = table(spark, d, "documents").where(F.length("text") < 3000)
-    return rows.select("doc_id", text.line_of_byte(F.col("text"), F.octet_length("text")).alias("line"))
+    return table(spark, d, "documents").select("doc_id", text.line_of_byte(F.col("text"), F.octet_length("text")).alias("line"))
 
 
 @query("SELECT source, sum(n_chars)::BIGINT AS total, sum(n_chars) / sum(sum(n_chars)) OVER () AS share FROM documents GROUP BY source")

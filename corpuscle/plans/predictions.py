@@ -107,8 +107,9 @@ def m12_max_connections(spark, d):
 @query()
 def d14_path_latency(spark, d):
     q = _load(spark, d).withColumn("queue", numeric.queue(F.col("service_ms"), F.col("arrival_rps") / 10, F.col("servers")))
-    seg = q.select((F.floor(F.col("id") / 5)).alias("path"), (F.col("id") % 5).cast("int").alias("pos"), F.when(F.col("id") % 5 == 4, 0).alias("branch"), F.lit(0).alias("step"), F.col("id").cast("string").alias("id"), "queue", numeric.percentile_ms(F.col("queue"), 0.99).alias("p99"))
-    out = predict.path_latency(seg)
+    k = (F.col("id") % 5).cast("int")  # two in line, then two branches side by side, the second of two steps
+    seg = q.select((F.floor(F.col("id") / 5)).alias("path"), F.least(k, F.lit(2)).alias("pos"), F.when(k >= 2, F.least(k - 2, F.lit(1))).alias("branch"), k.alias("step"), F.col("id").cast("string").alias("id"), "queue")
+    out = predict.path_latency(predict.with_percentile(seg, "queue", 0.99, "p99"))
     return out.select("path", *(F.round(c, 4).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "p99_ms")))
 
 

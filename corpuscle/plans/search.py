@@ -66,20 +66,20 @@ def j10_innermost(spark, d):
     return retrieval.innermost(spans, "k", "k").select("k", "lo", "hi")
 
 
-@query(f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM documents) GROUP BY term HAVING count(*) > 3")
+@query(f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM documents) GROUP BY term")
 def a21_term_stats(spark, d):
     df, _ = retrieval.term_stats(table(spark, d, "documents"), "doc_id", text.word_tokens(F.col("text")))
-    return df.where("df > 3")
+    return df
 
 
-_BM25 = f"""WITH d AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d), q AS (SELECT item_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark WHERE item_id < 10),
+_BM25 = f"""WITH d AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d), q AS (SELECT item_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark),
 tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) ORDER BY term), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) """
 
 
 def _bm25(spark, d):
-    queries = table(spark, d, "benchmark").where("item_id < 10")
+    queries = table(spark, d, "benchmark")
     return retrieval.bm25(table(spark, d, "documents"), queries, "doc_id", text.word_tokens(F.col("text")), "item_id", text.word_tokens(F.col("text")), 5)
 
 
@@ -89,7 +89,7 @@ def m19_bm25(spark, d):
 
 
 def _lists(spark, d):
-    ev = table(spark, d, "events").where("event_id < 2000")
+    ev = table(spark, d, "events")
     one = latest(ev, ["event_type"], [F.desc("value"), "event_id"], 10)
     from pyspark.sql.window import Window
 
@@ -98,7 +98,7 @@ def _lists(spark, d):
     return one, rank(users, F.desc("value"), "user_id").where("rank <= 20"), rank(users, F.desc("n"), "user_id").where("rank <= 20")
 
 
-_LISTS = """WITH u AS (SELECT event_type, user_id, max(value) AS value, count(*) AS n FROM events WHERE event_id < 2000 GROUP BY 1, 2), a AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, user_id) AS rank FROM u QUALIFY rank <= 20),
+_LISTS = """WITH u AS (SELECT event_type, user_id, max(value) AS value, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, user_id) AS rank FROM u QUALIFY rank <= 20),
 b AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS rank FROM u QUALIFY rank <= 20), f AS (SELECT event_type, user_id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0) AS score FROM a FULL JOIN b USING (event_type, user_id)) """
 
 
@@ -113,7 +113,7 @@ t AS (SELECT event_type, sum((pow(2.0, grade) - 1) / log2(rank + 1.0) ORDER BY r
 SELECT event_type, round(coalesce(found, 0) / n, 6) AS recall, round(coalesce(dcg, 0) / idcg, 6) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM t LEFT JOIN h USING (event_type)""")
 def a23_metrics(spark, d):
     _, a, _ = _lists(spark, d)
-    grades = table(spark, d, "events").where("event_id < 2000").select("event_type", "user_id").distinct().withColumn("grade", (F.col("user_id") % 4).cast("int"))
+    grades = table(spark, d, "events").select("event_type", "user_id").distinct().withColumn("grade", (F.col("user_id") % 4).cast("int"))
     out = retrieval.metrics(a, grades, "event_type", "user_id", 10)
     return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("recall", "ndcg", "mrr")))
 

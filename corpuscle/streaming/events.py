@@ -60,11 +60,21 @@ def reduce_event(state: dict, e) -> dict:
     elif k == "done":
         state["status"] = e.finish or "complete"
     elif k == "snapshot":
-        state = empty_state() | {"content": e.message}
+        state = snapshot(e.message)
     state["last_seq"] = e.seq
     return state
 
 
+def snapshot(message: str) -> dict:
+    """The state that a snapshot's message, a JSON object, replaces all before with."""
+    m = json.loads(message) if message[:1] == "{" else {"content": message}
+    calls = [[c.get("callId") or c.get("call_id") or "", c.get("ok") is not None] for c in m.get("toolCalls") or []]
+    proposal = m.get("proposal") or {}
+    return empty_state() | {
+        "content": m.get("content") or "", "status": m.get("status") or "streaming", "citations": len(m.get("citations") or []), "unverified": m.get("unverifiedCitations") or 0,
+        "calls": calls, "proposal": proposal.get("proposalId") or proposal.get("id")}
+
+
 def empty_state() -> dict:
     return {"content": "", "status": "streaming", "citations": 0, "unverified": 0, "calls": [], "proposal": None, "last_seq": -1}
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpuscle.operators import chunks, graph, manifest, patches, predict, profile, relational, retrieval
@@ -207,3 +208,61 @@ def test_message_states_stream(spark, tmp_path):
 def test_rate_limit_stream_has_watermark(spark):
     r = spark.readStream.format("rate").load().withColumn("k", F.lit(1))
     assert events.rate_limited(r, "k", "timestamp", {"1 minute": 5}, late="5 minutes").isStreaming
+
+
+def test_bottlenecks_and_percentiles_against_columns(spark):
+    """The array forms against the column expressions, row by row."""
+    from corpuscle.functions import numeric
+    from corpuscle.operators import predict
+
+    rows = spark.createDataFrame([(k, str(k % 3), k % 8 + 1, float(k % 40), float(k * 7 % 900)) for k in range(300)], "id long, service string, servers int, service_ms double, rps double")
+    limits = spark.createDataFrame([("a", "0", 100.0), ("b", "1", 50.0), ("c", "*", 1000.0), ("d", "2", 0.0), ("e", "*", 1e12), ("f", "*", None)], "limit_id string, service string, value double")
+    got = {(r.id, r.limit_id): r.breaking_rps for r in predict.bottlenecks(rows, limits).collect()}
+    usage = lambda rps: rps * numeric.queue(F.col("service_ms"), rps, F.col("servers"))["total_ms"] / 1000
+    both = rows.alias("r").join(limits.alias("l"), (F.col("l.service") == F.col("r.service")) | (F.col("l.service") == "*"))
+    want = {(r.id, r.limit_id): r.b for r in both.select("id", "limit_id", numeric.breaking_rate(usage, F.col("value")).alias("b")).where("b is not null and limit_id <> 'f'").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    queues = rows.withColumn("queue", numeric.queue(F.col("service_ms"), F.col("rps") / 10, F.col("servers")))
+    out = predict.with_percentile(queues, "queue", 0.99, "p").select("id", "p", numeric.percentile_ms(F.col("queue"), 0.99).alias("w")).collect()
+    assert len(out) == 300 and all(abs(r.p - r.w) <= 1e-6 * max(1.0, r.w) for r in out)
+
+
+def test_parallel_branches_take_the_slowest(spark):
+    from corpuscle.functions import numeric
+    from corpuscle.operators import predict
+
+    rows = spark.createDataFrame([("x", 0, None, 0, "a", 5.0), ("x", 1, 0, 0, "b", 10.0), ("x", 1, 1, 0, "c", 30.0)], "path string, pos int, branch int, step int, id string, ms double")
+    seg = rows.withColumn("queue", numeric.queue(F.col("ms"), F.lit(1.0), F.lit(1)))
+    got = predict.path_latency(predict.with_percentile(seg, "queue", 0.99, "p99")).first()
+    rng = np.random.default_rng(2)
+    t = [rng.exponential(1 / (1000 / m - 1) * 1000, 400_000) for m in (5.0, 10.0, 30.0)]  # M/M/1: exponential of rate mu - lambda
+    total = t[0] + np.maximum(t[1], t[2])
+    assert abs(got.mean_ms / total.mean() - 1) < 0.02 and abs(got.p95_ms / np.quantile(total, 0.95) - 1) < 0.02
+
+
+def test_deep_trees(spark):
+    from corpuscle.operators import graph
+
+    chain = [(k, k - 1 if k else None) for k in range(90)] + [(200, 201), (201, 200)]
+    tree = spark.createDataFrame(chain, "id long, parent long")
+    assert sorted(r.node for r in graph.in_cycle(tree, "id", "parent").collect()) == [200, 201]
+    up = graph.ancestors(tree.where("id < 90"), "id", "parent")
+    assert up.count() == 90 * 89 // 2 and up.agg(F.max("hops")).first()[0] == 89
+
+
+def test_snapshots_replace_the_state(spark):
+    from corpuscle.streaming import events
+
+    message = '{"seq": 3, "message": {"content": "whole", "status": "complete", "citations": [{"verified": true}, {}], "unverifiedCitations": 1, "toolCalls": [{"callId": "a", "ok": true}, {"callId": "b"}], "proposal": {"proposalId": "p"}}}'
+    rows = [("m", "1", "token", '{"seq": 1, "text": "part"}'), ("m", "3", "snapshot", message), ("m", "4", "token", '{"seq": 4, "text": "!"}'), ("m", "5", "tool_result", '{"seq": 5, "callId": "b", "ok": true}')]
+    frames = spark.createDataFrame(rows, "message_id string, id string, event string, data string")
+    got = events.message_states(events.decode_events(frames)).first()
+    assert (got.content, got.status, got.citations, got.unverified, got.tool_calls, got.tools_done, got.proposal, got.last_seq) == ("whole!", "complete", 2, 1, 2, 2, "p", 5)
+
+
+def test_delta_counts_what_stayed(spark):
+    from corpuscle.operators import relational
+
+    out = relational.delta(spark.range(0, 5), spark.range(2, 7)).collect()
+    assert sorted((r.id, r.state) for r in out if r.id is not None) == [(0, "resolved"), (1, "resolved"), (5, "appeared"), (6, "appeared")]
+    assert [r.state for r in out if r.id is None] == ["unchanged 3"]
