@@ -139,7 +139,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     Pairs are sought in three rounds, so that a large class costs a few pairs a text and not the square of its size. The
     first takes SimHash of the set of words in several lanes: it ties a text to the least text of its fingerprint in each
     lane, and that one to the least text of the commonest fingerprint within two bits under the same anchor. The second
-    ties the texts that share a shingle of their prefixes to one of them, another for each shingle. The third seeks
+    ties the texts that share a shingle of their prefixes to one of them, another for each shingle, in two turns. The third seeks
     all pairs that share a prefix shingle early enough to overlap as the threshold asks, but only between classes still
     apart; a pair within a class could join nothing.
 
@@ -175,12 +175,13 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
 
     hits = keep(_shared_prefixes(heads), "prefixes")
     of_class = lambda classes: hits.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    met = of_class(joined)
-    star = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min_by(F.struct("rep", "size", "class"), F.xxhash64("rep", "shingle")).alias("star")).where("one <> other").select("shingle", "star")
     fit = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    tied = met.join(star, "shingle").where((F.col("class") != F.col("star.class")) & fit(F.col("size"), F.col("star.size")))
-    late = similar(pair(tied, "rep", F.col("star.rep")).distinct())
-    joined = keep(components(late.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
+    for turn in range(2):  # another text for each shingle in the second turn, for those that the first did not reach
+        met = of_class(joined)
+        star = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min_by(F.struct("rep", "size", "class"), F.xxhash64(F.lit(turn), "rep", "shingle")).alias("star")).where("one <> other").select("shingle", "star")
+        tied = met.join(star, "shingle").where((F.col("class") != F.col("star.class")) & fit(F.col("size"), F.col("star.size")))
+        late = similar(pair(tied, "rep", F.col("star.rep")).distinct())
+        joined = keep(components(late.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
 
     met = of_class(joined)
     mixed = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("shingle")
@@ -241,7 +242,7 @@ def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array([_shingles(t, words).view(np.int64) for t in b.column(0).to_pylist()], pa.list_(pa.int64()))], ["shingles"])
 
     seen = rows.join(F.broadcast(sample), "rep", "left_semi").select("text").transform(in_batches, whole, "shingles array<long>")
-    common = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    common = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     found = sorted((r.shingle, r.n) for r in common.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect())
     order = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
 

@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 #: Words that a worker holds in one generation, of which it keeps two: a bound on memory that never changes an id.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
