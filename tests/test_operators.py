@@ -2,10 +2,10 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-import numpy as np
 from pyspark.sql import functions as F
 
 from corpuscle.operators import chunks, graph, manifest, patches, predict, profile, relational, retrieval
