@@ -14,9 +14,12 @@ from corpuscle.llm import shingles
 from corpuscle.llm.common import discard, in_batches, keep, kept_path
 from corpuscle.llm.components import components
 
-#: Texts that common shingles are counted in, and how many of these are known to all tasks. They set an order, no result.
-ORDER_TEXTS = 5000
-ORDER_SHINGLES = 1 << 17
+#: What sets the order of shingles, and no result: the share of the hashes' range that is counted exactly, how many of the
+#: commonest shingles all tasks know, how many shingles a task counts at once to find these, and up to which count one is rare.
+COUNTED = 5 / 16
+COMMON_SHINGLES = 1 << 17
+COUNTED_AT_ONCE = 1 << 20
+RARE = 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -159,7 +162,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
 
     rows = keep(docs.select(id_col, text_col).transform(in_batches, read, f"{id_col} {kind}, same binary, fps array<long>"), "lanes")
     first = keep(rows.where(F.col(id_col).isNotNull()).groupBy("same").agg(F.min(id_col).alias("rep"), F.first("fps").alias("fps")), "texts")
-    heads = keep(_heads(docs, first, least, words, id_col, text_col), "heads")
+    heads = _heads(docs, first, least, words, id_col, text_col)
     similar = lambda pairs: _similar(docs, heads, keep(pairs, "pairs"), least, words, id_col, text_col)
 
     members = first.select("rep", F.posexplode("fps").alias("lane", "fp"))
@@ -225,43 +228,80 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, least: float) -
     return min(n, m) >= least * max(n, m) - 1e-9 and int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-6
 
 
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``COMMON_SHINGLES`` commonest shingles of all texts, ascending, and their counts.
+
+    Tasks count some shingles at a time and send on those met twice, so that shingles of one text are never shuffled.
+    Copies met at one time count once.
+    """
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
+
+        held, size, met = [], 0, set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if (same := hash(t)) in met:
+                    continue
+                met.add(same)
+                held.append(_shingles(t, words))
+                size += len(held[-1])
+                if size >= COUNTED_AT_ONCE:
+                    yield out()
+                    held, size, met = [], 0, set()
+        if held:
+            yield out()
+
+    counts = rows.select("text").transform(in_batches, repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toPandas().sort_values("shingle")
+    return found["shingle"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+
+
 def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """rep, size (of the text's set of shingles), parity (``parities`` of the set) and prefix (its first shingles) of each text.
+    """rep, size (of the text's set of shingles), parity (``parities`` of the set) and prefix (its first shingles) of each text, stored.
 
     Two sets with a Jaccard similarity of ``least`` or more share ``least`` of either at the fewest, so that if each
-    is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; here the
-    shingles go first that a sample of ``ORDER_TEXTS`` texts does not know as common, so that few texts meet.
+    is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; this one
+    lets few texts meet. Those in the lower ``COUNTED`` of the hashes are counted exactly over all texts, and the
+    rare of them go first; then come those not counted, the others counted, and last the commonest of all (``_common``).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
-    share = F.pmod(F.xxhash64(F.lit(11), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)
-    sample = keep(reps.where(share * reps.count() <= ORDER_TEXTS).select("rep"), "sample")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_shingles(t, words).view(np.int64) for t in b.column(0).to_pylist()], pa.list_(pa.int64()))], ["shingles"])
-
-    seen = rows.join(F.broadcast(sample), "rep", "left_semi").select("text").transform(in_batches, whole, "shingles array<long>")
-    common = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    found = sorted((r.shingle, r.n) for r in common.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect())
-    order = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
+    order = docs.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = order.value
+        common, n = order.value
+        limit = np.uint64(int(COUNTED * (1 << 48)))
         for b in batches:
-            sizes, odd, heads = [], [], []
+            sizes, odd, most, low, high, last = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = _shingles(t, words)
                 sizes.append(len(h))
                 odd.append(parities(h).tobytes())
-                most = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, n[at], 0), kind="stable")]
-                heads.append(h[:most].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["rep", "size", "parity", "prefix"])
-
-    return rows.transform(in_batches, cut, f"rep {kind}, size int, parity binary, prefix array<long>").join(reps.select("rep"), "rep", "left_semi")
+                most.append(len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0)
+                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+                often = common[at] == h if len(common) else np.zeros(len(h), bool)
+                last.append(h[often][np.argsort(n[at[often]], kind="stable")][: most[-1]].view(np.int64))
+                h = h[~often]
+                low.append(h[h < limit].view(np.int64))
+                high.append(h[h >= limit][: most[-1]].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (low, high, last)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(most, pa.int32()), *lists], ["rep", "size", "parity", "most", "low", "high", "last"])
+
+    cuts = rows.transform(in_batches, cut, f"rep {kind}, size int, parity binary, most int, low array<long>, high array<long>, last array<long>")
+    whole = keep(cuts.join(reps.select("rep"), "rep", "left_semi"), "whole")
+    entries = whole.select("rep", F.explode("low").alias("shingle"))
+    shared = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counts = entries.join(shared, "shingle").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("counts"))
+    of = lambda keep_: F.array_intersect(F.coalesce(F.filter("counts", keep_)["shingle"], F.array().cast("array<long>")), "low")
+    every, rare = of(lambda x: F.lit(True)), of(lambda x: x["n"] <= RARE)
+    ordered = F.concat(F.array_except("low", every), rare, "high", F.array_except(every, rare), "last")
+    heads = keep(whole.join(counts, "rep", "left").select("rep", "size", "parity", F.slice(ordered, F.lit(1), F.col("most")).alias("prefix")), "heads")
+    if not whole.isEmpty():
+        discard(docs.sparkSession, kept_path(whole))
+    return heads
 
 
 def _shared_prefixes(heads: DataFrame) -> DataFrame:
