@@ -183,8 +183,68 @@ def glob_match(path: Column, glob: str) -> Column:
     return path.rlike(glob_pattern(glob))
 
 
+#: What a message is cut into: fenced blocks, a stray fence, code in line, citations, other text.
+_SEGMENT = r"(```[^\n`]*\n[\s\S]*?(?:\n```|\z)|```|`[^`\n]+`|\[(?:file|sku|prediction):[^\]]{1,200}\]|[^`\[]+|[`\[])"
+
+
 def segments(text: Column) -> Column:
-    """Splits a message at code fences and [n] citations: array of (kind, value)."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(```.*?```|\[\d+\]|(?:(?!```|\[\d+\]).)+)"), F.lit(1))
-    kind = lambda p: F.when(p.startswith("```"), "code").when(p.rlike(r"^\[\d+\]$"), "citation").otherwise("text")
-    return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), p.alias("value")))
+    """A message as (kind, label, value): kinds block (label: its language), code, citation (label: its scheme), text.
+
+    What looks like a mark and is none is text; neighbouring texts are one. Null has no segments.
+    """
+
+    def cut(p: Column) -> Column:
+        fence, inline = p.rlike(r"\A```[^\n`]*\n"), p.rlike(r"\A`[^`\n]+`\z")
+        cite = p.rlike(r"\A\[(?:file|sku|prediction):[^\]]{1,200}\]\z")
+        language = F.trim(F.regexp_extract(p, r"\A```([^\n`]*)\n", 1))
+        kind = F.when(fence, "block").when(inline, "code").when(cite, "citation").otherwise("text")
+        label = F.when(fence & (language != ""), language).when(cite, F.regexp_extract(p, r"\A\[(\w+):", 1))
+        inside = F.regexp_extract(p, r"\A```[^\n`]*\n([\s\S]*?)(?:\n```)?\z", 1)
+        value = F.when(fence, inside).when(inline, F.regexp_extract(p, "`([^`]+)`", 1)).when(cite, F.regexp_extract(p, r"\A\[\w+:([^\]]+)\]", 1)).otherwise(p)
+        return F.struct(kind.alias("kind"), label.alias("label"), value.alias("value"))
+
+    kind = "array<struct<kind:string,label:string,value:string>>"
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(1)), cut)
+
+    def put(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("label"), F.concat(last["value"], x["value"]).alias("value"))
+        both = (F.size(done) > 0) & (last["kind"] == "text") & (x["kind"] == "text")
+        return F.when(both, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    return F.aggregate(pieces, F.array().cast(kind), put)
+
+
+_OCTET, _PREFIX = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", "(3[0-2]|[12]?[0-9])"
+
+
+def is_cidr(text: Column) -> Column:
+    """Whether a text is an IPv4 network: four decimals up to 255 and a prefix up to 32, without leading zeros or spaces."""
+    return text.rlike(rf"\A{_OCTET}(\.{_OCTET}){{3}}/{_PREFIX}\z")
+
+
+def literal(value: Column, kind: str, language: str = "terraform") -> Column:
+    """A value as a literal of generated code; ``kind`` is string, boolean or number."""
+    if kind == "string":
+        json = F.to_json(F.array(value))
+        return F.substring(json, F.lit(2), F.length(json) - 2)
+    if kind == "boolean" and language == "python":
+        return F.when(value, "True").otherwise("False")
+    return value.cast("string")
+
+
+def arguments(properties: list[tuple[str, Column, str, bool]], language: str = "terraform") -> Column:
+    """``name = literal`` of the properties, a line each, in the order given: (name, value, kind, required).
+
+    A null is left out, and so is an empty text that is not required.
+    """
+    lines = []
+    for name, value, kind, required in properties:
+        there = value.isNotNull() if required or kind != "string" else value.isNotNull() & (value != "")
+        lines.append(F.when(there, F.concat(F.lit(f"{name} = "), literal(value, kind, language))))
+    return F.array_join(F.array_compact(F.array(*lines)), "\n")
+
+
+def in_locale_order(text: Column) -> Column:
+    """A text that sorts by the rules of the root locale and not by its bytes."""
+    return F.collate(text, "UNICODE")

@@ -15,7 +15,20 @@ from corpuscle.functions import numeric
 GRID_POINTS, TAIL_MASS, SPAN = 1024, 1e-6, 4  # fixed values of the latency grid
 
 #: Kinds that take no part in serving a request.
-NON_SERVING = ["vpc", "subnet", "availability_zone", "security_group", "iam_role", "log_group"]
+NON_SERVING = ["vpc", "subnet", "security_group", "iam_role", "internet_gateway", "cloudwatch_log_group", "ecs_cluster"]
+
+
+def serving(resources: DataFrame, kind: str = "kind") -> DataFrame:
+    """Resources that a request stops at; an unknown kind serves."""
+    return resources.where(~F.coalesce(F.col(kind).isin(NON_SERVING), F.lit(False)))
+
+
+def applicable_limits(resources: DataFrame, limits: DataFrame) -> DataFrame:
+    """Resources with the limits of their service that apply to them.
+
+    resources: id, service, kind. limits: limit_id, service, applies (the kinds that it applies to; null: all), value.
+    """
+    return resources.join(limits, "service").where(F.col("applies").isNull() | F.array_contains("applies", F.col("kind")))
 
 
 # -- cost

@@ -160,3 +160,24 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def assumption_union(rows: DataFrame, keys: list[str], id_col: str, order: str, value: str, gap: str) -> DataFrame:
+    """Of each key, ``assumptions`` (id and value of each id's last row in order, sorted by id) and ``gaps`` (distinct, sorted).
+
+    Ids are reduced before they are gathered, so that a key holds one entry an id and not one a row.
+    """
+    each = rows.groupBy(*keys, id_col).agg(F.max_by(value, order).alias(value), F.collect_set(gap).alias(gap))
+    pairs = F.array_sort(F.collect_list(F.when(F.col(id_col).isNotNull(), F.struct(id_col, value))))
+    return each.groupBy(*keys).agg(pairs.alias("assumptions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(gap)))).alias("gaps"))
+
+
+def evidence(rows: DataFrame, keys: list[str], rules: dict[str, Column], path: str) -> DataFrame:
+    """Keys, rule and the distinct paths, sorted, of the rows for which that rule is the first to hold."""
+    first = F.coalesce(*(F.when(held, F.lit(name)) for name, held in rules.items()))
+    return rows.withColumn("rule", first).where("rule is not null").groupBy(*keys, "rule").agg(F.array_sort(F.collect_set(path)).alias("evidence"))
+
+
+def several_active(runs: DataFrame, owner: str, status: str, active: list[str]) -> DataFrame:
+    """Owners with more than one run in an active status, and how many: breaks of the rule that one may be."""
+    return runs.where(F.col(status).isin(active)).groupBy(owner).agg(F.count("*").alias("active")).where("active > 1")

@@ -138,3 +138,16 @@ def rate_limited(requests: DataFrame, key: str, at: str, limits: dict[str, int],
         part = counts.select(key, F.lit(length).alias("length"), F.col("window.start").alias("start"), "requests", (F.col("requests") - most).alias("over"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def frames_of_chunks(chunks: DataFrame, stream: str, seq: str, chunk: str) -> DataFrame:
+    """stream, place and frame of byte chunks, wherever chunks end: inside a frame, a line or a character.
+
+    A stream is one answer: its bytes are put together in order, decoded once and cut at blank lines. What follows the last
+    blank line is no frame yet and is left out.
+    """
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.hex(chunk).alias("x")))), lambda c: c["x"])
+    whole = F.decode(F.unhex(F.array_join(parts, "")), "UTF-8")
+    cut = F.split(whole, r"\r?\n\r?\n")
+    done = chunks.groupBy(stream).agg(F.slice(cut, F.lit(1), F.size(cut) - 1).alias("frames"))
+    return done.select(stream, F.posexplode("frames").alias("place", "frame"))

@@ -51,7 +51,7 @@ def test_text_pieces(spark):
     assert one(spark, text.line_slice(F.lit("a\nb\nc"), F.lit(2), F.lit(9))) == "b\nc"
     assert one(spark, text.line_slice(F.lit("a"), F.lit(2), F.lit(3))) is None
     assert one(spark, text.identifier(F.lit("2fastCar"))) == "r_2fast_car"
-    assert [tuple(s) for s in one(spark, text.segments(F.lit("a[1]```b```")))] == [("text", "a"), ("citation", "[1]"), ("code", "```b```")]
+    assert [tuple(s) for s in one(spark, text.segments(F.lit("a[1][sku:x]``` `b` ```py\nc\n```[`")))] == [("text", None, "a[1]"), ("citation", "sku", "x"), ("text", None, "``` "), ("code", None, "b"), ("text", None, " "), ("block", "py", "c"), ("text", None, "[`")]
     assert one(spark, text.resource_name(F.lit("--"), F.lit("db"))) == "db"
 
 
