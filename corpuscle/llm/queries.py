@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import ann, decontaminate, html, langid, licenses, packing, quality, simhash, sql, tokenfile, warc
+from corpuscle.llm import ann, decontaminate, html, langid, licenses, packing, quality, simhash, sql, tokenfile, trie, warc
 from corpuscle.llm.common import crc32_mod, table
 
 
@@ -48,6 +48,10 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op4_nearest_neighbours, op5_license_scan, op6_token_files, op7_decontamination, op8_html_extraction, op9_language_id, op10_simhash_neardup)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op4_nearest_neighbours, op5_license_scan, op6_token_files, op7_decontamination, op8_html_extraction, op9_language_id, op10_simhash_neardup, op11_conversation_trie)}
 #: The others are held against brute-force versions and round trips in the tests.
-SQL: dict[str, str] = {"op2_warc": sql.OP2, "op4_nearest_neighbours": sql.OP4, "op5_license_scan": sql.OP5, "op7_decontamination": sql.OP7}
+SQL: dict[str, str] = {"op2_warc": sql.OP2, "op4_nearest_neighbours": sql.OP4, "op5_license_scan": sql.OP5, "op7_decontamination": sql.OP7, "op11_conversation_trie": sql.OP11}

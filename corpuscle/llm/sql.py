@@ -36,3 +36,19 @@ s AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FR
 g AS (SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
 h AS (SELECT doc_id, item_id, count(*) AS shared FROM g JOIN s USING (k, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, shared / n AS containment, shared::INT AS n_shared, n::INT AS n_shingles FROM h JOIN n USING (item_id) WHERE shared >= 0.8 * n - 1e-9"""
+
+#: crc32 of a text of ASCII characters: bits of every byte go through the register one by one.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295)"
+
+OP11 = f"""WITH r AS (SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS s, octet_length(encode(coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(s || ':' || n ORDER BY turn NULLS FIRST, s) AS t FROM r GROUP BY 1),
+b AS (SELECT o.conv_id, o.t, coalesce(h.t, []) AS head, {_CRC.format('o.conv_id::VARCHAR')} % 9 AS h FROM own o LEFT JOIN own h ON h.conv_id = o.conv_id - o.conv_id % 5),
+c AS (SELECT conv_id, list_concat(head[1:h], t[h + 1:]) AS t FROM b),
+m AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM c),
+n AS (SELECT array_to_string(t[1:d], ',') AS path, d AS depth, CASE WHEN d > 0 THEN array_to_string(t[1 : d - 1], ',') END AS up, any_value(t[1:d]) AS turns, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(t) = d), '') AS ends,
+  CASE WHEN d > 0 THEN (count(*) - 1) * any_value(string_split(t[d], ':')[2]::BIGINT) ELSE 0 END AS saved FROM m GROUP BY path, d, up),
+k AS (SELECT up AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path AND k.depth = n.depth),
+s AS (SELECT array_to_string(turns[1:e], ',') AS path, e AS depth, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM a) GROUP BY ALL)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN s ON s.path = a.path AND s.depth = a.depth LEFT JOIN a p ON p.path = a.up AND p.depth = a.depth - 1"""
