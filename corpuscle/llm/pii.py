@@ -155,12 +155,12 @@ DIGIT_WORDS = {
 } | {"oh": "0"}
 _TIMES = {"double": 2, "triple": 3}
 _AT, _DOT, _PLUS = r"(?:at|arroba|arobase|klammeraffe)", r"(?:dot|punkt|point|punto)", r"(?:plus|más|mas)"
-_WORD = "(?:(?:double|triple) )?(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_RUN = rf"{_WORD}(?:[ -]{_WORD})*+"
-_ANY_WORD = re.compile(rf"(?<!\w){_WORD}(?!\w)", re.I)
-#: A run of spelled digits, with the sign before it.
-_SPELLED = re.compile(rf"(?<!\w)(?:{_PLUS} )?{_RUN}(?!\w)", re.I)
-_SPELLED_IP = re.compile(rf"(?<!\w)(?:{_RUN}|[0-9]{{1,3}})(?: ?(?:\.| {_DOT}) ?(?:{_RUN}|[0-9]{{1,3}})){{3}}(?!\w)", re.I)
+_WORD = r"(?:(?:double|triple) )?(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?!\w)"
+#: A run of spelled digits, with the sign before it. It takes all it can and never fails after its first word.
+_SPELLED = re.compile(rf"(?<!\w)(?:{_PLUS} )?{_WORD}(?:[ -]{_WORD})*+", re.I)
+_ANY_WORD = re.compile(rf"(?<!\w){_WORD}", re.I)
+_NEXT_DOT, _LAST_DOT = re.compile(rf"\.| {_DOT} ", re.I), re.compile(rf"(?:\.| {_DOT} )$", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.| {_DOT} )[0-9]{{1,3}}){{3}}(?!\w)", re.I)
 _PLUS_NUMBER = re.compile(rf"(?<!\w){_PLUS} (?=[0-9])", re.I)
 _LEET = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ -]?[0-9OoIl]){13,18}+(?![A-Za-z0-9])")
 _BRACKET_AT = re.compile(rf"(?<![\s\[({{<])\s{{0,3}}[\[({{<]\s{{0,3}}(?:@|{_AT})\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
@@ -174,11 +174,10 @@ _NAME = r"[A-Za-z0-9_%+-]++"
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name dev app ai io eu uk us ca au nz ie de fr es ch nl be lu dk se fi pl cz pt gr ru ua jp cn kr tw br mx ar cl za tr".split())
 #: A name, a disguised or spaced @ and a domain with at least one spelled dot and a last part of letters.
 _SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.| {_DOT} ){_NAME})*+(?: ?@ ?| {_AT} )[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?: {_DOT} [A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)++", re.I)
+    rf"(?<![A-Za-z0-9._%+-])(?<!dot )(?<!punkt )(?<!point )(?<!punto ){_NAME}(?:(?:\.| {_DOT} ){_NAME})*+(?: ?@ ?| {_AT} )[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?: {_DOT} [A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)++", re.I)
 #: A plainly written domain after an @ between spaces.
 _SPACED = re.compile(r"(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z])")
 _INNER_AT, _INNER_DOT = re.compile(rf" ?@ ?| {_AT} ", re.I), re.compile(rf" {_DOT} ", re.I)
-_SPOKEN_DOT = re.compile(rf" ?\. ?| {_DOT} ?", re.I)
 
 
 def _number(words: str) -> str:
@@ -193,15 +192,13 @@ def _number(words: str) -> str:
 
 
 def _spelled(m: re.Match) -> str | None:
+    """A number, if it has three digits or a sign, or is part of a dotted one."""
     words = m.group()
     sign = re.match(rf"{_PLUS} ", words, re.I)
     digits = _number(words[sign.end() :] if sign else words)
-    return None if len(digits) < 3 and not sign else ("+" if sign else "") + digits
-
-
-def _spelled_ip(m: re.Match) -> str:
-    parts = [p.strip() for p in _SPOKEN_DOT.split(m.group())]
-    return ".".join(p if p.isdigit() else _number(p) for p in parts)
+    if len(digits) < 3 and not sign and not _NEXT_DOT.match(m.string, m.end()) and not _LAST_DOT.search(m.string[max(0, m.start() - 8) : m.start()]):
+        return None
+    return ("+" if sign else "") + digits
 
 
 def _leet(m: re.Match) -> str | None:
@@ -232,15 +229,15 @@ def normalised(text: str) -> Tape | None:
         tape.rewrite(_BRACKET_AT, lambda m: "@")
         tape.rewrite(_BRACKET_DOT, lambda m: ".")
     if _ANY_WORD.search(tape.text):
-        tape.rewrite(_SPELLED_IP, _spelled_ip)
         tape.rewrite(_SPELLED, _spelled)
-    elif _ANY_DOT.search(tape.text):
-        tape.rewrite(_SPELLED_IP, _spelled_ip)
+    dots = _ANY_DOT.search(tape.text) is not None
+    if dots:
+        tape.rewrite(_SPOKEN_IP, lambda m: _INNER_DOT.sub(".", m.group()))
     tape.rewrite(_PLUS_NUMBER, lambda m: "+")
     tape.rewrite(_LEET, _leet)
     if _ANY_AT.search(tape.text):
         tape.rewrite(_SPACED, lambda m: "@")
-        if _ANY_DOT.search(tape.text):
+        if dots:
             tape.rewrite(_SPOKEN, _spoken)
     return tape if tape.steps else None
 
