@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import ann, decontaminate, html, langid, licenses, packing, pii, quality, simhash, sql, tokenfile, trie, warc
+from corpuscle.llm import ann, decontaminate, html, langid, licenses, negatives, packing, pii, quality, simhash, sql, tokenfile, trie, warc
 from corpuscle.llm.common import crc32_mod, table
 
 
@@ -56,6 +56,10 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op4_nearest_neighbours, op5_license_scan, op6_token_files, op7_decontamination, op8_html_extraction, op9_language_id, op10_simhash_neardup, op11_conversation_trie, op12_pii)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_quality, op4_nearest_neighbours, op5_license_scan, op6_token_files, op7_decontamination, op8_html_extraction, op9_language_id, op10_simhash_neardup, op11_conversation_trie, op12_pii, op13_hard_negatives)}
 #: The others are held against brute-force versions and round trips in the tests.
-SQL: dict[str, str] = {"op2_warc": sql.OP2, "op4_nearest_neighbours": sql.OP4, "op5_license_scan": sql.OP5, "op7_decontamination": sql.OP7, "op11_conversation_trie": sql.OP11}
+SQL: dict[str, str] = {"op2_warc": sql.OP2, "op4_nearest_neighbours": sql.OP4, "op5_license_scan": sql.OP5, "op7_decontamination": sql.OP7, "op11_conversation_trie": sql.OP11, "op13_hard_negatives": sql.OP13}
