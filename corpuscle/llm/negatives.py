@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from corpuscle.llm.common import in_batches, keep
 
 #: Vectors of a tree, anchors that one task puts to it, vectors of a leaf.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 4096, 64
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 4096, 32
 #: Centres that vectors are dealt to, at most: what a task holds to route a query.
 MOST_CELLS = 256
 
@@ -44,7 +44,7 @@ class BallTree:
         self.root = self._grow(rows) if len(rows) else -1
 
     def _grow(self, rows: np.ndarray) -> int:
-        """Halves rows along the line between two far ones, until few or equal ones are left."""
+        """Splits rows along the line between two far ones, until few or equal ones are left."""
         at = len(self.nodes)
         x = self.x[rows].astype(float)
         centre = x.mean(0)
@@ -55,8 +55,11 @@ class BallTree:
             a = x[((x - centre) ** 2).sum(1).argmax()]
             b = x[((x - a) ** 2).sum(1).argmax()]
             along = x @ (b - a)
-            half = np.argpartition(along, len(rows) // 2)
-            kids = (self._grow(rows[half[: len(rows) // 2]]), self._grow(rows[half[len(rows) // 2 :]]))
+            left = along < along.mean()  # keeps clusters together; where it is lopsided, or nearly, halves instead
+            if not len(rows) // 8 <= left.sum() <= len(rows) - len(rows) // 8:
+                left = np.zeros(len(rows), bool)
+                left[np.argpartition(along, len(rows) // 2)[: len(rows) // 2]] = True
+            kids = (self._grow(rows[left]), self._grow(rows[~left]))
         self.nodes[at] = (centre, radius, only, kids, None if kids else np.sort(rows))
         return at
 
