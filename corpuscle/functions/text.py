@@ -89,11 +89,10 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def resource_name(name: Column, suffix: Column, longest: int = 32) -> Column:
-    """Lower-case letters, digits and single hyphens, cut with room for the suffix."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    room = F.lit(longest) - F.length(suffix) - 1
-    stem = F.regexp_replace(F.substring(slug, F.lit(1), room), "-+$", "")
-    return F.when(stem == "", suffix).otherwise(F.concat_ws("-", stem, suffix))
+    """Lower-case letters, digits and hyphens, cut and without hyphens at the ends, then the suffix; ``app`` if nothing is left."""
+    plain = F.substring(F.regexp_replace(F.lower(name), "[^a-z0-9-]+", "-"), 1, longest)
+    stem = F.regexp_replace(plain, "^-+|-+$", "")
+    return F.concat_ws("-", F.when(stem == "", "app").otherwise(stem), suffix)
 
 
 def pypi_name(name: Column) -> Column:
