@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Price units and what they are called here. An unknown unit drops its row.
-UNITS = {"hrs": "hour", "hours": "hour", "hour": "hour", "gb-mo": "gb-month", "gb-month": "gb-month", "gb": "gb", "requests": "request", "request": "request", "quantity": "each", "lcu-hrs": "lcu-hour", "seconds": "second", "second": "second"}
+#: Units by the spellings that offers use. An unknown unit drops its row.
+UNITS = {
+    "hrs": "Hrs", "hr": "Hrs", "hour": "Hrs", "hours": "Hrs", "gb-mo": "GB-Mo", "gb-month": "GB-Mo", "gb-months": "GB-Mo", "gb": "GB", "gigabytes": "GB",
+    "requests": "Requests", "request": "Requests", "api requests": "Requests", "iops-mo": "IOPS-Mo", "acu-hr": "ACU-Hr", "acu-hrs": "ACU-Hr",
+    "lcu-hrs": "LCU-Hrs", "lcu-hr": "LCU-Hrs", "vcpu-hours": "vCPU-Hours", "vcpu-hrs": "vCPU-Hours",
+}
 
 
 def distinct_sorted(a: Column) -> Column:

@@ -7,12 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Units by the spellings that offers use.
-UNITS = {
-    "hrs": "Hrs", "hr": "Hrs", "hour": "Hrs", "hours": "Hrs", "gb-mo": "GB-Mo", "gb-month": "GB-Mo", "gb-months": "GB-Mo", "gb": "GB", "gigabytes": "GB",
-    "requests": "Requests", "request": "Requests", "api requests": "Requests", "iops-mo": "IOPS-Mo", "acu-hr": "ACU-Hr", "acu-hrs": "ACU-Hr",
-    "lcu-hrs": "LCU-Hrs", "lcu-hr": "LCU-Hrs", "vcpu-hours": "vCPU-Hours", "vcpu-hrs": "vCPU-Hours",
-}
+from corpuscle.functions.values import UNITS
 
 #: Attributes that a rate keeps, each with the offer's names for it, the first present winning.
 ATTRIBUTES = {

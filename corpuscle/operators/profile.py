@@ -15,8 +15,8 @@ from corpuscle.functions import text
 from corpuscle.operators.relational import latest, longest_prefix
 
 #: Words in a path and capabilities that decide what a component is.
-TEST_SEGMENTS = ["test", "tests", "__tests__", "e2e", "spec", "fixtures"]
-EXAMPLE_SEGMENTS = ["example", "examples", "sample", "samples", "demo", "demos"]
+TEST_SEGMENTS = ["test", "tests", "__tests__", "e2e", "spec", "specs", "integration-tests", "acceptance-tests", "load-tests", "regression-tests", "benchmarks"]
+EXAMPLE_SEGMENTS = ["example", "examples", "sample", "samples", "poc", "pocs", "demo", "demos", "fixtures", "templates", "_templates", "scaffold", "skeleton", "storybook"]
 LIBRARY_SEGMENTS = ["packages", "libs", "lib", "shared", "common", "internal"]
 WORK = ["background-jobs", "workflow-orchestration", "streaming", "kafka", "rabbitmq"]
 SERVING = ["http-server", "graphql", "grpc", "websocket", "mcp-server"]

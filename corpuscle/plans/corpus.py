@@ -22,9 +22,10 @@ def h1_content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.content_hash(F.col("text")).alias("sha256"))
 
 
-@query("SELECT r AS reason, sha256('skip' || chr(0) || r) AS hash FROM (SELECT unnest(['TooLarge', 'Binary', 'Ignored', 'OutsideRoot', 'NonUtf8Path', 'Unreadable']) AS r)")
+@query("SELECT doc_id, sha256('skip' || chr(0) || ['TooLarge', 'Binary', 'Ignored', 'OutsideRoot', 'NonUtf8Path', 'Unreadable'][doc_id % 6 + 1]) AS hash FROM documents")
 def h2_skipped_hash(spark, d):
-    return spark.createDataFrame([(r,) for r in hashing.SKIP_REASONS], "reason string").select("reason", hashing.skipped_hash(F.col("reason")).alias("hash"))
+    reason = F.get(F.array(*map(F.lit, hashing.SKIP_REASONS)), (F.col("doc_id") % 6).cast("int"))
+    return table(spark, d, "documents").select("doc_id", hashing.skipped_hash(reason).alias("hash"))
 
 
 @query("SELECT event_id, sha256('{\"k\":' || (props->>'$.k') || '}') AS digest FROM events")
@@ -117,10 +118,13 @@ def s16_word_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.word_tokens(F.col("text"))).alias("words"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-svc' AS slug, regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g') AS raw FROM part WHERE length(p_name) < 28")
+#: Names of all lengths, some of them long, some with nothing that a resource's name may hold.
+_NAMES = "CASE p_partkey % 5 WHEN 0 THEN '--' WHEN 1 THEN p_name || ' & ' || p_name || ' ' || p_type WHEN 2 THEN upper(p_name) || '!' ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, coalesce(nullif(trim(left(regexp_replace(lower({_NAMES}), '[^a-z0-9-]+', '-', 'g'), 32), '-'), ''), 'app') || '-svc' AS slug, regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g') AS raw FROM part")
 def s8_slug(spark, d):
-    rows = table(spark, d, "part").where(F.length("p_name") < 28)
-    return rows.select("p_partkey", text.resource_name(F.col("p_name"), F.lit("svc")).alias("slug"), F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "_").alias("raw"))
+    return table(spark, d, "part").select("p_partkey", text.resource_name(F.expr(_NAMES), F.lit("svc")).alias("slug"), F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "_").alias("raw"))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents WHERE len(string_split(text, chr(10))) >= 2")
@@ -217,8 +221,8 @@ def v5_dimension(spark, d):
     return violations(table(spark, d, "embeddings"), {"dimension": F.size("embedding") == 64})
 
 
-@query("SELECT event_id, CASE WHEN v % 3 = 0 THEN 'hour' WHEN v % 3 = 1 THEN 'gb-month' END AS unit, CASE WHEN v BETWEEN 1 AND 65535 THEN v::INT END AS port FROM (SELECT event_id, event_id AS v FROM events)")
+@query("SELECT event_id, ['Hrs', 'GB-Mo', NULL, 'LCU-Hrs', 'vCPU-Hours'][v % 5 + 1] AS unit, CASE WHEN v BETWEEN 1 AND 65535 THEN v::INT END AS port FROM (SELECT event_id, event_id AS v FROM events)")
 def cv1_cv3_conversions(spark, d):
     v = F.col("event_id")
-    unit = F.when(v % 3 == 0, " Hrs").when(v % 3 == 1, "GB-Mo").otherwise("furlongs")
+    unit = F.get(F.array(*map(F.lit, [" Hrs", "gb-month", "Quantity", "LCU-Hr", "vCPU-Hrs "])), (v % 5).cast("int"))
     return table(spark, d, "events").select("event_id", values.unit_name(unit).alias("unit"), values.port(F.concat(F.lit(" "), v.cast("string"), F.lit("-70000/tcp"))).alias("port"))

@@ -16,10 +16,10 @@ def _tree(spark, d):
     return r.unionByName(n).unionByName(c)
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity > 30), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT 's1' AS node, 0 AS hops UNION SELECT s.b, r.hops + 1 FROM r JOIN s ON r.node = s.a WHERE r.hops < 2) SELECT node, min(hops)::INT AS hops FROM r GROUP BY 1""")
 def g1_neighbourhood(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity > 30").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     return graph.neighbourhood(e, spark.createDataFrame([("s1",)], "n string"), "n", 2, "a", "b")
 
 
@@ -47,10 +47,15 @@ def g6_descendants(spark, d):
     return nations.groupBy("node").agg(F.count("*").alias("below"))
 
 
-@query("SELECT unnest([1, 2, 3])::BIGINT AS node")
+#: Each customer names another of a ring of eight, or one of no ring; some name none.
+_RINGS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 16 < 8 THEN (c_custkey // 8) * 8 + (c_custkey + 1) % 8 WHEN c_custkey % 16 < 14 THEN c_custkey - 8 END AS parent FROM customer"
+
+
+@query(f"WITH RECURSIVE t AS ({_RINGS}), up AS (SELECT id AS node, parent AS top, 1 AS n FROM t WHERE parent IS NOT NULL UNION ALL SELECT up.node, t.parent, n + 1 FROM up JOIN t ON t.id = up.top WHERE t.parent IS NOT NULL AND n < 10) SELECT DISTINCT node FROM up WHERE top = node")
 def g7_cycles(spark, d):
-    up = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, None)], "id long, parent long")
-    return graph.in_cycle(up, "id", "parent")
+    k = F.col("c_custkey")
+    ring = F.floor(k / 8) * 8 + (k + 1) % 8
+    return graph.in_cycle(table(spark, d, "customer").select(k.alias("id"), F.when(k % 16 < 8, ring).when(k % 16 < 14, k - 8).alias("parent")), "id", "parent")
 
 
 @query(f"SELECT id, (CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END)::INT AS depth FROM {_TREE}")
@@ -58,10 +63,20 @@ def k8_parents_first(spark, d):
     return graph.parents_first(_tree(spark, d), "id", "parent", "id").select("id", "depth")
 
 
-@query("""SELECT * FROM (VALUES ('/nodes/1/id', 'repeated node id'), ('/edges/1/target', 'unknown node'), ('/nodes/3/parent', 'unknown parent'), ('/edges/0', 'edge from a node to itself')) AS t(pointer, message)""")
+_FAULTS = """n AS (SELECT c_custkey // 2 * CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 2 END AS id, CASE WHEN c_nationkey % 5 = 0 THEN -1 WHEN c_custkey % 2 = 0 AND c_custkey % 7 <> 0 AND c_custkey > 2 THEN (c_custkey // 2 - 1) * 2 END AS parent, c_custkey AS pos FROM customer),
+e AS (SELECT o_orderkey // 2 AS id, o_custkey // 2 * 2 AS source, o_custkey // 3 * 2 AS target, o_orderkey AS pos FROM orders), k AS (SELECT DISTINCT id FROM n)"""
+
+
+@query(f"""WITH RECURSIVE {_FAULTS}, up AS (SELECT DISTINCT id AS node, parent AS top, 1 AS h FROM n WHERE parent IS NOT NULL UNION SELECT up.node, n.parent, h + 1 FROM up JOIN n ON n.id = up.top WHERE n.parent IS NOT NULL AND h < 3)
+SELECT '/nodes/' || pos || '/id' AS pointer, 'repeated node id' AS message FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) > 1 UNION ALL SELECT '/edges/' || pos || '/id', 'repeated edge id' FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) > 1
+UNION ALL SELECT '/edges/' || pos || '/source', 'unknown node' FROM e WHERE source NOT IN (FROM k) UNION ALL SELECT '/edges/' || pos || '/target', 'unknown node' FROM e WHERE target NOT IN (FROM k) UNION ALL SELECT '/nodes/' || pos || '/parent', 'unknown parent' FROM n WHERE parent IS NOT NULL AND parent NOT IN (FROM k)
+UNION ALL SELECT '/edges/' || pos, 'edge from a node to itself' FROM e WHERE source = target UNION ALL SELECT '/nodes/' || pos || '/parent', 'parent cycle' FROM n WHERE id IN (SELECT node FROM up WHERE top = node)""")
 def d1_problems(spark, d):
-    nodes = spark.createDataFrame([("a", None, 0), ("a", None, 1), ("b", "a", 2), ("c", "zz", 3)], "id string, parent string, pos int")
-    edges = spark.createDataFrame([("e1", "a", "a", 0), ("e2", "a", "q", 1)], "id string, source string, target string, pos int")
+    k, half = F.col("c_custkey"), F.floor(F.col("c_custkey") / 2)
+    parent = F.when(F.col("c_nationkey") % 5 == 0, -1).when((k % 2 == 0) & (k % 7 != 0) & (k > 2), (half - 1) * 2)
+    nodes = table(spark, d, "customer").select((half * F.when(k % 7 == 0, 1).otherwise(2)).alias("id"), parent.alias("parent"), k.alias("pos"))
+    of = lambda c, n: F.floor(F.col(c) / n)
+    edges = table(spark, d, "orders").select(of("o_orderkey", 2).alias("id"), (of("o_custkey", 2) * 2).alias("source"), (of("o_custkey", 3) * 2).alias("target"), F.col("o_orderkey").alias("pos"))
     return graph.problems(nodes, edges)
 
 

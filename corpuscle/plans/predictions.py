@@ -72,23 +72,24 @@ def m2_m4_queue(spark, d):
     return rows.select("id", F.round("q.utilisation", 9).alias("utilisation"), F.col("q.saturated"), F.round("q.wait_probability", 6).alias("wait"), F.round("q.total_ms", 4).alias("total_ms"))
 
 
-@query("SELECT p_partkey AS id, round(ln(20) / (1000.0 / p_size - least(p_retailprice / 200, 950.0 / p_size)) * 1000, 3) AS p95_ms FROM part WHERE p_retailprice / 200 < 950.0 / p_size")
+@query("SELECT p_partkey AS id, CASE WHEN p_retailprice / 200 < 950.0 / p_size THEN round(ln(20) / (1000.0 / p_size - p_retailprice / 200) * 1000, 3) END AS p95_ms, p_retailprice / 200 >= 950.0 / p_size AS saturated FROM part")
 def m5_m6_percentile(spark, d):
     rows = _load(spark, d).withColumns({"arrival_rps": F.col("arrival_rps") / 10, "servers": F.lit(1)})
-    rows = rows.withColumn("q", numeric.queue(F.col("service_ms"), F.col("arrival_rps"), F.col("servers"))).where("not q.saturated")
-    return rows.select("id", F.round(numeric.percentile_ms(F.col("q"), 0.95), 3).alias("p95_ms"))
+    rows = rows.withColumn("q", numeric.queue(F.col("service_ms"), F.col("arrival_rps"), F.col("servers")))
+    return rows.select("id", F.when(~F.col("q.saturated"), F.round(numeric.percentile_ms(F.col("q"), 0.95), 3)).alias("p95_ms"), F.col("q.saturated"))
 
 
-@query("SELECT 0::BIGINT AS id, round(1000.0::DOUBLE, 1) AS rps UNION ALL SELECT 1, NULL UNION ALL SELECT 2, 0.0")
+@query("SELECT s_suppkey AS id, CASE WHEN s_acctbal <= 0 THEN 0.0 WHEN s_suppkey % 10 <> 0 THEN s_acctbal / (0.1 * (1 + s_suppkey % 7)) END AS rps FROM supplier")
 def m8_breaking_rate(spark, d):
-    rows = spark.createDataFrame([(0, 10.0), (1, 1e9), (2, 0.0)], "id long, value double")
-    found = numeric.breaking_rate(lambda rps: rps * 0.01, F.col("value"))
-    return rows.select("id", F.when(F.abs(found - 1000) <= 0.5, 1000.0).otherwise(found).alias("rps"))
+    """The bracket's upper end is at most its tolerance above the exact rate; the exact rate is given where it is."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when((F.col("s_suppkey") % 10 == 0) & (F.col("s_acctbal") > 0), 1e12).otherwise(F.col("s_acctbal").cast("double")).alias("limit"), (0.1 * (1 + F.col("s_suppkey") % 7)).alias("slope"))
+    found, exact = numeric.breaking_rate(lambda rps: rps * F.col("slope"), F.col("limit")), F.col("limit") / F.col("slope")
+    return rows.select("id", F.when((found - exact).between(-1e-6, numeric.RPS_TOLERANCE + 1e-6), exact).otherwise(found).alias("rps"))
 
 
-@query("SELECT s_suppkey AS id, floor((1 - (0.9 + s_suppkey % 100 / 1000.0)) * 43200 * 10 + 0.5) / 10 AS downtime, floor((s_acctbal + 1000) * 100 + 0.5) / 100 AS usd FROM supplier WHERE s_acctbal > -999")
+@query("SELECT s_suppkey AS id, floor((1 - (0.9 + s_suppkey % 100 / 1000.0)) * 43200 * 10 + 0.5) / 10 AS downtime, floor((s_acctbal + 1000) * 100 + 0.5) / 100 AS usd FROM supplier")
 def m1_m11_rounding(spark, d):
-    rows = table(spark, d, "supplier").where("s_acctbal > -999")
+    rows = table(spark, d, "supplier")
     return rows.select(F.col("s_suppkey").alias("id"), numeric.downtime_minutes(F.lit(0.9) + F.col("s_suppkey") % 100 / 1000.0).alias("downtime"), numeric.usd(F.col("s_acctbal") + 1000).alias("usd"))
 
 
@@ -98,10 +99,15 @@ def m7_m9_m20_rates(spark, d):
     return table(spark, d, "supplier").select(k.alias("id"), numeric.little(k, F.lit(0.25)).alias("in_flight"), numeric.arrival_rate(k * 1e6, F.lit(730.0)).alias("rps"), numeric.search_breadth(k).alias("breadth"))
 
 
-@query("SELECT c AS class, e AS engine, n::BIGINT AS connections FROM (VALUES ('db.m5.large', 'postgres', 901), ('db.t3.micro', 'mysql', 85), ('db.r5.24xlarge', 'postgres', 5000), ('odd', 'mysql', 5000)) AS t(c, e, n)")
+_CLASSES = ["db.m5.large", "db.t3.micro", "db.r5.24xlarge", "odd", "db.c6g.2xlarge", "db.x2g.4xlarge", "db.m5.huge"]
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_CLASSES}[p_partkey % 7 + 1] AS class, ['postgres', 'mysql', 'mariadb', 'other'][p_size % 4 + 1] AS engine FROM part), g(class, gib) AS (VALUES ('db.m5.large', 8), ('db.t3.micro', 1), ('db.r5.24xlarge', 768), ('db.c6g.2xlarge', 16), ('db.x2g.4xlarge', 512)), b(engine, bytes) AS (VALUES ('postgres', 9531392), ('mysql', 12582880), ('mariadb', 12582880))
+SELECT p_partkey, coalesce(least(5000, gib::BIGINT * 1073741824 // bytes), 5000)::BIGINT AS connections FROM c LEFT JOIN g USING (class) LEFT JOIN b USING (engine)""")
 def m12_max_connections(spark, d):
-    rows = spark.createDataFrame([("db.m5.large", "postgres"), ("db.t3.micro", "mysql"), ("db.r5.24xlarge", "postgres"), ("odd", "mysql")], "class string, engine string")
-    return rows.select("class", "engine", numeric.max_connections(F.col("class"), F.col("engine")).alias("connections"))
+    of = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", of(_CLASSES, F.col("p_partkey") % 7).alias("class"), of(["postgres", "mysql", "mariadb", "other"], F.col("p_size") % 4).alias("engine"))
+    return rows.select("p_partkey", numeric.max_connections(F.col("class"), F.col("engine")).alias("connections"))
 
 
 @query()

@@ -8,37 +8,47 @@ from corpuscle.functions import text
 from corpuscle.operators import patches, profile
 from corpuscle.plans.base import query, table
 
-_FILES = [
-    ("web/package.json", json.dumps({"name": "web", "private": True, "dependencies": {"react": "18"}, "devDependencies": {"vite": "5"}})),
-    ("api/requirements.txt", "fastapi==0.1 # web\n-r other.txt\nhttps://x/y.whl\nSQLAlchemy_x>=2\n"),
-    ("go/go.mod", "module acme/go\nrequire (\n  github.com/gin-gonic/gin/v2 v1\n)\nrequire golang.org/x/net v0 // indirect\n"),
-    ("rs/Cargo.toml", "[workspace]\nmembers = []\n"),
-    ("bad/package.json", "{"),
-    ("jv/build.gradle", "implementation 'org.acme:kafka-client:1.0'\n"),
-]
-_SIGNATURES = [("npm", "react", "ui", "frontend"), ("pypi", "fastapi", "web", "http-server"), ("go", "github.com/gin-gonic/gin", "web", "http-server"), ("go", "github.com/gin-gonic", "org", None), ("maven", "kafka-client", "queue", "kafka")]
+_SIGNATURES = [("npm", "steel", "ui", "frontend"), ("pypi", "tin", "web", "http-server"), ("go", "acme.org/brass", "web", "http-server"), ("go", "acme.org", "org", None), ("cargo", "copper", "queue", "kafka")]
 
 
-def _manifests(spark):
-    return profile.manifests(spark.createDataFrame(_FILES, "path string, content string"))
+def _manifests(spark, d):
+    """A manifest a part: the words of its type are its dependencies, in the form of one of five ecosystems; some are broken."""
+    k, words = F.col("p_partkey"), F.split(F.lower("p_type"), " ")
+    lines = lambda sep, put: F.array_join(F.transform(words, put), sep)
+    lit = F.lit
+    npm = F.concat(lit('{"private": true, "name": "n'), k.cast("string"), lit('", "dependencies": {'), lines(", ", lambda w: F.concat(lit('"'), w, lit('": "1"'))), lit("}}"))
+    pip = F.concat(lines("\n", lambda w: F.concat(w, lit("==1.0 # it"))), lit("\n-r more.txt\nhttps://x/y.whl\n"))
+    gomod = F.concat(lit("module acme/"), k.cast("string"), lit("\nrequire (\n"), lines("\n", lambda w: F.concat(lit("  acme.org/"), w, lit("/v2 v1"))), lit("\n)\n"))
+    cargo = F.concat(lit("[workspace]\n[dependencies]\n"), lines("\n", lambda w: F.concat(w, lit(' = "1"'))))
+    content = F.when(k % 5 == 0, npm).when(k % 5 == 1, pip).when(k % 5 == 2, gomod).when(k % 5 == 3, cargo).otherwise(lit("{"))
+    name = F.get(F.array(*map(lit, ["package.json", "requirements.txt", "go.mod", "Cargo.toml", "package.json"])), (k % 5).cast("int"))
+    return profile.manifests(table(spark, d, "part").select(F.concat(lit("p"), k.cast("string"), lit("/"), name).alias("path"), content.alias("content")))
 
 
-@query("""SELECT * FROM (VALUES ('web/package.json', 'npm', 'web', false, 'react,vite', NULL), ('api/requirements.txt', 'pypi', NULL, false, 'SQLAlchemy_x,fastapi', NULL), ('go/go.mod', 'go', 'acme/go', false, 'github.com/gin-gonic/gin/v2,golang.org/x/net', NULL), ('rs/Cargo.toml', 'cargo', NULL, true, '', NULL), ('bad/package.json', NULL, NULL, false, '', 'JSONDecodeError'), ('jv/build.gradle', 'maven', NULL, false, 'kafka-client', NULL)) AS t(path, ecosystem, name, library_hint, deps, error)""")
+_MANIFESTS = """m AS (SELECT p_partkey AS k, 'p' || p_partkey || '/' || ['package.json', 'requirements.txt', 'go.mod', 'Cargo.toml', 'package.json'][p_partkey % 5 + 1] AS path, ['npm', 'pypi', 'go', 'cargo', NULL][p_partkey % 5 + 1] AS ecosystem,
+  CASE WHEN p_partkey % 5 = 4 THEN [] ELSE list_transform(string_split(lower(p_type), ' '), lambda w: CASE WHEN p_partkey % 5 = 2 THEN 'acme.org/' || w || '/v2' ELSE w END) END AS deps FROM part)"""
+
+
+@query(f"WITH {_MANIFESTS} SELECT path, ecosystem, CASE k % 5 WHEN 0 THEN 'n' || k WHEN 2 THEN 'acme/' || k END AS name, k % 5 = 3 AS library_hint, array_to_string(list_sort(deps), ',') AS deps, CASE WHEN k % 5 = 4 THEN 'JSONDecodeError' END AS error FROM m")
 def d6_manifests(spark, d):
-    return _manifests(spark).select("path", "ecosystem", "name", "library_hint", F.array_join(F.array_sort("dependencies"), ",").alias("deps"), "error")
+    return _manifests(spark, d).select("path", "ecosystem", "name", "library_hint", F.array_join(F.array_sort("dependencies"), ",").alias("deps"), "error")
 
 
-@query("""SELECT * FROM (VALUES ('npm', 'react', 'frontend'), ('npm', 'vite', NULL), ('pypi', 'fastapi', 'http-server'), ('pypi', 'SQLAlchemy_x', NULL), ('go', 'github.com/gin-gonic/gin/v2', 'http-server'), ('go', 'golang.org/x/net', NULL), ('maven', 'kafka-client', 'kafka')) AS t(ecosystem, name, capability)""")
+@query(f"""WITH {_MANIFESTS} SELECT DISTINCT ecosystem, dep AS name, CASE WHEN ecosystem = 'npm' AND dep = 'steel' THEN 'frontend' WHEN ecosystem = 'pypi' AND dep = 'tin' OR dep = 'acme.org/brass/v2' THEN 'http-server' WHEN ecosystem = 'cargo' AND dep = 'copper' THEN 'kafka' END AS capability FROM (SELECT ecosystem, unnest(deps) AS dep FROM m)""")
 def d7_signatures(spark, d):
-    deps = _manifests(spark).select("ecosystem", F.explode("dependencies").alias("name"))
+    deps = _manifests(spark, d).select("ecosystem", F.explode("dependencies").alias("name")).distinct()
     return profile.signatures(deps, spark.createDataFrame(_SIGNATURES, "ecosystem string, name string, category string, capability string")).select("ecosystem", "name", "capability")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'test' WHEN p_partkey % 2 = 0 THEN 'api' WHEN p_partkey % 3 = 0 THEN 'worker' ELSE 'library' END AS kind, p_partkey % 7 <> 0 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND p_partkey % 3 = 0 AS deployable FROM part""")
+_PLACES = ["svc/tests", "svc/fixtures", "svc/POC", "specs", "a/Storybook/b", "libs", "apps", "svc/load-tests", "_templates", "services"]
+
+
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 10 IN (0, 3, 7) THEN 'test' WHEN p_partkey % 10 IN (1, 2, 4, 8) THEN 'example' WHEN p_size % 2 = 0 THEN 'api' WHEN p_partkey % 3 = 0 THEN 'worker' WHEN p_partkey % 10 = 5 THEN 'library' ELSE 'unknown' END AS kind FROM part)
+SELECT p_partkey, kind, kind IN ('api', 'worker') AND p_partkey % 3 = 0 AS deployable FROM c""")
 def d8_components(spark, d):
     k = F.col("p_partkey")
-    path = F.when(k % 7 == 0, "svc/tests/x").otherwise(F.concat(F.lit("libs/c"), k.cast("string")))
-    caps = F.when(k % 2 == 0, F.array(F.lit("http-server"))).otherwise(F.array(F.lit("postgres")))
+    path = F.concat(F.get(F.array(*map(F.lit, _PLACES)), (k % 10).cast("int")), F.lit("/c"), k.cast("string"))
+    caps = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("http-server"))).otherwise(F.array(F.lit("postgres")))
     docker = F.when(k % 3 == 0, 1).otherwise(0)
     kind = profile.component_kind(path, caps, docker, F.lit(False), F.lit(False), F.lit(True))
     return table(spark, d, "part").select("p_partkey", kind.alias("kind"), profile.deployable(kind, docker > 0).alias("deployable"))
@@ -49,12 +59,12 @@ def f14_confidence(spark, d):
     return profile.confident(table(spark, d, "events").select("event_id", (F.col("value") / 100).alias("confidence")), "confidence")
 
 
-_CITED = """SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'span_missing' WHEN doc_id % 5 = 1 THEN 'span_changed' WHEN doc_id % 5 = 2 OR trim(regexp_replace(lower(string_split(text, chr(10))[1]), '\\s+', ' ', 'g')) = '' THEN 'supported' ELSE 'unsupported' END AS verdict FROM documents WHERE length(text) > 0 AND text NOT LIKE '%' || chr(13) || '%'"""
+_CITED = """SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'span_missing' WHEN doc_id % 5 = 1 THEN 'span_changed' WHEN doc_id % 5 = 2 OR trim(regexp_replace(lower(string_split_regex(text, '\r\n|\n|\r')[1]), '\\s+', ' ', 'g')) = '' THEN 'supported' ELSE 'unsupported' END AS verdict FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
 
 
 def _citations(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") > 0).where(~F.contains("text", F.lit("\r")))
-    k, first = F.col("doc_id") % 5, F.element_at(F.split("text", "\n"), 1)
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    k, first = F.col("doc_id") % 5, F.element_at(F.split("text", "\r\n|\n|\r"), 1)
     claim = F.when((k == 2) | (F.trim(F.regexp_replace(first, r"\s+", " ")) == ""), first).otherwise("no such words anywhere zq")
     path = F.col("doc_id").cast("string")
     cites = docs.select(F.col("doc_id").alias("id"), claim.alias("claim"), F.when(k == 0, "none").otherwise(path).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.when(k == 1, "old").otherwise(F.sha2("text", 256)).alias("sha256"))
@@ -73,16 +83,22 @@ def a17_verdict_counts(spark, d):
     return out.withColumn("literal_share", F.round("literal_share", 9))
 
 
-@query("""SELECT * FROM (VALUES (1, NULL, 3), (2, 'edge e1 refers to a', 0), (3, NULL, 0)) AS t(doc, problem, undone)""")
+@query("""SELECT c_custkey AS doc, CASE c_custkey % 3 WHEN 1 THEN 'edge e' || c_nationkey || ' refers to a' END AS problem, (CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 1 END)::INT AS undone FROM customer""")
 def d3_d4_patches(spark, d):
-    base = json.dumps({"nodes": [{"id": "a", "kind": "vpc", "parent": None}, {"id": "b", "kind": "rds", "parent": "a"}], "edges": [{"id": "e1", "source": "a", "target": "b"}]})
-    docs = spark.createDataFrame([(1, base), (2, base), (3, base)], "doc int, document string")
-    ops = [(1, 0, {"op": "set_param", "nodeId": "b", "param": "size", "value": 3}), (1, 1, {"op": "remove_edge", "edgeId": "e1"}), (1, 2, {"op": "remove_node", "nodeId": "b"}), (2, 0, {"op": "remove_node", "nodeId": "a"})]
-    steps = spark.createDataFrame([(k, n, json.dumps(o)) for k, n, o in ops], "doc int, pos int, op string")
-    return patches.apply_patches(docs, steps).select("doc", "problem", F.size("inverse").alias("undone"))
-
-
-@query("SELECT p_partkey, regexp_replace(lower(p_brand), '[_.]', '-', 'g') AS pypi, list_sort(list_distinct(string_split(lower(p_type), ' '))) [1] AS term FROM part WHERE regexp_matches(p_type, '^[A-Za-z ]+$')")
+    """Of three customers one sets a parameter, unties and removes a node, one tries to remove a node that an edge holds, one sets a parameter."""
+    rows, k = table(spark, d, "customer"), F.col("c_custkey")
+    edge = F.concat(F.lit("e"), F.col("c_nationkey").cast("string"))
+    base = F.concat(F.lit('{"nodes": [{"id": "a", "kind": "vpc", "parent": null}, {"id": "b", "kind": "rds", "parent": "a"}], "edges": [{"id": "'), edge, F.lit('", "source": "a", "target": "b"}]}'))
+    put = F.concat(F.lit('{"op": "set_param", "nodeId": "b", "param": "size", "value": '), k.cast("string"), F.lit("}"))
+    untie = F.concat(F.lit('{"op": "remove_edge", "edgeId": "'), edge, F.lit('"}'))
+    gone = lambda n: F.lit(json.dumps({"op": "remove_node", "nodeId": n}))
+    ops = F.when(k % 3 == 0, F.array(put, untie, gone("b"))).when(k % 3 == 1, F.array(gone("a"))).otherwise(F.array(put))
+    steps = rows.select(k.alias("doc"), F.posexplode(ops).alias("pos", "op"))
+    return patches.apply_patches(rows.select(k.alias("doc"), base.alias("document")), steps).select("doc", "problem", F.size("inverse").alias("undone"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_brand, string_split_regex(p_type, '[^A-Za-z]+') AS w FROM part), c AS (SELECT p_partkey, p_brand, list_transform(list_filter(w, lambda x: x <> ''), lambda x: upper(left(x, 1)) || lower(substr(x, 2))) AS w FROM n)
+SELECT p_partkey, regexp_replace(lower(p_brand), '[_.]', '-', 'g') AS pypi, array_to_string(list_sort(list_distinct(list_append(list_transform(w, lambda x: lower(x)), lower(array_to_string(w, ''))))), ' ') AS terms FROM c""")
 def s9_s17_names(spark, d):
-    rows = table(spark, d, "part").where(F.col("p_type").rlike("^[A-Za-z ]+$"))
-    return rows.select("p_partkey", text.pypi_name(F.col("p_brand")).alias("pypi"), F.element_at(text.expanded_terms(F.lower("p_type")), 1).alias("term"))
+    camel = F.regexp_replace(F.initcap(F.regexp_replace("p_type", "[^A-Za-z]+", " ")), " ", "")
+    return table(spark, d, "part").select("p_partkey", text.pypi_name(F.col("p_brand")).alias("pypi"), F.array_join(text.expanded_terms(camel), " ").alias("terms"))

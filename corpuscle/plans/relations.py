@@ -13,10 +13,11 @@ def j1_star_join(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "o_orderdate", "p_name")
 
 
-@query("SELECT item, qty, (row_number() OVER (ORDER BY i))::INT AS place FROM (SELECT unnest(['a', 'b', 'c']) AS item, unnest([3, 1, 2]) AS qty, unnest([1, 2, 3]) AS i)")
+@query("SELECT p_partkey, w[i] AS item, length(w[i])::INT AS qty, i::INT AS place FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part), unnest(range(1, len(w) + 1)) AS t(i)")
 def j3_given_order(spark, d):
-    rows = spark.createDataFrame([(["a", "b", "c"], [3, 1, 2])], "item array<string>, qty array<int>")
-    return r.in_given_order(rows, "item", "qty").select("item", "qty", "place")
+    words = F.split("p_type", " ")
+    rows = table(spark, d, "part").select("p_partkey", words.alias("item"), F.transform(words, F.length).alias("qty"))
+    return r.in_given_order(rows, "item", "qty").select("p_partkey", "item", "qty", "place")
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1) ON c_custkey = o_custkey")

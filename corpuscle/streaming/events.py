@@ -40,7 +40,7 @@ def decode_events(frames: DataFrame) -> DataFrame:
 
 def reduce_event(state: dict, e) -> dict:
     """One event folded into a message's state."""
-    k = e.kind
+    k, before = e.kind, state["last_seq"]
     if k == "token":
         state["content"] += e.text
     elif k == "citation":
@@ -61,7 +61,7 @@ def reduce_event(state: dict, e) -> dict:
         state["status"] = e.finish or "complete"
     elif k == "snapshot":
         state = snapshot(e.message)
-    state["last_seq"] = e.seq
+    state["last_seq"] = max(e.seq, before)
     return state
 
 
@@ -87,8 +87,11 @@ def message_states(events: DataFrame) -> DataFrame:
     """State of every message after its events, in order of seq, each seq once.
 
     A stream keeps the state between batches and gives a row a message and batch; events whose seq is not above the last
-    one folded are repeats and go. A batch gives one row a message.
+    one folded are repeats and go, but for snapshots, whose number may start anew. A batch gives one row a message. A snapshot
+    belongs to the message that it holds, by the ``id`` in it, whatever its frame says; without one, to the frame's.
     """
+    held = F.when(F.col("kind") == "snapshot", F.get_json_object("message", "$.id"))
+    events = events.withColumn("message_id", F.coalesce(held, "message_id"))
     if not events.isStreaming:
 
         def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +105,7 @@ def message_states(events: DataFrame) -> DataFrame:
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         s = json.loads(held.get[0]) if held.exists else empty_state()
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable").drop_duplicates("seq")
-        for e in rows[rows["seq"] > s["last_seq"]].itertuples():
+        for e in rows[(rows["seq"] > s["last_seq"]) | (rows["kind"] == "snapshot")].itertuples():
             s = reduce_event(s, e)
         held.update((json.dumps(s),))
         yield _row(key[0], s)

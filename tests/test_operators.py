@@ -266,3 +266,27 @@ def test_delta_counts_what_stayed(spark):
     out = relational.delta(spark.range(0, 5), spark.range(2, 7)).collect()
     assert sorted((r.id, r.state) for r in out if r.id is not None) == [(0, "resolved"), (1, "resolved"), (5, "appeared"), (6, "appeared")]
     assert [r.state for r in out if r.id is None] == ["unchanged 3"]
+
+
+def test_snapshots_are_filed_under_their_message(spark, tmp_path):
+    """A frame without an id, or numbered anew, describes the message that it holds."""
+    from corpuscle.streaming import events
+
+    whole = '{"message": {"id": "m", "content": "whole", "status": "complete"}}'
+    rows = [("m", "m:7", "token", '{"text": "part"}'), (None, None, "snapshot", whole), ("n", "n:1", "token", '{"text": "other"}')]
+    decoded = events.decode_events(spark.createDataFrame(rows, "message_id string, id string, event string, data string"))
+    got = {r.message_id: r.content for r in events.message_states(decoded).collect()}
+    assert got == {"m": "wholepart", "n": "other"}  # in a batch by number, 0 first
+    decoded.where("kind = 'token'").write.parquet(str(tmp_path / "in"))
+    decoded.where("kind = 'snapshot'").write.mode("append").parquet(str(tmp_path / "late"))
+    stream = spark.readStream.schema(decoded.schema).parquet(str(tmp_path / "in"))
+    query = events.message_states(stream).writeStream.format("memory").queryName("filed").outputMode("update").option("checkpointLocation", str(tmp_path / "at")).start()
+    query.processAllAvailable()
+    for part in (tmp_path / "late").glob("*.parquet"):
+        part.rename(tmp_path / "in" / part.name)
+    query.processAllAvailable()
+    query.stop()
+    states = {}
+    for r in spark.table("filed").collect():
+        states.setdefault(r.message_id, []).append((r.content, r.status, r.last_seq))
+    assert states == {"m": [("part", "streaming", 7), ("whole", "complete", 7)], "n": [("other", "streaming", 1)]}
