@@ -59,6 +59,8 @@ NOTICES = {
 COMMON = tuple("a and any by for in is it of on or that the this to with".split())
 #: Words that may have been added or dropped in all, within one copy of a notice.
 DRIFT = 12
+#: Votes below which a notice must have them all: one pair less would be another notice.
+SHORT = 10
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: every ASCII character that is neither a digit nor a letter, A-Z being lowered before.
@@ -98,8 +100,10 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
     base phrase, of two words or more, stands where a diagonal has every vote. A longer notice may have words added or
     dropped: from every diagonal on, it is merged with its neighbours up to ``drift`` further, and the span that these
     cover, the template's length and ``drift`` at most, is verified: the distinct template pairs seen in it, over all that
-    vote, must be at least ``least``. As each diagonal is such a beginning, what else stands near a copy, its own
-    words again included, cannot hide it.
+    vote, must be at least ``least``, and all of them for a notice of fewer than ``SHORT``. As each diagonal is such a beginning,
+    what else stands near a copy, its own words again included, cannot hide it. Notices compete for the pairs of the
+    document: a pair goes to the notice with the larger share seen, then with more pairs seen, and one that wins no pair anywhere
+    is a part of another notice and gives no label. Equal notices both stay.
 
     One row for each row given: id column, n_words, n_base, first_word, last_word (smallest and largest start of a base
     phrase, words from 0; else null), base_labels, labels (distinct, sorted, comma-joined; empty if none) and score (1
@@ -117,13 +121,22 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
     hits = hits.where(F.col("template").isNotNull() | F.coalesce(F.col("at"), F.lit(0)).eqNullSafe(0))
     hits = hits.withColumn("diagonal", F.col("at") - F.col("place"))
     votes = hits.groupBy("row", "id", "n_words", "template", "label", "base", "total", "diagonal").agg(F.collect_list("place").alias("places"))
+    phrase = F.col("base") & (F.size("places") == F.col("total"))
+    standing = votes.select("row", "id", "n_words", F.when(phrase, F.col("diagonal")).alias("start"), F.when(phrase, F.col("label")).alias("base_label"), F.lit(None).cast("string").alias("label"), F.when(phrase, 1.0).alias("share"))
+
     near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, drift)
-    seen = F.when(F.col("base"), F.size("places")).otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))))
+    met = F.transform("places", lambda p: F.struct(p.alias("place"), (F.col("diagonal") + p).alias("at")))
+    framed = votes.where("not base").withColumn("met", F.flatten(F.collect_list(met).over(near))).withColumn("seen", F.size(F.array_distinct("met.place")))
     share = F.col("seen") / F.col("total")
-    phrase = F.col("base") & (F.col("seen") == F.col("total"))
-    notice = ~F.col("base") & (share >= least)
+    verified = framed.withColumn("share", share).where(F.col("share") >= F.when(F.col("total") < SHORT, 1.0).otherwise(least))
+    claims = verified.select("row", "id", "n_words", "label", F.struct("share", "seen").alias("claim"), F.explode(F.array_distinct("met.at")).alias("at"))
+    claims = claims.groupBy("row", "id", "n_words", "at", "label").agg(F.max("claim").alias("claim"))
+    best = claims.groupBy("row", "id", "n_words", "at").agg(F.collect_list(F.struct("claim", "label")).alias("held"))  # one entry a label at most
+    won = best.select("row", "id", "n_words", F.explode(F.filter("held", lambda x: x["claim"] == F.array_max("held.claim"))).alias("w"))
+    won = won.select("row", "id", "n_words", F.lit(None).cast("long").alias("start"), F.lit(None).cast("string").alias("base_label"), "w.label", "w.claim.share")
+
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = votes.withColumn("seen", seen).groupBy("row", "id", "n_words").agg(
-        F.count_if(phrase).alias("n_base"), F.min(F.when(phrase, F.col("diagonal"))).cast("long").alias("first_word"), F.max(F.when(phrase, F.col("diagonal"))).cast("long").alias("last_word"),
-        join(F.when(phrase, F.col("label"))).alias("base_labels"), join(F.when(phrase | notice, F.col("label"))).alias("labels"), F.coalesce(F.max(F.when(phrase, 1.0).when(notice, share)), F.lit(0.0)).alias("score"))
+    out = standing.unionByName(won).groupBy("row", "id", "n_words").agg(
+        F.count("start").alias("n_base"), F.min("start").cast("long").alias("first_word"), F.max("start").cast("long").alias("last_word"),
+        join("base_label").alias("base_labels"), join(F.coalesce("base_label", "label")).alias("labels"), F.coalesce(F.max("share"), F.lit(0.0)).alias("score"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm.licenses import BASE, COMMON, DRIFT, NOTICES
+from corpuscle.llm.licenses import BASE, COMMON, DRIFT, NOTICES, SHORT
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
@@ -26,10 +26,13 @@ tp AS (SELECT template, label, base, p AS place, w[p + 1] || ' ' || w[p + 2] AS
 tg AS (SELECT *, count(*) OVER (PARTITION BY template, base) AS total FROM tp),
 dg AS (SELECT doc_id, p AS spot, w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM d)),
 v AS (SELECT doc_id, template, label, base, total, spot - place AS diagonal, list(place) AS places FROM dg JOIN tg USING (g) GROUP BY ALL),
-m AS (SELECT doc_id, label, base, total, diagonal, CASE WHEN base THEN len(places) ELSE len(list_distinct(flatten(list(places) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING)))) END AS seen FROM v),
-k AS (SELECT *, base AND seen = total AS phrase, NOT base AND seen / total >= 0.8 AS notice FROM m)
-SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word, max(diagonal) FILTER (phrase) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
-coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR notice), '') AS labels, coalesce(max(CASE WHEN phrase THEN 1.0 WHEN notice THEN seen / total END), 0.0)::DOUBLE AS score FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w"""
+ph AS (SELECT doc_id, label, diagonal FROM v WHERE base AND len(places) = total),
+f AS (SELECT doc_id, label, total, flatten(list(list_transform(places, lambda p: [p, p + diagonal])) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING)) AS met FROM v WHERE NOT base),
+s AS (SELECT *, len(list_distinct(list_transform(met, lambda x: x[1]))) AS seen FROM f), n AS (SELECT *, seen / total AS share FROM s WHERE seen / total >= CASE WHEN total < {SHORT} THEN 1 ELSE 0.8 END),
+c AS (SELECT doc_id, label, share, seen, unnest(list_distinct(list_transform(met, lambda x: x[2]))) AS spot FROM n), won AS (SELECT doc_id, label, share FROM c QUALIFY rank() OVER (PARTITION BY doc_id, spot ORDER BY share DESC, seen DESC) = 1),
+k AS (SELECT doc_id, label, diagonal, 1.0 AS share, true AS phrase FROM ph UNION ALL SELECT doc_id, label, NULL, share, false FROM won)
+SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (phrase) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0)::DOUBLE AS score FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w"""
 
 OP7 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 s AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM i)), n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),

@@ -594,3 +594,22 @@ def test_smallest_hashes(spark):
 def test_queries_have_results(spark):
     for name, q in queries.QUERIES.items():
         assert q(spark, SF).count() > 0, name
+
+
+def test_each_notice_gives_its_own_label_and_no_other(spark):
+    """Also with a word added in the middle of the longer ones, and with two notices side by side."""
+    from corpuscle.llm import licenses
+
+    rows, want = [], {}
+    for k, (notice, label) in enumerate(licenses.NOTICES.items()):
+        words = notice.split()
+        base = {b for phrase, b in licenses.BASE.items() if phrase in notice}
+        rows.append((2 * k, f"Some words before. {notice} And after."))
+        want[2 * k] = {label} | base
+        if len(words) >= 20:
+            rows.append((2 * k + 1, f"x {' '.join(words[: len(words) // 2])} zebra {' '.join(words[len(words) // 2 :])} y"))
+            want[2 * k + 1] = {label} | {b for phrase, b in licenses.BASE.items() if phrase in rows[-1][1]}
+    rows += [(900, "licensed under CC-BY-NC 4.0"), (901, "licensed under cc by 4.0, the code licensed under cc by sa 4.0"), (902, "licensed under cc by words 4 0"), (903, "licensed under cc by nc nd 4 0")]
+    want |= {900: {"cc-by-nc"}, 901: {"cc-by", "cc-by-sa"}, 902: set(), 903: set()}
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
