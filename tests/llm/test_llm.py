@@ -613,3 +613,48 @@ def test_each_notice_gives_its_own_label_and_no_other(spark):
     want |= {900: {"cc-by-nc"}, 901: {"cc-by", "cc-by-sa"}, 902: set(), 903: set()}
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_shared_headings_and_sentences_of_articles_stay(spark):
+    """Twenty articles of one host with the same headings and one same sentence inside, and the same line at the end."""
+    from corpuscle.llm import html
+
+    body = lambda k: ["Title " + "abcdefghijklmnopqrstuvwxyz"[k] * 5, "Summary", f"First words {k} of it.", "As always, results may vary.", "Conclusion", f"Last words {k} of it."]
+    page = lambda b: f"<html><body><nav><p>Home</p></nav><article><h1>{b[0]}</h1><h2>{b[1]}</h2><p>{b[2]}</p><p>{b[3]}</p><h2>{b[4]}</h2><p>{b[5]}</p><p>Written for our readers.</p></article><footer><p>All rights</p></footer></body></html>"
+    rows = [(k, f"https://x.example/{k}", page(body(k))) for k in range(20)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == "\n".join(body(r.page_id))
+
+
+@pytest.mark.parametrize("name", ["side-effects", "legal", "share-price", "search-results", "related-theorem", "social-history", "comment-on-method", "login-rates", "banner-theory", "alert-levels"])
+def test_classes_of_an_article_that_look_like_frames(name):
+    from corpuscle.llm import html
+
+    assert html.main_text(f'<article><p>one</p><div class="{name}"><p>two</p></div></article>') == "one\ntwo"
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "comments", "comment-list", "related-posts", "sidebar", "newsletter", "ad-slot", "social-links", "nav", "cookie-notice"])
+def test_frames_inside_an_article_go(name):
+    from corpuscle.llm import html
+
+    assert html.main_text(f'<article><p>one</p><div class="{name}"><p>two</p></div></article>') == "one"
+
+
+def test_long_varied_pages_fold_in_time():
+    import random
+    import time
+
+    from corpuscle.llm import html
+
+    r = random.Random(3)
+    tags = ["p", "div", "ul", "table", "section", "h2", "pre"]
+    page, n = [], 0
+    while n < 200_000:
+        t = r.choice(tags)
+        page.append(f'<{t} class="c{r.randrange(40)}">w{r.randrange(10)}</{t}>')
+        n += len(page[-1])
+    began = time.time()
+    seq = html.fold(html.stream("".join(page)))
+    assert time.time() - began < 4 and seq
+    rows = "".join(f"<tr><td>{k}</td><td><b>x</b></td></tr>" for k in range(500))
+    assert len(html.fold(html.stream(f"<table>{rows}</table>"))) == 3
