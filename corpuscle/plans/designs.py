@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpuscle.operators import architecture
+from corpuscle.operators import architecture, canvas
 from corpuscle.plans.base import query, table
 
 CAPS = ["postgres", "mysql", "redis", "mongodb", "vector-search", "background-jobs", "object-storage", "llm-api", "kafka", "email", "http-server", "graphql", "frontend", "gpu-inference", "cassandra", "streaming"]
@@ -86,3 +86,58 @@ def d9_gaps(spark, d):
 @query()
 def d9_decisions(spark, d):
     return _profiles(spark, d).decisions.select("repo", "node_id", "title", "why", "confidence")
+
+
+#: Seven orders a document: each stands in the one before, on its own or in none that there is; they are listed from the last.
+_LINES = """l AS (SELECT doc_no::VARCHAR AS doc, 'n' || line AS id, line AS n, (9 - line)::INT AS pos, ['vpc', 'subnet', 'ecs_service', 'ecs_cluster', 'rds_instance', 'ecs_service'][part % 6 + 1] AS kind, 'N' || part AS name,
+  CASE WHEN supp % 40 = 0 THEN 'nowhere' WHEN line > 1 AND supp % 4 <> 0 THEN 'n' || (line - 1) END AS parent, CASE WHEN part % 5 > 0 THEN amount / 4 - 3 END AS x, price / 8 AS y, CASE WHEN part % 2 = 0 THEN amount END AS width, CASE WHEN part % 7 > 0 THEN amount * 2 END AS height,
+  CASE WHEN part % 4 = 0 THEN 'public' END AS tier FROM (SELECT o_orderkey // 7 AS doc_no, o_orderkey % 7 + 1 AS line, o_custkey AS part, o_custkey // 3 AS supp, floor(o_totalprice) % 50 AS amount, o_totalprice AS price FROM orders))"""
+_ABOVE = f"""{_LINES}, up AS (SELECT doc, id, n, parent AS top, 1 AS hops FROM l WHERE parent IS NOT NULL UNION ALL SELECT up.doc, up.id, up.n, l.parent, hops + 1 FROM up JOIN l ON l.doc = up.doc AND l.id = up.top WHERE l.parent IS NOT NULL),
+cl AS (SELECT DISTINCT up.doc, up.id FROM up JOIN l ON l.doc = up.doc AND l.id = up.top WHERE l.kind = 'ecs_cluster'), bad AS (SELECT DISTINCT doc FROM l WHERE parent IS NOT NULL AND (doc, parent) NOT IN (SELECT (doc, id) FROM l)),
+alone AS (SELECT l.* FROM l ANTI JOIN cl USING (doc, id) WHERE kind = 'ecs_service'),
+full_ AS (SELECT doc, id || '-cluster' AS id, 'ecs_cluster' AS kind, name || ' cluster' AS name, parent, coalesce(x, 0) AS x, y, 240.0 AS width, 160.0 AS height FROM alone UNION ALL
+  SELECT l.doc, l.id, l.kind, l.name, CASE WHEN a.id IS NULL THEN l.parent ELSE l.id || '-cluster' END, CASE WHEN a.id IS NULL THEN coalesce(l.x, 0) ELSE 20 END, CASE WHEN a.id IS NULL THEN l.y ELSE 48 END, l.width, l.height FROM l LEFT JOIN alone a ON a.doc = l.doc AND a.id = l.id)"""
+
+
+def _lines(spark, d):
+    n, part = F.col("line"), F.col("part")
+    kinds = F.array(*map(F.lit, ["vpc", "subnet", "ecs_service", "ecs_cluster", "rds_instance", "ecs_service"]))
+    of = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    key, price, customer = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_custkey")
+    rows = table(spark, d, "orders").select(F.floor(key / 7).alias("doc_no"), (key % 7 + 1).alias("line"), customer.alias("part"), F.floor(customer / 3).alias("supp"), (F.floor(price) % 50).alias("amount"), price.alias("price"))
+    nodes = rows.select(
+        F.col("doc_no").cast("string").alias("doc"), of(n).alias("id"), (9 - n).cast("int").alias("pos"), F.get(kinds, (part % 6).cast("int")).alias("kind"), F.concat(F.lit("N"), part.cast("string")).alias("name"),
+        F.when(F.col("supp") % 40 == 0, "nowhere").when((n > 1) & (F.col("supp") % 4 != 0), of(n - 1)).alias("parent"), F.when(part % 5 > 0, F.col("amount") / 4 - 3).cast("double").alias("x"), (F.col("price") / 8).cast("double").alias("y"),
+        F.when(part % 2 == 0, F.col("amount")).cast("double").alias("width"), F.when(part % 7 > 0, F.col("amount") * 2).cast("double").alias("height"), F.when(part % 4 == 0, "public").alias("tier"), F.lit("{}").alias("params"))
+    edges = rows.where("line > 1").select(F.col("doc_no").cast("string").alias("doc"), F.concat(F.lit("e"), n.cast("string")).alias("id"), n.cast("int").alias("pos"), F.lit("calls").alias("kind"), of(n).alias("source"), of(n - 1).alias("target"), F.lit(None).cast("string").alias("label"))
+    return nodes, edges
+
+
+@query(f"WITH RECURSIVE {_ABOVE} SELECT doc, id, (row_number() OVER (PARTITION BY doc ORDER BY id))::INT AS place, kind, name, parent, floor(x + 0.5) AS x, floor(y + 0.5) AS y, width, height FROM full_")
+def d5_normalised(spark, d):
+    return canvas.normalised(*_lines(spark, d))[0].select("doc", "id", "place", "kind", "name", "parent", "x", "y", "width", "height")
+
+
+@query(f"""WITH RECURSIVE {_ABOVE}, f AS (SELECT up.doc, up.top AS id, min(l.pos) AS first FROM up JOIN l ON l.doc = up.doc AND l.id = up.id GROUP BY ALL), h AS (SELECT doc, id, max(hops) AS depth FROM up GROUP BY ALL)
+SELECT l.doc, l.id, (row_number() OVER (PARTITION BY l.doc ORDER BY least(pos, coalesce(first, pos)), coalesce(depth, 0), pos))::INT AS place, CASE kind WHEN 'vpc' THEN 'vpc-environment' WHEN 'subnet' THEN coalesce(tier, 'private') || '-subnet' WHEN 'ecs_cluster' THEN 'ecs-cluster' ELSE 'service' END AS shape,
+CASE kind WHEN 'vpc' THEN 'vpc-environment' WHEN 'subnet' THEN coalesce(tier, 'private') || '-subnet' WHEN 'ecs_cluster' THEN 'ecs-cluster' WHEN 'rds_instance' THEN 'rds' ELSE 'ecs' END AS service, coalesce(x, 0) AS x, CASE WHEN height IS NOT NULL THEN width END AS width
+FROM l LEFT JOIN f USING (doc, id) LEFT JOIN h USING (doc, id) WHERE l.doc NOT IN (FROM bad)""")
+def d5_canvas(spark, d):
+    return canvas.to_canvas(*_lines(spark, d)).nodes.select("doc", "id", "place", "shape", "service", "x", "width")
+
+
+@query(f"WITH {_LINES} SELECT doc, '/nodes/' || id || '/parent' AS pointer, 'no such node' AS message FROM l WHERE parent IS NOT NULL AND (doc, parent) NOT IN (SELECT (doc, id) FROM l) UNION ALL SELECT doc, '/edges/e' || n || '/target', 'no such node' FROM l WHERE n > 1 AND (doc, 'n' || (n - 1)) NOT IN (SELECT (doc, id) FROM l)")
+def d5_problems(spark, d):
+    return canvas.to_canvas(*_lines(spark, d)).problems
+
+
+@query(f"WITH RECURSIVE {_ABOVE} SELECT doc, count(*) AS nodes, count(*) AS alike FROM full_ WHERE doc NOT IN (FROM bad) GROUP BY 1")
+def d5_round_trip(spark, d):
+    """Of every drawable document, how many nodes its normal form has, and how many of them it still has after a way there and back."""
+    nodes, edges = _lines(spark, d)
+    drawing = canvas.to_canvas(nodes, edges)
+    back = canvas.to_document(drawing.nodes, drawing.edges)
+    before, after = (canvas.normalised(*x)[0].drop("width", "height") for x in ((nodes, edges), (back.nodes, back.edges)))
+    kept = before.join(drawing.problems.select("doc").distinct(), "doc", "left_anti")
+    alike = kept.intersect(after.select(kept.columns)).withColumn("__same", F.lit(1))
+    return kept.unionByName(alike, allowMissingColumns=True).groupBy("doc").agg(F.count_if(F.col("__same").isNull()).alias("nodes"), F.count("__same").alias("alike"))
