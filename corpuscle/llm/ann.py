@@ -225,7 +225,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.
     dealt = placed.withColumn("shard", F.pmod(F.xxhash64("id"), many).cast("int"))
     trees = keep(dealt.groupBy("cell", "shard").applyInPandas(grow, "cell int, shard int, tree binary"), "trees")
     blocks = max(1, ceil(n / every / QUERY_ROWS))
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = placed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)).cast("int"))
     asked = keep(asked, "asked")
 
@@ -261,9 +260,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
     def searched(queries: DataFrame) -> DataFrame:
-        routed = queries.transform(in_batches, route, "id long, v array<double>, block int, least double, cell int, shard int")
+        routed = keep(queries.transform(in_batches, route, "id long, v array<double>, block int, least double, cell int, shard int"), "routed")
         keys = ["cell", "shard", "block"]
-        return trees.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(put, "query_id long, vec_id long, score double")
+        met = trees.join(keep(routed.select(*keys).distinct(), "met"), ["cell", "shard"])  # a tree goes only to blocks with a query for it
+        return met.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(put, "query_id long, vec_id long, score double")
 
     begun = keep(searched(asked.select("id", "v", "block")), "begun")
     seed = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
