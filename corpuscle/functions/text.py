@@ -122,9 +122,8 @@ def term_in_span(term: Column, span: Column) -> Column:
 
 def line_of_byte(text: Column, offset: Column) -> Column:
     """Line, from 1, of a byte offset: line feeds before it, plus one."""
-    before = F.substring(F.hex(F.encode(text, "UTF-8")), F.lit(1), (2 * offset).cast("int"))
-    pairs = F.regexp_replace(before, "(..)", "$1 ")
-    return (F.size(F.split(pairs, "0A ")) - F.lit(1) + 1).cast("int")
+    before = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int")), "ISO-8859-1")  # a character a byte
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
 def line_slice(text: Column, first: Column, last: Column) -> Column:

@@ -33,7 +33,7 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 def binary(content: Column) -> Column:
     """Whether the first 8 KiB of a file hold a zero byte."""
-    return F.contains(F.hex(F.substring(content, 1, PROBE_BYTES)).cast("string"), F.lit("00")) & (F.instr(F.regexp_replace(F.hex(F.substring(content, 1, PROBE_BYTES)), "(..)", "$1 "), "00 ") > 0)
+    return F.contains(F.decode(F.substring(content.cast("binary"), 1, PROBE_BYTES), "ISO-8859-1"), F.lit("\x00"))  # a character a byte
 
 
 def skip_reason(path: Column, size: Column, content: Column, patterns: list[str], link_outside: Column | None = None, unreadable: Column | None = None, most: int = MAX_FILE_BYTES) -> Column:

@@ -51,7 +51,15 @@ def nearest_ancestor(paths: DataFrame, owners: DataFrame, path: str, owner: str)
 
 
 def only_match(asked: DataFrame, offers: DataFrame, on: list, id_col: str, take: list[str]) -> DataFrame:
-    """Asked rows with the one offer that meets the condition; nulls if none or several do."""
+    """Asked rows with the one offer that meets the condition; nulls if none or several do.
+
+    Where the condition is columns of one name, offers are counted before the join, so that no pairs of a key are made.
+    """
+    if all(isinstance(c, str) for c in on):
+        single = offers.groupBy(*on).agg(F.count("*").alias("__n"), *(F.min(c).alias(c) for c in take if c not in on)).where("__n = 1").drop("__n")
+        found = single.withColumn("__met", F.lit(True))
+        out = asked.join(found, on, "left")
+        return out.select(*asked.columns, *((F.when(F.col("__met"), F.col(c)) if c in on else F.col(c)).alias(c) for c in take if c not in asked.columns))
     hits = asked.join(offers, on).groupBy(id_col).agg(F.count("*").alias("__n"), *(F.min(c).alias(c) for c in take)).where("__n = 1").drop("__n")
     return asked.join(hits, id_col, "left")
 
@@ -68,9 +76,14 @@ def dangling(rows: DataFrame, ref: str, targets: DataFrame, key: str) -> DataFra
     return rows.where(F.col(ref).isNotNull()).join(targets, rows[ref] == targets[key], "left_anti")
 
 
-def offered(needs: DataFrame, nodes: DataFrame, declared: DataFrame, need: str, offer: str, source: str, target: str) -> DataFrame:
-    """(source, target) where a node offers a capability that a source needs and no edge is declared."""
+def offered(needs: DataFrame, nodes: DataFrame, declared: DataFrame | Column, need: str, offer: str, source: str, target: str) -> DataFrame:
+    """(source, target) where a node offers a capability that a source needs and no edge is declared.
+
+    ``declared``: the edges, or where a rule gives them, that rule as a condition on the row.
+    """
     found = needs.join(nodes, F.col(need) == F.col(offer)).where(F.col(source) != F.col(target)).select(source, target, need).distinct()
+    if isinstance(declared, Column):
+        return found.where(~F.coalesce(declared, F.lit(False)))
     return found.join(declared.select(source, target), [source, target], "left_anti")
 
 

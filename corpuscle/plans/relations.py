@@ -92,8 +92,7 @@ def j17_dangling(spark, d):
 def j18_offered(spark, d):
     needs = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("need"))
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("offer"))
-    declared = needs.select("source", (F.col("source") % 5).alias("m")).join(nodes.select("target", (F.col("target") % 5).alias("m")), "m")
-    return r.offered(needs, nodes, declared, "need", "offer", "source", "target")
+    return r.offered(needs, nodes, F.col("source") % 5 == F.col("target") % 5, "need", "offer", "source", "target")
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(*) AS lines, bool_and(l_quantity > 5) AS all_big FROM lineitem GROUP BY 1")
