@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,13 @@ from corpuscle.llm.common import discard, in_batches, keep, kept_path
 from corpuscle.llm.components import components
 
 #: What sets the order of shingles, and no result: the share of the hashes' range that is counted exactly, how many of the
-#: commonest shingles all tasks know, how many shingles a task counts at once to find these, and up to which count one is rare.
-COUNTED = 5 / 16
+#: commonest shingles all tasks know, how many shingles a task counts at once to find these, up to which count one is rare, and
+#: how many counters, a power of two, all shingles share in the sketch of their counts, that many in a stored piece of it.
+COUNTED = 1 / 4
 COMMON_SHINGLES = 1 << 17
 COUNTED_AT_ONCE = 1 << 20
 RARE = 8
+COUNTERS, PIECE = 1 << 19, 1 << 16
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -228,17 +231,29 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, least: float) -
     return min(n, m) >= least * max(n, m) - 1e-9 and int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-6
 
 
-def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``COMMON_SHINGLES`` commonest shingles of all texts, ascending, and their counts.
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each hash: other bits than those that order them."""
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
 
-    Tasks count some shingles at a time and send on those met twice, so that shingles of one text are never shuffled.
-    Copies met at one time count once.
+
+def _counts(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``COMMON_SHINGLES`` commonest shingles of all texts, ascending, their counts, and the sketch: ``COUNTERS`` counts.
+
+    Tasks count some shingles at a time and send on those met twice, so that shingles of one text are never shuffled. Every
+    shingle also adds to one counter of the sketch, which a task sends on as a whole, in pieces. Copies met at one time count once.
+    The sketch has one size whatever the corpus; what its counters hold beside a shingle is about the shingles a counter.
     """
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shingle", "n", "piece", "held"]
+        sketch = np.zeros(COUNTERS, np.uint32)
+
         def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
+            every = np.concatenate(held)
+            np.add(sketch, np.bincount(_counter(every), minlength=COUNTERS), out=sketch, casting="unsafe")
+            h, n = np.unique(every, return_counts=True)
+            some = int((n > 1).sum())
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64)), pa.nulls(some, pa.int32()), pa.nulls(some, pa.binary())], names)
 
         held, size, met = [], 0, set()
         for b in batches:
@@ -253,10 +268,29 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                     held, size, met = [], 0, set()
         if held:
             yield out()
+        for k in range(COUNTERS // PIECE):
+            if (part := sketch[k * PIECE : (k + 1) * PIECE]).any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)])], names)
 
-    counts = rows.select("text").transform(in_batches, repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toPandas().sort_values("shingle")
-    return found["shingle"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), np.uint16).astype(np.int64)
+                whole[k] = whole[k] + part if k in whole else part
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in whole.values()])], ["piece", "held"])
+
+    found = keep(rows.select("text").transform(in_batches, repeated, "shingle long, n long, piece int, held binary"), "counts")
+    counts = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toPandas().sort_values("shingle")
+    sketch = np.zeros(COUNTERS, np.int64)
+    pieces = found.where("piece is not null").select("piece", "held").repartition("piece").transform(in_batches, added, "piece int, held binary")
+    for r in pieces.collect():  # the sketch, of one size
+        sketch[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(r.held), np.int64)
+    if not found.isEmpty():
+        discard(rows.sparkSession, kept_path(found))
+    return common["shingle"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64), np.minimum(sketch, 2**32 - 1).astype(np.uint32)
 
 
 def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -265,14 +299,17 @@ def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: s
     Two sets with a Jaccard similarity of ``least`` or more share ``least`` of either at the fewest, so that if each
     is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; this one
     lets few texts meet. Those in the lower ``COUNTED`` of the hashes are counted exactly over all texts, and the
-    rare of them go first; then come those not counted, the others counted, and last the commonest of all (``_common``).
+    rare of them go first; then come those not counted, by their counters, the others counted, those whose counters stand
+    out from the sketch, and last the commonest of all (``_counts``).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
-    order = docs.sparkSession.sparkContext.broadcast(_common(rows, words))
+    order = docs.sparkSession.sparkContext.broadcast(_counts(rows, words))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, n = order.value
+        common, n, sketch = order.value
+        usual = float(np.median(sketch))
+        hot = usual + 8 * np.sqrt(usual + 1) + RARE
         limit = np.uint64(int(COUNTED * (1 << 48)))
         for b in batches:
             sizes, odd, most, low, high, last = [], [], [], [], [], []
@@ -283,10 +320,15 @@ def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: s
                 most.append(len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0)
                 at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
                 often = common[at] == h if len(common) else np.zeros(len(h), bool)
-                last.append(h[often][np.argsort(n[at[often]], kind="stable")][: most[-1]].view(np.int64))
+                most_common = h[often][np.argsort(n[at[often]], kind="stable")]
                 h = h[~often]
                 low.append(h[h < limit].view(np.int64))
-                high.append(h[h >= limit][: most[-1]].view(np.int64))
+                h = h[h >= limit]
+                counted = sketch[_counter(h)]
+                by = np.argsort(counted, kind="stable")
+                h, counted = h[by], counted[by]
+                high.append(h[counted <= hot][: most[-1]].view(np.int64))
+                last.append(np.concatenate([h[counted > hot], most_common])[: most[-1]].view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (low, high, last)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(most, pa.int32()), *lists], ["rep", "size", "parity", "most", "low", "high", "last"])
 
