@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from corpuscle.llm.common import in_batches, keep
 
 #: Vectors of a tree, anchors that one task puts to it, vectors of a leaf.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 4096, 32
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 4096, 128
 #: Centres that vectors are dealt to, at most: what a task holds to route a query.
 MOST_CELLS = 256
 
@@ -76,7 +76,8 @@ class BallTree:
         the k-th product keeps the node: the tie may go to a smaller id in it.
         """
         n = len(ids)
-        best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(n)]
+        none = -(1 << 62)
+        scored, chosen = np.full((n, k), none), np.zeros((n, k), np.int64)
         least = low.copy()
         q, norms = queries.astype(float), np.sqrt((queries.astype(float) ** 2).sum(1))
         high_f = high.astype(float)
@@ -88,13 +89,14 @@ class BallTree:
             fits &= (self.labels[rows][None, :] == labels[at][:, None]) == same
             if same:
                 fits &= self.ids[rows][None, :] != ids[at][:, None]
-            for j in np.flatnonzero(fits.any(1)):
-                i, hit = at[j], fits[j]
-                s, c = np.concatenate([best[i][0], scores[j, hit]]), np.concatenate([best[i][1], self.ids[rows[hit]]])
-                order = np.lexsort((c, -s))[:k]
-                best[i] = s[order], c[order]
-                if len(order) == k:
-                    least[i] = max(least[i], s[order[-1]])
+            some = fits.any(1)
+            if some.any():
+                i = at[some]
+                s = np.concatenate([scored[i], np.where(fits[some], scores[some], none)], 1)
+                c = np.concatenate([chosen[i], np.broadcast_to(self.ids[rows], (len(i), len(rows)))], 1)
+                order = np.lexsort((c, -s), axis=1)[:, :k]
+                scored[i], chosen[i] = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
+                least[i] = np.maximum(least[i], scored[i, -1])
 
         def down(node: int, at: np.ndarray) -> None:
             centre, radius, only, kids, rows = self.nodes[node]
@@ -115,7 +117,7 @@ class BallTree:
 
         if self.root >= 0 and n:
             down(self.root, np.arange(n))
-        return best
+        return [(s[s > none], c[s > none]) for s, c in zip(scored, chosen, strict=True)]
 
 
 def _sound(vectors: DataFrame, scale: int, dim: int | None) -> tuple[DataFrame, int, int]:
