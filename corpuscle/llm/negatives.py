@@ -37,7 +37,8 @@ class BallTree:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray):
         order = np.lexsort((ids, labels))
         self.ids, self.labels, self.x = ids[order], labels[order], x[order]
-        self.exact = self.x.astype(float) if abs(self.x).max(initial=0) ** 2 * max(1, x.shape[1]) < 1 << 53 else None
+        self.most = int(abs(self.x).max(initial=0)) * max(1, x.shape[1])
+        self.floats = self.x.astype(float) if self.most * self.most < 1 << 53 else None
         self.nodes: list[tuple] = []
         rows = np.arange(len(ids))
         self.compared = 0  # pairs of a query and a row whose product was taken
@@ -63,11 +64,9 @@ class BallTree:
         self.nodes[at] = (centre, radius, only, kids, None if kids else np.sort(rows))
         return at
 
-    def products(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Integer inner products, in doubles where these hold them exactly."""
-        if self.exact is not None and abs(queries).max(initial=0) * abs(self.x).max(initial=0) * max(1, queries.shape[1]) < 1 << 53:
-            return (queries.astype(float) @ self.exact[rows].T).astype(np.int64)
-        return queries @ self.x[rows].T
+    def products(self, queries: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
+        """Integer inner products: in doubles, where these hold them exactly, or in whole numbers."""
+        return (queries.astype(float) @ self.floats[rows].T).astype(np.int64) if exact else queries @ self.x[rows].T
 
     def search(self, ids: np.ndarray, labels: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each query the k rows of largest product within [low, high]: of its own label but not of its id, or of others.
@@ -81,9 +80,10 @@ class BallTree:
         least = low.copy()
         q, norms = queries.astype(float), np.sqrt((queries.astype(float) ** 2).sum(1))
         high_f = high.astype(float)
+        exact = self.floats is not None and int(abs(queries).max(initial=0)) * self.most < 1 << 53
 
         def leaf(rows: np.ndarray, at: np.ndarray) -> None:
-            scores = self.products(queries[at], rows)
+            scores = self.products(queries[at], rows, exact)
             self.compared += scores.size
             fits = (scores >= low[at][:, None]) & (scores <= high[at][:, None]) & (scores >= least[at][:, None])
             fits &= (self.labels[rows][None, :] == labels[at][:, None]) == same
