@@ -110,3 +110,28 @@ def test_extra_columns_and_nulls(spark):
         assert docs.columns == names, name
         assert all((r.score, r.lang_pred, r.label) == (0.25, "own", 2) for r in docs.collect()), name
     assert [r.doc_id for r in docs.collect()] in ([None], [])
+
+
+def test_near_duplicate_work_grows_with_texts_that_share_words(spark, monkeypatch):
+    """Texts of 120 shared shingles and 60 own words, none alike, with a common table that does not hold the shared ones."""
+    from corpuscle.llm import simhash
+
+    sizes, kept = [], simhash.keep
+
+    def counting(df, label, codec="zstd"):
+        out = kept(df, label, codec)
+        if label == "pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "keep", counting)
+    monkeypatch.setattr(simhash, "COMMON_SHINGLES", 16)
+    made = []
+    for m in (60, 240):
+        sizes.clear()
+        rows = [(i, " ".join([f"s{k}" for k in range(124)] + [f"o{i}x{k}" for k in range(60)])) for i in range(m)]
+        rows.append((m, rows[0][1] + " end"))  # one is alike
+        got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(m)} | {m: 0}
+        made.append(sum(sizes))
+    assert made[1] < 6 * made[0]
