@@ -52,7 +52,10 @@ def test_text_pieces(spark):
     assert one(spark, text.line_slice(F.lit("a"), F.lit(2), F.lit(3))) is None
     assert one(spark, text.identifier(F.lit("2fastCar"))) == "r_2fast_car"
     assert [tuple(s) for s in one(spark, text.segments(F.lit("a[1][sku:x]``` `b` ```py\nc\n```[`")))] == [("text", None, "a[1]"), ("citation", "sku", "x"), ("text", None, "``` "), ("code", None, "b"), ("text", None, " "), ("block", "py", "c"), ("text", None, "[`")]
-    assert one(spark, text.resource_name(F.lit("--"), F.lit("db"))) == "db"
+    # the reference cuts the name to 32 before the suffix, and says app where nothing is left of it
+    assert one(spark, text.resource_name(F.lit("--"), F.lit("db"))) == "app-db"
+    assert one(spark, text.resource_name(F.lit("x" * 40), F.lit("svc"))) == "x" * 32 + "-svc"
+    assert one(spark, text.resource_name(F.lit("A_b  C-"), F.lit("svc"))) == "a-b-c-svc"
 
 
 def test_hashes(spark):
