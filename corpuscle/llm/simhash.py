@@ -18,7 +18,7 @@ from corpuscle.llm.components import components
 #: What sets the order of shingles, and no result: the share of the hashes' range that is counted exactly, how many of the
 #: commonest shingles all tasks know, how many shingles a task counts at once to find these, up to which count one is rare, and
 #: how many counters, a power of two, all shingles share in the sketch of their counts, that many in a stored piece of it.
-COUNTED = 1 / 4
+COUNTED = 3 / 16
 COMMON_SHINGLES = 1 << 17
 COUNTED_AT_ONCE = 1 << 20
 RARE = 8
