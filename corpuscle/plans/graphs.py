@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpuscle.operators import graph
+from corpuscle.operators import communities, graph
 from corpuscle.plans.base import query, table
 
 #: Places as a tree: region <- nation <- customer.
@@ -53,9 +53,12 @@ _RINGS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 16 < 8 THEN (c_custkey /
 
 @query(f"WITH RECURSIVE t AS ({_RINGS}), up AS (SELECT id AS node, parent AS top, 1 AS n FROM t WHERE parent IS NOT NULL UNION ALL SELECT up.node, t.parent, n + 1 FROM up JOIN t ON t.id = up.top WHERE t.parent IS NOT NULL AND n < 10) SELECT DISTINCT node FROM up WHERE top = node")
 def g7_cycles(spark, d):
+    return graph.in_cycle(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), _ring_parent().alias("parent")), "id", "parent")
+
+
+def _ring_parent():
     k = F.col("c_custkey")
-    ring = F.floor(k / 8) * 8 + (k + 1) % 8
-    return graph.in_cycle(table(spark, d, "customer").select(k.alias("id"), F.when(k % 16 < 8, ring).when(k % 16 < 14, k - 8).alias("parent")), "id", "parent")
+    return F.when(k % 16 < 8, F.floor(k / 8) * 8 + (k + 1) % 8).when(k % 16 < 14, k - 8)
 
 
 @query(f"SELECT id, (CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END)::INT AS depth FROM {_TREE}")
@@ -83,3 +86,35 @@ def d1_problems(spark, d):
 @query("SELECT l_suppkey AS node, min(l_linenumber) AS hops, max(l_quantity) AS weight FROM lineitem GROUP BY 1")
 def a22_best_reach(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.min("l_linenumber").alias("hops"), F.max("l_quantity").alias("weight"))
+
+
+_KINDS = list(communities.REACH)
+_KINDS_SQL = f"{_KINDS}[l_linenumber % 8 + 1]"
+_REACH_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in communities.REACH.items()) + " END"
+
+
+def _supply(spark, d):
+    """Parts and suppliers of all order lines, the line number telling the kind of edge."""
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("l_linenumber") % 8).cast("int"))
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), kind.alias("kind"))
+
+
+@query(f"""WITH k AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, {_KINDS_SQL} AS kind FROM lineitem), o AS (SELECT a, b, max({_REACH_SQL}) AS w FROM k GROUP BY ALL), e AS (SELECT a, b, w FROM o UNION ALL SELECT b, a, w FROM o),
+q AS (SELECT DISTINCT s_nationkey AS query, 's' || s_suppkey AS seed FROM supplier), h1 AS (SELECT query, seed, b AS node, 1 AS hops, w AS weight FROM q JOIN e ON a = seed),
+h2 AS (SELECT query, seed, b AS node, 2 AS hops, max(weight * w) AS weight FROM h1 JOIN e ON a = node WHERE b <> seed GROUP BY ALL), ways AS (SELECT query, seed, seed AS node, 0 AS hops, 1.0::DOUBLE AS weight FROM q UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2),
+f AS (SELECT query, node, first(seed ORDER BY weight DESC, hops, seed) AS seed, min(hops) AS hops, max(weight) AS weight FROM ways GROUP BY query, node), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weight DESC, hops, node) AS r FROM f),
+m AS (SELECT 's' || s_suppkey AS node, s_nationkey % 5 AS c FROM supplier UNION ALL SELECT 'p' || p_partkey, p_partkey % 5 FROM part)
+SELECT query, r.node, seed, hops::INT AS hops, round(weight, 6) AS weight, round(weight / (1 + hops) + CASE WHEN a.c = b.c THEN 0.5 ELSE 0 END, 6) AS score FROM r LEFT JOIN m a ON a.node = r.node LEFT JOIN m b ON b.node = seed WHERE r <= 200 AND hops > 0""")
+def g10_expanded(spark, d):
+    s = table(spark, d, "supplier")
+    member = lambda df, p, k, c: df.select(F.concat(F.lit(p), k).alias("node"), (F.col(c) % 5).alias("community"))
+    members = member(s, "s", "s_suppkey", "s_nationkey").unionByName(member(table(spark, d, "part"), "p", "p_partkey", "p_partkey"))
+    found = communities.expanded(_supply(spark, d), s.select(F.col("s_nationkey").alias("query"), F.concat(F.lit("s"), "s_suppkey").alias("node")), members)
+    return found.withColumns({"weight": F.round("weight", 6), "score": F.round("score", 6)})
+
+
+@query()
+def g11_communities(spark, d):
+    named = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), _ring_parent().alias("target"), F.get(F.array(*map(F.lit, _KINDS)), (F.col("c_custkey") % 8).cast("int")).alias("kind"))
+    weighted = named.withColumn("weight", communities.weight_of(F.col("kind"), communities.TOGETHER, communities.GUESSED))
+    return communities.communities(named.select(F.col("source").alias("node")), weighted)
