@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.operators import declarations
+
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -68,14 +70,8 @@ def token_chunks(docs: DataFrame, id_col: str, text_col: str, max_tokens: int =
     return docs.select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, start_line int, end_line int, content string, token_count int")
 
 
-def _python_chunks(source: str, most: int) -> Iterator[tuple]:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        for s, e, c, n in _greedy(source, most):
-            yield s, e, None, "line_window", c, n
-        return
-    lines = source.splitlines(keepends=True)
+def _python_spans(source: str) -> list[tuple[int, int, str | None, str]]:
+    tree = ast.parse(source)
     spans: list[tuple[int, int, str | None, str]] = []
     for node in tree.body:
         start = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
@@ -92,8 +88,17 @@ def _python_chunks(source: str, most: int) -> Iterator[tuple]:
             spans.append((start, first - 1, node.name, "class"))
             for m in methods:
                 spans.append((min([m.lineno, *(d.lineno for d in m.decorator_list)]), m.end_lineno, f"{node.name}.{m.name}", "method"))
-    at = 1
-    for start, end, symbol, kind in [*sorted(spans), (len(lines) + 1, len(lines), None, "")]:
+    return sorted(spans, key=lambda s: s[:2])
+
+
+def _declared_chunks(source: str, language: str, most: int) -> Iterator[tuple]:
+    """Chunks along declarations, the lines between them by windows; windows alone if the file cannot be made out."""
+    try:
+        spans = _python_spans(source) if language == "python" else declarations.spans(source, language)
+    except (SyntaxError, ValueError, RecursionError):
+        spans = []
+    lines, at = re.findall(r"[^\n]*\n|[^\n]+", source), 1
+    for start, end, symbol, kind in [*spans, (len(lines) + 1, len(lines), None, "")]:
         between = "".join(lines[at - 1 : start - 1])
         if between.strip():
             for s, e, c, n in _greedy(between, most, at):
@@ -105,10 +110,11 @@ def _python_chunks(source: str, most: int) -> Iterator[tuple]:
 
 
 def source_chunks(files: DataFrame, id_col: str, text_col: str, language_col: str, max_tokens: int = 512) -> DataFrame:
-    """Chunks of source files: Python by declarations, others and what does not parse by lines.
+    """Chunks of source files: Python, TypeScript, JavaScript, Go and Rust by declarations, the rest by lines.
 
     id, start_line, end_line, symbol, kind, content, token_count. Lines outside declarations become ``line_window`` chunks,
-    so that nothing but blank lines is lost.
+    so that nothing but blank lines is lost; so does a file that does not parse or whose brackets do not pair. A file is one
+    row's work, linear in its length.
     """
     kind = files.schema[id_col].dataType.simpleString()
     names = [id_col, "start_line", "end_line", "symbol", "kind", "content", "token_count"]
@@ -117,8 +123,8 @@ def source_chunks(files: DataFrame, id_col: str, text_col: str, language_col: st
         for b in batches:
             rows = []
             for i, t, lang in zip(b[id_col], b[text_col], b[language_col], strict=True):
-                if t and lang == "python":
-                    rows += [(i, *c) for c in _python_chunks(t, max_tokens)]
+                if t and (lang == "python" or lang in declarations.LANGUAGES):
+                    rows += [(i, *c) for c in _declared_chunks(t, lang, max_tokens)]
                 elif t:
                     rows += [(i, s, e, None, "line_window", c, n) for s, e, c, n in _greedy(t, max_tokens)]
             yield pd.DataFrame(rows, columns=names)

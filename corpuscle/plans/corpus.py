@@ -187,6 +187,18 @@ def d19_source_chunks(spark, d):
     return chunks.source_chunks(files, "doc_id", "text", "language", 256)
 
 
+@query("""WITH o AS (SELECT o_orderkey // 32 AS file, o_orderkey, 3 * (row_number() OVER (PARTITION BY o_orderkey // 32 ORDER BY o_orderkey) - 1) AS k FROM orders)
+SELECT file, (k + 2)::INT AS start_line, (k + 4)::INT AS end_line, 'o' || o_orderkey AS symbol, 'function' AS kind FROM o UNION ALL SELECT DISTINCT o_orderkey // 32, 1, 1, NULL, 'imports' FROM orders""")
+def d19_declarations(spark, d):
+    """Chunks of source files written here from the orders, 32 keys a file: one function an order, in four languages."""
+    in_turn = lambda *words: F.get(F.array(*map(F.lit, words)), (F.col("file") % 4).cast("int"))
+    function = F.concat(in_turn("export function", "async function", "pub fn", "func"), F.lit(" o"), "o_orderkey", F.lit('() {\n  "}"; // {\n}\n'))
+    files = table(spark, d, "orders").withColumn("file", F.floor(F.col("o_orderkey") / 32)).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", function.alias("f")))).alias("all"))
+    source = F.concat(in_turn("import a from 'a';\n", "import 'a';\n", "use a::{b};\n", 'import "a"\n'), F.array_join("all.f", ""))
+    files = files.select("file", source.alias("text"), in_turn("typescript", "javascript", "rust", "go").alias("language"))
+    return chunks.source_chunks(files, "file", "text", "language", 256).select("file", "start_line", "end_line", "symbol", "kind")
+
+
 @query()
 def d20_embed(spark, d):
     return chunks.hashing_embedding(table(spark, d, "documents"), "doc_id", "text", 16).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
