@@ -144,14 +144,12 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.05, to
 
     nodes: node; edges: source, target, weight. The quality is the weight of edges inside communities less ``resolution`` times
     the pairs of nodes inside. Three steps repeat until none raises it: communities that are each other's best partner join;
-    single nodes move; what then no longer hangs
-    together is cut. Each step can only raise the quality, so they end; every community is connected; ties go to smaller
+    single nodes move; what then no longer hangs together is cut. Each step can only raise the quality, so they end; every community is connected; ties go to smaller
     ids, so that the result depends on the graph alone. At last communities of fewer than ``least`` nodes join their strongest
     neighbour (then the smaller), should they have one.
 
     Rounds grow with the size of communities, which the resolution bounds, and on dense graphs with the moves each of them
-    must make one after another, not with the number of nodes; each is joins and
-    grouping on keys, cut by a checkpoint. A node that very many edges meet is added up on the way into its group.
+    must make one after another, not with the number of nodes; each is joins and grouping on keys, cut by a checkpoint. A node that very many edges meet is added up on the way into its group.
     Null ends, loops, weights null or not above zero and ends that are no node take no part; repeated edges add up.
     """
     where = _cut(nodes.where("node is not null").select("node").distinct().withColumn("community", F.col("node")))
