@@ -97,7 +97,8 @@ def _declared_chunks(source: str, language: str, most: int) -> Iterator[tuple]:
         spans = _python_spans(source) if language == "python" else declarations.spans(source, language)
     except (SyntaxError, ValueError, RecursionError):
         spans = []
-    lines, at = re.findall(r"[^\n]*\n|[^\n]+", source), 1
+    # lines as the parser counts them
+    lines, at = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+" if language == "python" else r"[^\n]*\n|[^\n]+", source), 1
     for start, end, symbol, kind in [*spans, (len(lines) + 1, len(lines), None, "")]:
         between = "".join(lines[at - 1 : start - 1])
         if between.strip():

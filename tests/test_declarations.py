@@ -107,3 +107,11 @@ def test_chunks_keep_every_line(spark):
     assert {(r.symbol, r.kind) for r in got if r.id == 9} == {(None, "line_window"), ("f", "function")}
     assert {r.kind for r in got if r.id in (4, 7)} == {"line_window"}
     assert all(r.token_count <= 40 for r in got)
+
+
+def test_lines_of_other_breaks(spark):
+    rows = [(1, "x = 1\rdef f():\r    pass\ny = '\x0c'\r\nz = 3", "python"), (2, "var a\r\nfunction f() {\r\n}\r\nvar b", "javascript")]
+    got = chunks.source_chunks(spark.createDataFrame(rows, "id int, text string, lang string"), "id", "text", "lang").collect()
+    assert {(r.id, r.content) for r in got if r.kind == "function"} == {(1, "def f():\r    pass\n"), (2, "function f() {\r\n}\r\n")}
+    for i, text, _ in rows:
+        assert "".join(r.content for r in sorted((r for r in got if r.id == i), key=lambda r: r.start_line)) == text
