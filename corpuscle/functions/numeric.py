@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,9 +102,18 @@ def survival(q: Column, t: Column) -> Column:
 
 
 def percentile_ms(q: Column, quantile: float, steps: int = 80) -> Column:
-    """Time that a share of requests does not exceed, by bisection of ``survival``; a fixed resource's is its time."""
+    """Time that a share of requests does not exceed, by bisection of ``survival``; a fixed resource's is its time.
+
+    The queue is bound once a row, not worked out anew at each step. ``predict.with_percentile`` does the same for batches.
+    """
+    return F.transform(F.array(q), lambda held: _percentile_ms(held, quantile, steps))[0]
+
+
+def _percentile_ms(q: Column, quantile: float, steps: int) -> Column:
     target = F.lit(1 - quantile)
-    high = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.greatest(q["total_ms"], F.lit(1.0)), lambda h, _: F.when(survival(q, h) > target, h * 2).otherwise(h))
+    # total_ms is the mean, so that survival at total_ms / (1 - quantile) is at most the target
+    doublings = min(200, math.ceil(-math.log2(1 - quantile)) + 2) if 0 < quantile < 1 else 200
+    high = F.aggregate(F.sequence(F.lit(1), F.lit(doublings)), F.greatest(q["total_ms"], F.lit(1.0)), lambda h, _: F.when(survival(q, h) > target, h * 2).otherwise(h))
     start = F.struct(F.lit(0.0).alias("lo"), high.alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:

@@ -76,7 +76,8 @@ def m2_m4_queue(spark, d):
 def m5_m6_percentile(spark, d):
     rows = _load(spark, d).withColumns({"arrival_rps": F.col("arrival_rps") / 10, "servers": F.lit(1)})
     rows = rows.withColumn("q", numeric.queue(F.col("service_ms"), F.col("arrival_rps"), F.col("servers")))
-    return rows.select("id", F.when(~F.col("q.saturated"), F.round(numeric.percentile_ms(F.col("q"), 0.95), 3)).alias("p95_ms"), F.col("q.saturated"))
+    rows = predict.with_percentile(rows.select("id", "q"), "q", 0.95, "p95")
+    return rows.select("id", F.when(~F.col("q.saturated"), F.round("p95", 3)).alias("p95_ms"), F.col("q.saturated"))
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_acctbal <= 0 THEN 0.0 WHEN s_suppkey % 10 <> 0 THEN s_acctbal / (0.1 * (1 + s_suppkey % 7)) END AS rps FROM supplier")
