@@ -95,7 +95,7 @@ def _declared_chunks(source: str, language: str, most: int) -> Iterator[tuple]:
     """Chunks along declarations, the lines between them by windows; windows alone if the file cannot be made out."""
     try:
         spans = _python_spans(source) if language == "python" else declarations.spans(source, language)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last is the parser's own depth limit
         spans = []
     # lines as the parser counts them
     lines, at = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+" if language == "python" else r"[^\n]*\n|[^\n]+", source), 1

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
+from corpuscle.operators import chunks
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,11 @@ def test_percentiles_are_solved_in_batches(spark):
     for share in (0.5, 0.95, 0.9999):
         got = rows.select("ms", numeric.percentile_ms(F.col("q"), share).alias("p")).collect()
         assert all(math.isclose(r.p, -math.log(1 - share) / (1 / r.ms - 0.005), rel_tol=1e-9) for r in got)
+
+
+def test_source_too_deep_for_the_parser_is_cut_by_lines(spark):
+    deep = "not " * 20000 + "x\nprint(1)\n"
+    df = spark.createDataFrame([(1, deep, "python"), (2, "import a\n", "python")], "id int, text string, lang string")
+    got = chunks.source_chunks(df, "id", "text", "lang").collect()
+    assert {r.kind for r in got if r.id == 1} == {"line_window"} and "".join(r.content for r in got if r.id == 1) == deep
+    assert [r.kind for r in got if r.id == 2] == ["imports"]
