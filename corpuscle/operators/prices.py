@@ -56,9 +56,11 @@ def offered_products(products: DataFrame, slices: list[Slice], regions: list[str
 def first_tier(terms: DataFrame) -> DataFrame:
     """sku, unit, usd: of each sku's terms the least code, and of that the dimension that begins lowest (null: 0).
 
-    terms: sku, term, begin, unit, usd. One aggregate with a partial stage, however many terms a sku has.
+    terms: sku, term, begin, unit, usd; columns beyond these part terms that are alike so far, in their order, and then
+    usd and unit do. One aggregate with a partial stage, however many terms a sku has.
     """
-    place = F.struct(F.col("term").cast("string"), F.coalesce(F.col("begin").cast("double"), F.lit(0.0)))
+    further = [c for c in terms.columns if c not in ("sku", "term", "begin", "unit", "usd")]
+    place = F.struct(F.col("term").cast("string"), F.coalesce(F.col("begin").cast("double"), F.lit(0.0)).alias("begin"), *further, "usd", "unit")
     return terms.groupBy("sku").agg(F.min_by(F.struct("unit", "usd"), place).alias("t")).select("sku", "t.*")
 
 

@@ -60,7 +60,7 @@ QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey::VARCHAR,
 SELECT unnest(services) AS service, region, sku, usage_type, unit, usd, kept FROM o JOIN t USING (sku) WHERE unit IS NOT NULL""")
 def d21_price_rates(spark, d):
     unit = F.when(F.col("l_returnflag") == "R", "Hours").when(F.col("l_returnflag") == "A", "GB-Month").otherwise("Quantity")
-    terms = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("sku"), F.col("l_orderkey").alias("term"), F.col("l_linenumber").alias("begin"), unit.alias("unit"), F.col("l_extendedprice").alias("usd"))
+    terms = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("sku"), F.col("l_orderkey").alias("term"), F.col("l_linenumber").alias("begin"), unit.alias("unit"), F.col("l_extendedprice").alias("usd"), "l_returnflag")
     rates = prices.price_rates(_products(spark, d), terms, _SLICES, _REGIONS)
     return rates.select("service", "region", "sku", "usage_type", "unit", "usd", _kept(F.col("attributes")))
 
