@@ -129,7 +129,7 @@ def _percentile_ms(q: Column, quantile: float, steps: int) -> Column:
 def breaking_rate(usage, limit: Column) -> Column:
     """Least request rate at which ``usage(rate)``, which never falls, reaches a limit.
 
-    0 if it does at rest, null if not even at the ceiling; else the upper end of a bracket no wider than the tolerance.
+    0 if it does at rest, null if not even at the ceiling or the limit is null; else the upper end of a bracket no wider than the tolerance.
     """
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(RPS_CEILING).alias("hi"))
 
@@ -139,7 +139,7 @@ def breaking_rate(usage, limit: Column) -> Column:
         return F.struct(F.when(done | reached, s["lo"]).otherwise(mid).alias("lo"), F.when(done | ~reached, s["hi"]).otherwise(mid).alias("hi"))
 
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, halve)
-    return F.when(usage(F.lit(RPS_CEILING)) < limit, F.lit(None).cast("double")).when(usage(F.lit(0.0)) >= limit, 0.0).otherwise(ends["hi"])
+    return F.when(limit.isNull() | (usage(F.lit(RPS_CEILING)) < limit), F.lit(None).cast("double")).when(usage(F.lit(0.0)) >= limit, 0.0).otherwise(ends["hi"])
 
 
 def little(rps: Column, seconds: Column) -> Column:

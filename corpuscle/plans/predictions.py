@@ -83,9 +83,9 @@ def m5_m6_percentile(spark, d):
 @query("SELECT s_suppkey AS id, CASE WHEN s_acctbal <= 0 THEN 0.0 WHEN s_suppkey % 10 <> 0 THEN s_acctbal / (0.1 * (1 + s_suppkey % 7)) END AS rps FROM supplier")
 def m8_breaking_rate(spark, d):
     """The bracket's upper end is at most its tolerance above the exact rate; the exact rate is given where it is."""
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when((F.col("s_suppkey") % 10 == 0) & (F.col("s_acctbal") > 0), 1e12).otherwise(F.col("s_acctbal").cast("double")).alias("limit"), (0.1 * (1 + F.col("s_suppkey") % 7)).alias("slope"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when((F.col("s_suppkey") % 10 == 0) & (F.col("s_acctbal") > 0), 1e12).otherwise(F.col("s_acctbal").cast("double")).alias("limit"), ((1 + F.col("s_suppkey") % 7) / 10.0).alias("slope"))
     found, exact = numeric.breaking_rate(lambda rps: rps * F.col("slope"), F.col("limit")), F.col("limit") / F.col("slope")
-    return rows.select("id", F.when((found - exact).between(-1e-6, numeric.RPS_TOLERANCE + 1e-6), exact).otherwise(found).alias("rps"))
+    return rows.select("id", F.when((found > 0) & (found - exact).between(-1e-6, numeric.RPS_TOLERANCE + 1e-6), exact).otherwise(found).alias("rps"))
 
 
 @query("SELECT s_suppkey AS id, floor((1 - (0.9 + s_suppkey % 100 / 1000.0)) * 43200 * 10 + 0.5) / 10 AS downtime, floor((s_acctbal + 1000) * 100 + 0.5) / 100 AS usd FROM supplier")

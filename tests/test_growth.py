@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
-from corpuscle.operators import chunks
+from corpuscle.operators import chunks, prices, relational
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,37 @@ def test_source_too_deep_for_the_parser_is_cut_by_lines(spark):
     got = chunks.source_chunks(df, "id", "text", "lang").collect()
     assert {r.kind for r in got if r.id == 1} == {"line_window"} and "".join(r.content for r in got if r.id == 1) == deep
     assert [r.kind for r in got if r.id == 2] == ["imports"]
+
+
+def test_containers_of_many_points_and_boxes(spark):
+    points = spark.range(400).select(F.col("id").alias("p"), (F.col("id") % 20 * 3.5).alias("x"), (F.col("id") % 3 * 9.0).alias("y"))
+    boxes = spark.range(300).select(F.col("id").alias("b"), (F.col("id") % 7 * 5.0).alias("x0"), (F.col("id") % 3 * 4.0).alias("y0"), (F.col("id") % 7 * 5.0 + F.col("id") % 11 * 6).alias("x1"), (F.col("id") % 5 * 5.0).alias("y1"), (F.col("id") % 40).alias("depth"))
+    holds = "x between x0 and x1 and y between y0 and y1"
+    want = points.join(boxes, F.expr(holds), "left").groupBy("p").agg(F.max_by("b", F.struct("depth", "b")).alias("b"))
+    got = relational.deepest_container(points, boxes, "p", "b", "depth", 10.0).select("p", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    many = relational.deepest_container(points.withColumns({"x": F.lit(1.0), "y": F.lit(1.0)}), boxes.withColumns({"x0": F.lit(0.0), "y0": F.lit(0.0), "x1": F.lit(5.0), "y1": F.lit(5.0)}), "p", "b", "depth", 10.0)
+    assert [r.b for r in many.select("b").distinct().collect()] == [279]
+    assert plan(many).split("Join Inner")[1].count("Aggregate") == 2
+
+
+def test_offered_pairs_are_not_shuffled(spark):
+    needs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, None)], "source int, need string")
+    nodes = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (4, "b"), (5, None)], "target int, offer string")
+    out = relational.offered(needs, nodes, F.lit(None).cast("boolean"), "need", "offer", "source", "target")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "a"), (2, 1, "a")]
+    assert "Aggregate" not in plan(out).split("Join Inner")[0] and plan(out).split("Join Inner")[1].count("Aggregate") == 2
+
+
+def test_terms_alike_are_parted_by_further_columns(spark):
+    terms = [("p", 1, 1, "Quantity", 5.0, "N"), ("p", 1, 1, "GB-Month", 9.0, "A"), ("p", 1, 1, "GB-Month", 7.0, "A"), ("p", 10, 0, "Hours", 1.0, "A"), ("q", 2, 1, "Hours", 3.0, "R"), ("q", 2, 1, "Quantity", 4.0, "N")]
+    for order in (terms, terms[::-1]):
+        rows = spark.createDataFrame(order, "sku string, term int, begin int, unit string, usd double, flag string")
+        assert sorted(map(tuple, prices.first_tier(rows).collect())) == [("p", "GB-Month", 7.0), ("q", "Quantity", 4.0)]
+
+
+def test_breaking_rate_of_limits_about_zero(spark, tmp_path):
+    kinds = spark.read.parquet(f"{SF}/supplier.parquet").schema
+    spark.createDataFrame([(1, "a", 0, -0.01), (2, "b", 0, 0.0), (6, "c", 0, 0.07), (13, "d", 0, None), (10, "e", 0, -0.05)], kinds).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.id: r.rps for r in catalog.QUERIES["m8_breaking_rate"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in (1, 2, 10, 13)] == [0.0, 0.0, 0.0, None] and abs(got[6] - 0.1) < 1e-9
