@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
+from corpuscle.operators.batches import in_batches
 
 GRID_POINTS, TAIL_MASS, SPAN = 1024, 1e-6, 4  # fixed values of the latency grid
 
@@ -105,8 +107,10 @@ def _mass(q, step: float) -> np.ndarray:
     return np.maximum(0, edges[:-1] - edges[1:])
 
 
-def convolve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distribution of a sum; what lies beyond the grid counts in its last bin."""
+def convolve(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Distribution of a sum; what lies beyond the grid counts in its last bin. None: no time as yet."""
+    if a is None:
+        return b
     full = np.convolve(a, b)
     out = full[:GRID_POINTS].copy()
     out[-1] += full[GRID_POINTS:].sum()
@@ -137,35 +141,43 @@ def path_latency(segments: DataFrame, path: str = "path") -> DataFrame:
 
     segments: path, pos, branch (null: in line; else the branches of one pos run in parallel), step, id, queue, p99.
     Times in line add up by convolution, parallel branches take the slowest; a mean in line is the sum of means, that of a
-    fan-out is read off the grid. A path's few resources are one function call, paths spread over tasks.
+    fan-out is read off the grid. A path's few resources are one row's work; paths spread over tasks, many to a batch.
     """
 
-    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "branch", "step"], kind="stable", na_position="first")
-        span = SPAN * rows["p99"].sum()
+    def compose(rows: list[dict]) -> list:
+        first = lambda v: (v is not None, v if v is not None else 0)
+        rows.sort(key=lambda r: (first(r["pos"]), first(r["branch"]), first(r["step"])))
+        span = SPAN * sum(r["p99"] for r in rows if r["p99"] is not None)
         step = (span if span > 0 else 1.0) / GRID_POINTS
-        total, mean = np.zeros(GRID_POINTS), 0.0
-        total[0] = 1
-        for _, part in rows.groupby("pos", sort=True):
-            if part["branch"].isna().all():
-                for q in part["queue"]:
-                    total, mean = convolve(total, _mass(pd.Series(q), step)), mean + q["total_ms"]
-                continue
+        mass = lambda r: _mass(SimpleNamespace(**r["queue"]), step)
+        total, mean = None, 0.0
+        for _, part in groupby(rows, key=lambda r: r["pos"]):
             branches = []
-            for _, b in part.groupby("branch", sort=True):
-                one = np.zeros(GRID_POINTS)
-                one[0] = 1
-                for q in b["queue"]:
-                    one = convolve(one, _mass(pd.Series(q), step))
-                branches.append(one)
-            most = slowest(branches) if len(branches) > 1 else branches[0]
-            total, mean = convolve(total, most), mean + float((most * (np.arange(GRID_POINTS) + 0.5)).sum() * step)
-        full = sorted(i for i, q in zip(rows["id"], rows["queue"], strict=True) if q["saturated"])
-        return pd.DataFrame({path: [key[0]], "mean_ms": [mean], **{f"p{round(100 * q)}_ms": [quantile(total, q, step)] for q in (0.5, 0.95, 0.99)}, "saturated": [full]})
+            for branch, inner in groupby(part, key=lambda r: r["branch"]):
+                one = None
+                for r in inner:
+                    if branch is None:
+                        total, mean = convolve(total, mass(r)), mean + r["queue"]["total_ms"]
+                    else:
+                        one = convolve(one, mass(r))
+                if one is not None:
+                    branches.append(one)
+            if branches:
+                most = slowest(branches) if len(branches) > 1 else branches[0]
+                total, mean = convolve(total, most), mean + float((most * (np.arange(GRID_POINTS) + 0.5)).sum() * step)
+        full = sorted(r["id"] for r in rows if r["queue"]["saturated"])
+        return [mean, *(quantile(total, q, step) for q in (0.5, 0.95, 0.99)), full]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [compose(rows) for rows in b.column(1).to_pylist()]
+            columns = [pa.array([x[k] for x in done], pa.float64() if k < 4 else pa.list_(pa.string())) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [path, "mean_ms", "p50_ms", "p95_ms", "p99_ms", "saturated"])
 
     kind = segments.schema[path].dataType.simpleString()
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work, not to be put together
-    return segments.repartition(parts, path).groupBy(path).applyInPandas(compose, f"{path} {kind}, mean_ms double, p50_ms double, p95_ms double, p99_ms double, saturated array<string>")
+    held = segments.repartition(parts, path).groupBy(path).agg(F.collect_list(F.struct("pos", "branch", "step", "id", "queue", "p99")).alias("held"))
+    return in_batches(held, solve, f"{path} {kind}, mean_ms double, p50_ms double, p95_ms double, p99_ms double, saturated array<string>")
 
 
 # -- capacity
