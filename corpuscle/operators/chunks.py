@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.operators import declarations
+from corpuscle.operators.batches import BATCH_BYTES, BATCH_ROWS, in_batches
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def _count(s: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(s))
+    return len(_TOKEN.findall(s))
 
 
 def line_windows(docs: DataFrame, id_col: str, text_col: str, lines: int, overlap: int = 0) -> DataFrame:
@@ -61,13 +63,32 @@ def token_chunks(docs: DataFrame, id_col: str, text_col: str, max_tokens: int =
     over tasks as they lie, without a shuffle. Null and empty texts give no chunk.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int32()]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *c) for i, t in zip(b[id_col], b[text_col], strict=True) if t for c in _greedy(t, max_tokens)]
-            yield pd.DataFrame(rows, columns=[id_col, "start_line", "end_line", "content", "token_count"])
+            chunks = ((k, *c) for k, t in enumerate(b.column(1).to_pylist()) if t for c in _greedy(t, max_tokens))
+            yield from _tables(b.column(0), chunks, 2, types, [id_col, "start_line", "end_line", "content", "token_count"])
 
-    return docs.select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, start_line int, end_line int, content string, token_count int")
+    return in_batches(docs.select(id_col, text_col), cut, f"{id_col} {kind}, start_line int, end_line int, content string, token_count int")
+
+
+def _tables(ids: pa.Array, rows: Iterable[tuple], content: int, types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows, their first field the place of their id, as batches of a bounded number of rows and bytes."""
+    types, held, size = [pa.int64(), *types], [], 0
+
+    def out() -> pa.RecordBatch:
+        place, *rest = (pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True))
+        return pa.RecordBatch.from_arrays([ids.take(place), *rest], names)
+
+    for r in rows:
+        held.append(r)
+        size += len(r[content + 1])
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 def _python_spans(source: str) -> list[tuple[int, int, str | None, str]]:
@@ -120,17 +141,20 @@ def source_chunks(files: DataFrame, id_col: str, text_col: str, language_col: st
     kind = files.schema[id_col].dataType.simpleString()
     names = [id_col, "start_line", "end_line", "symbol", "kind", "content", "token_count"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+
+    def of(texts: list[str | None], languages: list[str | None]) -> Iterator[tuple]:
+        for k, (t, lang) in enumerate(zip(texts, languages, strict=True)):
+            if t and (lang == "python" or lang in declarations.LANGUAGES):
+                yield from ((k, *c) for c in _declared_chunks(t, lang, max_tokens))
+            elif t:
+                yield from ((k, s, e, None, "line_window", c, n) for s, e, c, n in _greedy(t, max_tokens))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t, lang in zip(b[id_col], b[text_col], b[language_col], strict=True):
-                if t and (lang == "python" or lang in declarations.LANGUAGES):
-                    rows += [(i, *c) for c in _declared_chunks(t, lang, max_tokens)]
-                elif t:
-                    rows += [(i, s, e, None, "line_window", c, n) for s, e, c, n in _greedy(t, max_tokens)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.select(id_col, text_col, language_col).mapInPandas(cut, f"{id_col} {kind}, start_line int, end_line int, symbol string, kind string, content string, token_count int")
+            yield from _tables(b.column(0), of(b.column(1).to_pylist(), b.column(2).to_pylist()), 4, types, names)
+
+    return in_batches(files.select(id_col, text_col, language_col), cut, f"{id_col} {kind}, start_line int, end_line int, symbol string, kind string, content string, token_count int")
 
 
 def merge_small(chunks: DataFrame, group: str, order: str, parent: str, content: str, tokens: str, least: int, most: int) -> DataFrame:
