@@ -6,7 +6,6 @@ import ast
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,28 +159,43 @@ def source_chunks(files: DataFrame, id_col: str, text_col: str, language_col: st
 def merge_small(chunks: DataFrame, group: str, order: str, parent: str, content: str, tokens: str, least: int, most: int) -> DataFrame:
     """Joins each chunk below ``least`` tokens with the siblings that follow, up to ``most`` tokens.
 
-    Siblings share a non-null ``parent``. Where a merge ends depends on the ones before, so a file's chunks go to one
-    function call; a file is bounded by the size cap of the scan.
+    Siblings share a non-null ``parent``. Where a merge ends depends on the ones before, so a file's chunks are one row's
+    work, files many to a batch; a file is bounded by the size cap of the scan. A chunk's tokens are counted once.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        out, k = [], 0
+    def fold(rows: list[dict]) -> Iterator[dict]:
+        rows.sort(key=lambda r: (r[order] is None, r[order] if r[order] is not None else 0))
+        k = 0
         while k < len(rows):
-            now = rows.iloc[k].copy()
-            while now[tokens] < least and k + 1 < len(rows):
-                after = rows.iloc[k + 1]
-                joined = f"{now[content].rstrip()}\n{after[content]}"
-                n = _count(joined)
-                if pd.isna(now[parent]) or now[parent] != after[parent] or n > most:
+            now, n, held = rows[k], None, []
+            while now[tokens] is not None and now[tokens] < least and k + 1 < len(rows):
+                after = rows[k + 1]
+                if now[parent] is None or now[parent] != after[parent]:
                     break
-                now[content], now[tokens] = joined, n
+                # no token spans the line end between two chunks
+                n = (_count(now[content]) if n is None else n) + _count(after[content])
+                if n > most:
+                    break
+                held = held or [now[content]]
+                held[-1] = held[-1].rstrip()
+                if not held[-1]:
+                    held = ["\n".join(held).rstrip()]
+                held.append(after[content])
+                now[tokens] = n
                 k += 1
-            out.append(now)
+            if held:
+                now[content] = "\n".join(held)
+            yield now
             k += 1
-        return pd.DataFrame(out, columns=rows.columns)
 
-    return chunks.groupBy(group).applyInPandas(fold, chunks.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = pa.schema(list(b.schema.field(0).type.value_type))
+            for rows in b.column(0):
+                yield pa.RecordBatch.from_pylist(list(fold(rows.as_py())), schema=fields)
+
+    gathered = chunks.groupBy(F.col(group).alias("__g")).agg(F.collect_list(F.struct(*chunks.columns)).alias("__rows"))
+    return in_batches(gathered.select("__rows"), run, chunks.schema)
 
 
 def hashing_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:

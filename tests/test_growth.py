@@ -2,10 +2,11 @@
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
-from corpuscle.operators import chunks, prices, relational
+from corpuscle.operators import chunks, patches, prices, relational
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,31 @@ def test_breaking_rate_of_limits_about_zero(spark, tmp_path):
     spark.createDataFrame([(1, "a", 0, -0.01), (2, "b", 0, 0.0), (6, "c", 0, 0.07), (13, "d", 0, None), (10, "e", 0, -0.05)], kinds).write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r.id: r.rps for r in catalog.QUERIES["m8_breaking_rate"](spark, str(tmp_path)).collect()}
     assert [got[k] for k in (1, 2, 10, 13)] == [0.0, 0.0, 0.0, None] and abs(got[6] - 0.1) < 1e-9
+
+
+def test_groups_travel_many_to_a_batch(spark):
+    for name in ("w8_merge_small", "d3_d4_patches", "d14_path_latency"):
+        text = plan(catalog.QUERIES[name](spark, SF))
+        assert "MapInArrow" in text and "GroupsInPandas" not in text, name
+
+
+def test_chunks_leave_python_in_bounded_batches(spark):
+    for name in ("w7_token_chunks", "d19_declarations"):
+        assert "MapInArrow" in plan(catalog.QUERIES[name](spark, SF)), name
+    ids, rows = pa.array([7, 8]), [(k % 2, 1, 1, "x" * 3000, 1) for k in range(2000)]
+    out = list(chunks._tables(ids, iter(rows), 2, [pa.int32(), pa.int32(), pa.string(), pa.int32()], ["id", "a", "b", "content", "n"]))
+    assert sum(b.num_rows for b in out) == 2000 and max(b.num_rows for b in out) <= 500 and out[0].column(0).to_pylist()[:2] == [7, 8]
+
+
+def test_merge_small_by_hand(spark):
+    rows = [(1, 1, "p", "a ", 1), (1, 2, "p", "  ", 0), (1, 3, "p", "b c", 2), (1, 4, None, "d", 1), (1, 5, None, "e", 1), (2, 9, "q", "x y z", 3), (2, 8, "q", "w", 1), (None, 1, "r", "v", 1)]
+    df = spark.createDataFrame(rows, "doc int, line int, parent string, content string, tokens int")
+    got = {tuple(r) for r in chunks.merge_small(df, "doc", "line", "parent", "content", "tokens", 3, 4).collect()}
+    assert got == {(1, 1, "p", "a\nb c", 3), (1, 4, None, "d", 1), (1, 5, None, "e", 1), (2, 8, "q", "w\nx y z", 4), (None, 1, "r", "v", 1)}
+
+
+def test_patches_of_null_and_lone_keys(spark):
+    docs = spark.createDataFrame([(1, '{"nodes": [{"id": "a", "kind": "vpc"}]}'), (None, "{}"), (3, "{}")], "doc int, document string")
+    ops = spark.createDataFrame([(1, 2, '{"op": "remove_node", "nodeId": "a"}'), (1, 1, '{"op": "set_param", "nodeId": "a", "param": "p", "value": 1}'), (9, 1, "{}")], "doc int, pos int, op string")
+    got = {r.doc: (len(r.inverse), r.touched, r.problem) for r in patches.apply_patches(docs, ops).collect()}
+    assert got == {1: (2, ["a"], None), None: (0, [], None), 3: (0, [], None)}
