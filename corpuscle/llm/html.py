@@ -6,7 +6,7 @@ import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -16,14 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscle.llm.common import in_batches, keep, smallest_hashes
+from corpuscle.llm.common import in_batches, keep
 
-#: Pages of a host that its wrapper is inferred from.
-SAMPLE_PAGES = 10
-#: Longer pages are no part of that sample; like all others they are read whole.
-SAMPLE_CHARS = 200_000
-#: Pages of more tokens, once folded, are not aligned.
-SAMPLE_TOKENS = 3000
+#: Longer pages, and those of more tokens once folded, are not aligned: their own places of text are slots as they stand.
+ALIGNED_CHARS = 200_000
+ALIGNED_TOKENS = 3000
+#: How many wrappers of a host one task aligns at a time, about.
+ALIGNED_AT_ONCE = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
 _RAW = re.compile(r"script|style|noscript|template|iframe|textarea|svg|math|object|title|xmp|noembed", re.I)
@@ -124,8 +123,12 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """Text blocks in page order: path of open tags, whether a part outside the main text is open, text."""
+    return _blocks(events(page))
+
+
+def _blocks(run: Iterable[tuple[str, str, bool]]) -> list[tuple[tuple[str, ...], bool, str]]:
     out, path, outside = [], [], []
-    for kind, what, off in events(page):
+    for kind, what, off in run:
         if kind == "open":
             path.append(what)
             outside.append(off or bool(outside and outside[-1]))
@@ -143,7 +146,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
 
 def stream(page: str) -> list[str]:
     """The token stream of a page for alignment; inline tags belong to their text."""
-    return [f"<{what}>" if kind == "open" else f"</{what}>" if kind == "close" else "=" + what for kind, what, _ in events(page)]
+    return list(map(_token, events(page)))
+
+
+def _token(event: tuple[str, str, bool]) -> str:
+    kind, what, _ = event
+    return f"<{what}>" if kind == "open" else f"</{what}>" if kind == "close" else "=" + what
 
 
 def _shape(token) -> str:
@@ -233,15 +241,24 @@ def align(wrapper: list, page: list) -> list:
     return out
 
 
-def infer(pages: list[str]) -> list:
-    """A wrapper for pages of one host: their folded streams aligned one after the other, but for those too long to align."""
+def merged(wrappers: list[list]) -> tuple[list, list[list]]:
+    """One wrapper for some of one host, aligned one after the other, and those set aside as they would be too long to align."""
     wrapper: list | None = None
-    for page in pages:
-        seq = fold(stream(page))
-        if len(seq) > SAMPLE_TOKENS or len(wrapper or ()) > 2 * SAMPLE_TOKENS:
+    aside = []
+    for seq in wrappers:
+        if len(seq) > ALIGNED_TOKENS:
+            aside.append(seq)
             continue
+        if len(wrapper or ()) > 2 * ALIGNED_TOKENS:
+            aside.append(wrapper)
+            wrapper = None
         wrapper = seq if wrapper is None else fold(align(wrapper, seq))
-    return wrapper or []
+    return wrapper or [], aside
+
+
+def infer(pages: list[str]) -> list:
+    """A wrapper for pages of one host, but for those too long to align."""
+    return merged([fold(stream(page)) for page in pages])[0]
 
 
 def slots(wrapper: list, path: list[str] | None = None) -> Iterator[tuple[tuple[str, ...], str | None]]:
@@ -311,7 +328,7 @@ def summary(pages: list[str]) -> dict:
 
 
 class Wrapper:
-    """A host's wrapper as a page is read with it: what ``summary`` and ``templates`` found."""
+    """A host's wrapper as a page is read with it: what ``wrappers`` or ``summary`` found."""
 
     def __init__(self, learned: dict | None = None, template: Collection[int] = ()):
         learned = learned or {}
@@ -363,34 +380,133 @@ def main_text(page: str | None, learned: dict | None = None, template: Collectio
     return Wrapper(learned, template).text(page)[0]
 
 
-def templates(rows: DataFrame, host: str, html_col: str) -> DataFrame:
-    """host, __template (JSON list of hashes): places that more than half of a host's pages share, and three at least.
+def outline(page: str | None) -> tuple[int, str, list[dict], dict[int, tuple[str, ...]]]:
+    """What a page adds to its host's wrapper: a hash of its main text, its wrapper as JSON, its blocks, its paths by hash.
 
-    All pages count, those with the same main text once. Only hashes are grouped, by host and place: a host that
-    holds a third of all pages is as many entries as it has places. What is gathered a host is at most twice the
-    places of a page.
+    Blocks: at (hash of the path), place (of path and text), chars, out, first (1 at the first of its path); one for like blocks.
+    The wrapper: "w", the folded stream without texts, or "own", hashes of the slots of a page that is too long to align.
     """
+    page = page or ""
+    run = list(events(page))
+    found = _blocks(run)
+    paths: dict[int, tuple[str, ...]] = {}
+    rows: dict[tuple[int, bool], dict] = {}
+    hashes = {path: _key(*path) for path, _, _ in found}
+    for path, out, text in found:
+        at, place = hashes[path], _key(*path, text)
+        row = rows.setdefault((place, out), {"at": at, "place": place, "chars": 0, "out": out, "first": int(at not in paths)})
+        row["chars"] += len(text)
+        paths[at] = path
+    seq = fold([_token(e) if e[0] != "text" else "#" for e in run]) if len(page) <= ALIGNED_CHARS else None
+    shape = {"own": sorted(paths)} if seq is None or len(seq) > ALIGNED_TOKENS else {"w": seq}
+    return _key(*(text for _, out, text in found if not out)), json.dumps(shape), list(rows.values()), paths
+
+
+def _joined(shapes: Iterable[str]) -> str:
+    """Some wrappers of one host, as ``outline`` gives them, in one."""
+    held = [json.loads(x) for x in sorted(shapes)]
+    wrapper, aside = merged([x["w"] for x in held if x.get("w")])
+    own = {k for x in held for k in x.get("own", ())} | {_key(*path) for seq in aside for path, _ in slots(seq)}
+    return json.dumps({"w": wrapper, "own": sorted(own)})
+
+
+def _outlines(rows: DataFrame) -> DataFrame:
+    """``outline`` of every page; a task gives each wrapper and each path of a host once, and may give it again."""
+    names = ["__host", "__page", "__shape", "__blocks", "__paths", "__tokens"]
+    block = pa.list_(pa.struct([("at", pa.int64()), ("place", pa.int64()), ("chars", pa.int64()), ("out", pa.bool_()), ("first", pa.int64())]))
+    named = pa.list_(pa.struct([("at", pa.int64()), ("path", pa.string()), ("around", pa.string()), ("marked", pa.bool_())]))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[str, int]] = set()
         for b in batches:
-            pages = [places(p) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in pages], pa.int64()), pa.array([x for _, x in pages], pa.list_(pa.int64()))], [host, "__page", "__places"])
+            columns: list[list] = [[] for _ in names[1:]]
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                main, tokens_, held, paths = outline(page)
+                shape = _key(tokens_)
+                new = {at: p for at, p in paths.items() if (host, at) not in given}
+                told = [{"at": at, "path": json.dumps(p), "around": json.dumps(_around(p)), "marked": _marked(p)} for at, p in new.items()]
+                for column, x in zip(columns, (main, shape, held, told, None if (host, shape) in given else tokens_), strict=True):
+                    column.append(x)
+                if len(given) > 1 << 19:
+                    given.clear()
+                given.update((host, at) for at in new)
+                given.add((host, shape))
+            kinds = (pa.int64(), pa.int64(), block, named, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names)
+
+    schema = "__host string, __page long, __shape long, __blocks array<struct<at: long, place: long, chars: long, out: boolean, first: long>>, __paths array<struct<at: long, path: string, around: string, marked: boolean>>, __tokens string"
+    return keep(rows.select("__host", "__html").transform(in_batches, read, schema), "outlines")
+
+
+def _aligned(shapes: DataFrame) -> DataFrame:
+    """__host, __tokens: the wrappers of a host (``__host``, ``__shape`` a hash, ``__tokens``) in one.
+
+    Round by round about ``ALIGNED_AT_ONCE`` of them become one, dealt by hash, so that a host of many wrappers is many tasks'
+    and no task holds more than a few; rounds grow with the logarithm of the most that a host has.
+    """
+
+    def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        one = part["__tokens"].iloc[0] if len(part) == 1 else _joined(part["__tokens"])
+        return pd.DataFrame({"__host": [key[0]], "__shape": [_key(one)], "__tokens": [one]})
+
+    while True:
+        sizes = keep(shapes.groupBy("__host").agg(F.count("*").alias("__n")), "sizes")
+        if sizes.where("__n > 1").isEmpty():
+            return shapes.select("__host", "__tokens")
+        dealt = shapes.join(sizes, "__host").withColumn("__k", F.pmod("__shape", F.ceil(F.col("__n") / ALIGNED_AT_ONCE)))
+        shapes = keep(dealt.groupBy("__host", "__k").applyInPandas(join, "__host string, __shape long, __tokens string"), "shapes")
 
-    found = rows.select(host, html_col).transform(in_batches, hashed, f"{host} string, __page long, __places array<long>")
-    found = keep(found.groupBy(host, "__page").agg(F.any_value("__places").alias("__places")), "places")
-    sizes = keep(found.groupBy(host).agg(F.count("*").alias("__pages")).where("__pages > 2"), "sizes")
-    shared = found.select(host, F.explode("__places").alias("__place")).groupBy(host, "__place").agg(F.count("*").alias("__n")).where("__n > 2")
-    often = shared.join(sizes, host).where("2 * __n > __pages")
-    return often.groupBy(host).agg(F.to_json(F.sort_array(F.collect_list("__place"))).alias("__template"))
 
+def wrappers(rows: DataFrame) -> DataFrame:
+    """__host, __wrapper and __template of all hosts, from all their pages (``__host``, ``__html``), those with the same main text as one.
 
-def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    __template: places that more than half of a host's pages share, and three at least. __wrapper: as ``summary`` gives it,
+    with the template for fixed texts; slots are of the expression aligned from all pages. A path that a single page has is no
+    slot: its tags tell as much. What is counted is hashes, by host and place or path: a host that holds a third of all pages is
+    as many entries as it has places. What is gathered a host are its paths of two pages or more, and its template, at most twice the places of a page.
+    """
+    pages = _outlines(rows)
+    found = keep(pages.groupBy("__host", "__page").agg(F.min(F.struct("__shape", "__blocks")).alias("__f")).select("__host", "__f.*"), "places")
+    sizes = keep(found.groupBy("__host").agg(F.count("*").alias("__pages")), "sizes")
+    held = found.select("__host", F.explode("__blocks").alias("b")).select("__host", "b.*").groupBy("__host", "at", "place", "out")
+    held = keep(held.agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("first").alias("first")), "blocks")
+    often = held.where("not out and n > 2").join(sizes, "__host").where("2 * n > __pages").select("__host", "place")
+    template = often.groupBy("__host").agg(F.to_json(F.sort_array(F.collect_list("place"))).alias("__template"))
+    counts = held.join(often.withColumn("fixed", F.lit(True)), ["__host", "place"], "left").groupBy("__host", "at")
+    counts = counts.agg(F.sum(F.when(~F.col("out") & F.col("fixed").isNull(), F.col("chars")).otherwise(0)).alias("chars"), F.max("out").alias("out"), F.sum("first").alias("pages"))
+    names = pages.select("__host", F.explode("__paths").alias("p")).select("__host", "p.*").distinct()
+    paths = keep(counts.join(names, ["__host", "at"]), "paths")
+    marked = paths.groupBy("__host").agg(F.max(F.col("marked") & (F.col("chars") > 0)).alias("marked"))
+    root = paths.groupBy("__host", "around").agg(F.sum("chars").alias("chars")).groupBy("__host").agg(F.max(F.struct("chars", "around")).alias("r")).select("__host", F.col("r.around").alias("root"))
+    lists = paths.where("pages > 1").groupBy("__host").agg(F.to_json(F.collect_list(F.struct("path", "out"))).alias("known"))
+    tokens_ = pages.where("__tokens is not null").select("__host", "__shape", "__tokens").distinct()
+    several = found.select("__host", "__shape").distinct().join(sizes.where("__pages > 1").select("__host"), "__host", "left_semi")
+    shapes = _aligned(keep(several.join(tokens_, ["__host", "__shape"]), "shapes"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for yes, at, listed, shape in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                held, top = json.loads(shape or "{}"), tuple(json.loads(at))
+                known = {*held.get("own", ()), *(_key(*p) for p, _ in slots(held.get("w", [])))}
+                ruled: dict[bool, list[int]] = {True: [], False: []}
+                for row in json.loads(listed or "[]"):
+                    p = tuple(json.loads(row["path"]))
+                    if (k := _key(*p)) in known:
+                        ruled[not row["out"] and (_marked(p) if yes else p[: len(top)] == top)].append(k)
+                out.append(json.dumps({"main": sorted(ruled[True]), "other": sorted(ruled[False]), "fixed": [], "root": list(top), "marked": yes}))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(1)], ["__host", "__wrapper", "__template"])
+
+    every = marked.join(root, "__host").join(template, "__host", "left").join(lists, "__host", "left").join(shapes, "__host", "left")
+    every = every.select("__host", "__template", "marked", "root", "known", "__tokens")
+    return keep(every.transform(in_batches, learn, "__host string, __wrapper string, __template string"), "wrappers")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id column, url, text (main text, empty if none), n_chars (its code points), by_wrapper and by_tags of every page.
 
-    A host's wrapper is inferred from ``sample_pages`` of its pages of at most ``sample_chars`` characters, chosen by a
-    hash of the id, so that what one task aligns is bounded; places that most of its pages share are counted over all of
-    them. Every page of the host, however long, is then read whole by the wrapper's slots, in time linear in the page,
+    A host's wrapper is inferred from all of its pages (``wrappers``). Every page of the host, however long, is then read
+    whole by the wrapper's slots, in time linear in the page,
     wherever it lies: wrappers are small and joined by host, by broadcast while Spark finds them small and else by a join
     that may split a hot host. ``by_wrapper`` and ``by_tags`` count the blocks that slots decided and that only tags
     did. Null pages are empty, null urls are one host; repeated rows stay, other columns are ignored, an empty table
@@ -398,14 +514,7 @@ def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_col: str = "p
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col), F.col(url_col), host.alias("__host"), F.col(html_col).cast("string").alias("__html"))
-    short = rows.where(F.length("__html") <= sample_chars).select(id_col, "__host", "__html")
-    sample = smallest_hashes(short, ["__host"], id_col, sample_pages).select("__host", "__html")
-
-    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"__host": [key[0]], "__wrapper": [json.dumps(summary([p for p in part["__html"].sort_values() if p]))]})
-
-    wrappers = keep(sample.groupBy("__host").applyInPandas(learn, "__host string, __wrapper string"), "wrappers")
-    wrappers = keep(wrappers.join(templates(rows, "__host", "__html"), "__host", "left"), "wrappers")
+    learned = wrappers(rows)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     names = [id_col, url_col, "text", "n_chars", "by_wrapper", "by_tags"]
 
@@ -423,5 +532,5 @@ def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_col: str = "p
             numbers = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], slots_, tags)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), *numbers], names)
 
-    joined = rows.join(wrappers, "__host", "left").select(id_col, url_col, "__html", "__wrapper", "__template")
+    joined = rows.join(learned, "__host", "left").select(id_col, url_col, "__html", "__wrapper", "__template")
     return joined.transform(in_batches, read, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string, n_chars long, by_wrapper long, by_tags long")

@@ -473,6 +473,16 @@ def test_wrapper_slots_against_known_texts(spark):
     assert sum(r.by_tags for r in out) <= 0.02 * sum(r.by_wrapper for r in out)
 
 
+def test_wrapper_comes_from_all_pages(spark):
+    """A part that two of 300 pages of a host have is a slot as well, and so are those of pages too long to align."""
+    page = lambda k: f"<body><div class=top>m</div><article><h1>t {k}</h1><p>body {k}</p></article>{f'<div class=z><b>own {k}</b></div>' if k in (11, 222) else ''}</body>"
+    long = lambda k: "<body><article><p>x</p>" + "".join(f"<section class=c{k % 7}{j % 11}><p>w {j % 13} {k}</p></section>" for k in range(4000) for j in (k * k, k)) + f"<h5>end {k}</h5></article></body>"
+    rows = [(k, "http://all/", page(k)) for k in range(300)] + [(1000 + k, "http://long/", long(k)) for k in range(2)]
+    out = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r.by_tags == 0 and r.by_wrapper for r in out.values())
+    assert all(out[k].text == f"t {k}\nbody {k}" for k in range(300)) and out[1001].text.endswith("end 1")
+
+
 def test_fold_takes_units_of_any_length():
     unit = [t for k in range(20) for t in (f"<d{k}>", "=x", f"</d{k}>")]
     assert html.fold(unit * 3) == [["+", unit]]
