@@ -29,24 +29,31 @@ def expanded(edges: DataFrame, seeds: DataFrame, members: DataFrame, depth: int
     query the ``most`` nodes of greatest weight (then fewer hops, then smaller id), seeds included, are kept; seeds are not
     returned. score: weight / (1 + hops), and 0.5 more if node and seed share a community.
 
-    Each step joins on a node and keeps the best way to each node at once. No weight passes 1, so what comes after a
-    node never weighs more than it: a way whose weight lies below that of ``most`` other nodes of its seed is not walked further,
-    which changes no result. Rows with null query, ends or kinds of no weight take no part; repeated rows count once.
+    Each step joins on a node and keeps of each query the best way to each node at once: what goes on from a node goes on best
+    from its best way, as products of different weights of ``REACH`` with one weight differ. No weight passes 1, so seeds come first, ways
+    through another seed are no better than those that begin there, and a query with ``most`` seeds has no other node. A way whose weight lies
+    below that of ``most`` nodes known of its query is not walked further. None of this changes a result.
+    Rows with null query, ends or kinds of no weight take no part; repeated rows count once.
     """
     if not 0 <= depth <= 2:
         raise ValueError("depth must be from 0 to 2")
     one = edges.select("source", "target", weight_of(F.col("kind"), REACH).alias("w")).where("source is not null and target is not null and source <> target and w is not null")
-    step = one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "w")).groupBy("source", "target").agg(F.max("w").alias("w"))
-    starts = seeds.where("query is not null and node is not null").select("query", F.col("node").alias("seed")).distinct()
-    edge_of = starts.select("query", "seed", F.col("seed").alias("node"), F.lit(0).alias("hops"), F.lit(1.0).alias("weight"))
-    ways = edge_of
+    step = one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "w"))
+    starts = seeds.where("query is not null and node is not null").select("query", "node").distinct()
+    starts = starts.join(starts.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") < most), "query", "left_semi")
+    ways = starts.select("query", "node", F.col("node").alias("seed"), F.lit(0).alias("hops"), F.lit(1.0).alias("weight"))
+    edge_of = ways.withColumn("__least", F.lit(0.0))
     for hop in range(1, depth + 1):
-        if hop > 1:
-            heaviest = Window.partitionBy("query", "seed").orderBy(F.desc("weight"))
-            edge_of = edge_of.withColumn("__r", F.rank().over(heaviest)).where(F.col("__r") <= most).drop("__r")
-        out = edge_of.join(step, F.col("node") == F.col("source")).where("target <> seed")
-        edge_of = out.groupBy("query", "seed", F.col("target").alias("node")).agg(F.max(F.col("weight") * F.col("w")).alias("weight")).withColumn("hops", F.lit(hop))
-        ways = ways.unionByName(edge_of)
+        out = edge_of.join(step, F.col("node") == F.col("source")).withColumn("weight", F.col("weight") * F.col("w")).where(F.col("weight") >= F.col("__least"))
+        best = out.groupBy("query", F.col("target").alias("node")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "seed")).alias("b"))
+        best = best.join(starts, ["query", "node"], "left_anti").select("query", "node", F.col("b.seed").alias("seed"), F.lit(hop).alias("hops"), (-F.col("b.w")).alias("weight"))
+        if hop < depth:
+            best = _cut(best)
+        ways = ways.unionByName(best)
+        if hop < depth:  # weights are few: what is ranked is a row a query and weight
+            levels = ways.groupBy("query", "weight").agg(F.count("*").alias("n"))
+            least = levels.withColumn("n", F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("weight")))).where(F.col("n") >= most).groupBy("query").agg(F.max("weight").alias("__least"))
+            edge_of = best.join(least, "query", "left").withColumn("__least", F.coalesce("__least", F.lit(0.0))).where(F.col("weight") >= F.col("__least"))
     best = F.min(F.struct((-F.col("weight")).alias("w"), "hops", "seed"))
     found = ways.groupBy("query", "node").agg(best.alias("b"), F.min("hops").alias("hops"))
     found = found.select("query", "node", F.col("b.seed").alias("seed"), "hops", (-F.col("b.w")).alias("weight"))

@@ -1,12 +1,13 @@
 """Work that must grow no faster than its tables, and results on the inputs that showed otherwise."""
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
-from corpuscle.operators import chunks, patches, prices, relational, retrieval
+from corpuscle.operators import chunks, communities, patches, prices, relational, retrieval
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,13 @@ def test_bm25_gathers_no_lists(spark):
     asked = spark.createDataFrame([(7, ["a", "b"]), (8, ["z"])], "q int, w array<string>")
     out = retrieval.bm25(docs, asked, "id", F.col("t"), "q", F.col("w"), 5)
     assert "collect_list" not in plan(out) and [(r.q, r.id, r["rank"]) for r in out.orderBy("rank").collect()] == [(7, 1, 1), (7, 2, 2)]
+
+
+def test_expansion_keeps_one_way_a_query_and_node(spark):
+    """Nothing is grouped by seed, and a query of as many seeds as are kept walks nowhere."""
+    edges = spark.createDataFrame([(f"s{k}", f"p{j}", "calls" if (j + k) % 3 else "imports") for k in range(6) for j in range(9)], "source string, target string, kind string")
+    seeds = spark.createDataFrame([(1, f"s{k}") for k in range(6)] + [(2, "s0")], "query int, node string")
+    none = spark.createDataFrame([], "node string, community int")
+    out = communities.expanded(edges, seeds, none, most=6)
+    assert not re.search(r"Aggregate \[query#\d+, seed#", plan(out))
+    assert sorted((r.query, r.node, r.seed, r.hops, r.weight) for r in out.collect()) == [(2, f"p{j}", "s0", 1, 1.0) for j in (1, 2, 4, 5, 7)]
