@@ -6,13 +6,18 @@ Positions are relative to the parent in both forms, so that moving a container c
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from corpuscle.operators.graph import _cut, ancestors
+from corpuscle.operators.batches import BATCH_ROWS, in_batches
 from corpuscle.operators.layout import CLUSTER_HEIGHT, CLUSTER_WIDTH, SERVICE_X, SERVICE_Y
 
 #: What each kind of resource is drawn as. A subnet's tier picks its own; kinds not named have no shape.
@@ -50,11 +55,78 @@ def rounded(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
-def _chains(nodes: DataFrame) -> DataFrame:
-    """node and ancestor (doc, id), hops: of every node all that it stands in. Parents that no node declares are left out."""
-    key = lambda c: F.struct(F.col("doc"), F.col(c).alias("id"))
-    tree = nodes.select(key("id").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")).distinct()
-    return ancestors(tree, "node", "parent").select(F.col("node.doc").alias("doc"), F.col("node.id").alias("id"), F.col("ancestor.id").alias("ancestor"), "hops")
+def _documents(rows: DataFrame, of: Callable[[object, list[dict]], Iterator[dict]], schema: StructType) -> DataFrame:
+    """``of`` a doc and its rows for every document: one shuffle by document, sorted there, one document in Python at a time."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[dict]:
+            doc, held = None, []
+            for b in batches:
+                for row in b.to_pylist():
+                    if held and row["doc"] != doc:
+                        yield from of(doc, held)
+                        held = []
+                    doc = row["doc"]
+                    held.append(row)
+            if held:
+                yield from of(doc, held)
+
+        out = []
+        for row in found():
+            out.append(row)
+            if len(out) == BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return in_batches(rows.repartition("doc").sortWithinPartitions("doc"), run, schema)
+
+
+class Above(NamedTuple):
+    """What a node stands in: held, whether a cluster is above it; depth, levels above it; cyclic, whether its parents lead back to it."""
+
+    held: bool
+    depth: int
+    cyclic: bool
+
+
+def above(nodes: list[dict]) -> dict[object, Above]:
+    """``Above`` by id for the nodes of one document, in time linear in them where no id is repeated. Parents that no node
+    declares hold nothing; of a repeated id all parents count, and its depth is none."""
+    up: dict[object, set] = {}
+    for n in nodes:
+        if n["id"] is not None:
+            up.setdefault(n["id"], set()).update([] if n["parent"] is None else [n["parent"]])
+    clusters = {n["id"] for n in nodes if n["kind"] == "ecs_cluster"}
+    told: dict[object, Above] = {}
+    if any(len(x) > 1 for x in up.values()):
+        for start in up:
+            seen, level = set(), [start]
+            while level:
+                level = list({p for i in level for p in up.get(i, ())} - seen)
+                seen.update(level)
+            told[start] = Above(not clusters.isdisjoint(seen - {start}), 0, start in seen)
+        return told
+    parent = {i: next(iter(x), None) for i, x in up.items()}
+    for start in up:
+        way: dict[object, int] = {}
+        at = start
+        while at in parent and at not in told and at not in way:
+            way[at] = len(way)
+            at = parent[at]
+        path = list(way)
+        if at in way:  # a ring: each of its nodes stands in all others
+            ring = path[way[at] :]
+            inside = sum(i in clusters for i in ring)
+            told.update((i, Above(inside > (i in clusters), 0, True)) for i in ring)
+            path = path[: way[at]]
+        for i in reversed(path):
+            p = parent[i]
+            over = told.get(p, Above(False, 0, False))
+            told[i] = Above(False, 0, False) if p is None else Above(p in clusters or over.held, over.depth + 1, False)
+    return told
 
 
 def with_clusters(nodes: DataFrame) -> DataFrame:
@@ -62,11 +134,14 @@ def with_clusters(nodes: DataFrame) -> DataFrame:
 
     The service moves into the cluster and is placed from its origin. Done again, it changes nothing.
     """
-    nodes = _cut(nodes.select(NODE))
-    clusters = nodes.where("kind = 'ecs_cluster'").select("doc", F.col("id").alias("ancestor"))
-    held = _chains(nodes).join(clusters, ["doc", "ancestor"], "left_semi").select("doc", "id", F.lit(True).alias("held")).distinct()
-    rows = nodes.join(held, ["doc", "id"], "left")
-    alone = (F.col("kind") == "ecs_service") & F.col("held").isNull()
+    nodes = nodes.select(NODE)
+
+    def look(doc, part: list[dict]) -> Iterator[dict]:
+        found = above(part) if doc is not None else {}
+        return ({**n, "held": n["id"] in found and found[n["id"]].held} for n in part)
+
+    rows = _documents(nodes, look, StructType([*nodes.schema, StructField("held", BooleanType())]))
+    alone = (F.col("kind") == "ecs_service") & ~F.col("held")
     own, c = F.concat("id", F.lit("-cluster")), F.col
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
     none = F.lit(None)
@@ -76,34 +151,65 @@ def with_clusters(nodes: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.when(F.coalesce(alone, F.lit(False)), F.array(cluster, moved)).otherwise(F.array(node()))).alias("n")).select("n.*")
 
 
-def problems(nodes: DataFrame, edges: DataFrame, drawn: bool) -> DataFrame:
-    """doc, pointer, message: repeated ids, ends and parents that no node declares, edges from a node to itself, containment
-    cycles and, where it is to be ``drawn``, kinds without a shape."""
-    ids = nodes.select("doc", F.col("id").alias("known")).distinct()
-    say = lambda df, part, of, what: df.select("doc", F.concat(F.lit(f"/{part}/"), "id", F.lit(of)).alias("pointer"), F.lit(what).alias("message"))
-    lost = lambda df, c: df.where(F.col(c).isNotNull()).join(ids.withColumnRenamed("known", c), ["doc", c], "left_anti")
-    again = lambda df: df.groupBy("doc", "id").agg(F.count("*").alias("n")).where("n > 1")
-    out = say(again(nodes), "nodes", "", "repeated id").unionByName(say(again(edges), "edges", "", "repeated id"))
-    out = out.unionByName(say(lost(nodes, "parent"), "nodes", "/parent", "no such node"))
-    for end in ("source", "target"):
-        out = out.unionByName(say(lost(edges, end), "edges", f"/{end}", "no such node")).unionByName(say(edges.where(F.col(end).isNull()), "edges", f"/{end}", "no such node"))
-    out = out.unionByName(say(edges.where("source = target"), "edges", "", "from a node to itself"))
-    # a chain that closes comes to a node whose parent is the node it began with, or below it
-    chains = _chains(nodes)
-    parents = nodes.where("parent is not null").select("doc", F.col("id").alias("ancestor"), F.col("parent").alias("up"))
-    back = chains.join(parents, ["doc", "ancestor"]).where("up = id").select("doc", "id").unionByName(nodes.where("parent = id").select("doc", "id"))
-    out = out.unionByName(say(back.distinct(), "nodes", "/parent", "containment cycle"))
-    if drawn:
-        out = out.unionByName(say(nodes.where(service_of(F.col("kind"), F.col("tier")).isNull()), "nodes", "/kind", "no shape"))
-    return out.distinct()
+def problems(nodes: list[dict], edges: list[dict], over: dict[object, Above], drawn: bool) -> set[tuple[str, str]]:
+    """pointer, message for one document: repeated ids, ends and parents that no node declares, edges from a node to itself,
+    containment cycles and, where it is to be ``drawn``, kinds without a shape."""
+    ids, out = {n["id"] for n in nodes}, set()
+    for part, rows in (("nodes", nodes), ("edges", edges)):
+        out |= {(f"/{part}/{i}", "repeated id") for i, n in Counter(r["id"] for r in rows).items() if n > 1}
+    for n in nodes:
+        if n["parent"] is not None and n["parent"] not in ids:
+            out.add((f"/nodes/{n['id']}/parent", "no such node"))
+        if over[n["id"]].cyclic:
+            out.add((f"/nodes/{n['id']}/parent", "containment cycle"))
+        if drawn and n["kind"] not in SERVICE_BY_KIND:
+            out.add((f"/nodes/{n['id']}/kind", "no shape"))
+    for e in edges:
+        out |= {(f"/edges/{e['id']}/{end}", "no such node") for end in ("source", "target") if e[end] not in ids}
+        if e["source"] is not None and e["source"] == e["target"]:
+            out.add((f"/edges/{e['id']}", "from a node to itself"))
+    return out
+
+
+def _nulls_first(*values) -> tuple:
+    return tuple((x is not None, x if x is not None else 0) for x in values)
+
+
+def _in_order(nodes: list[dict], over: dict[object, Above], drawn: bool) -> list[dict]:
+    """Nodes of a sound document as they come in a drawing, or else by pos and part."""
+    if not drawn:
+        return sorted(nodes, key=lambda n: _nulls_first(n["pos"], n["part"], n["id"]))
+    first = {n["id"]: n["pos"] for n in nodes}
+    for n in sorted(nodes, key=lambda n: -over[n["id"]].depth):  # inner ones tell outer ones
+        p, pos = n["parent"], first[n["id"]]
+        if p is not None and pos is not None:
+            first[p] = pos if first[p] is None else min(first[p], pos)
+    return sorted(nodes, key=lambda n: _nulls_first(first[n["id"]], over[n["id"]].depth, n["pos"], n["id"]))
 
 
 def _sound(nodes: DataFrame, edges: DataFrame, drawn: bool) -> Drawing:
-    """What has no problem, and the problems. Rows without a doc or id are no one's."""
+    """What has no problem, with ``__place`` in its order, and the problems. Rows without a doc or id are no one's.
+
+    A document's nodes and edges meet in one shuffle, and are judged and put in order together.
+    """
     nodes, edges = nodes.where("doc is not null and id is not null"), edges.where("doc is not null and id is not null")
-    found = _cut(problems(nodes, edges, drawn))
-    bad = found.select("doc").distinct()
-    return Drawing(nodes.join(bad, "doc", "left_anti"), edges.join(bad, "doc", "left_anti"), found)
+    whole = lambda df, n, e: df.select("doc", n.alias("n"), e.alias("e"))
+    none = lambda df: F.lit(None).cast(df.schema)
+    rows = whole(nodes, F.struct(*nodes.columns), none(edges)).unionByName(whole(edges, none(nodes), F.struct(*edges.columns)))
+
+    def judge(doc, part: list[dict]) -> Iterator[dict]:
+        mine, lines = [r["n"] for r in part if r["n"] is not None], [r["e"] for r in part if r["e"] is not None]
+        over = above(mine)
+        if found := problems(mine, lines, over, drawn):
+            yield from ({"doc": doc, "pointer": p, "message": m} for p, m in sorted(found))
+            return
+        yield from ({"doc": doc, "n": n, "place": k + 1} for k, n in enumerate(_in_order(mine, over, drawn)))
+        yield from ({"doc": doc, "e": e, "place": k + 1} for k, e in enumerate(sorted(lines, key=lambda e: _nulls_first(e["pos"], e["id"]))))
+
+    schema = StructType([*rows.schema, StructField("place", IntegerType()), StructField("pointer", StringType()), StructField("message", StringType())])
+    judged = _documents(rows, judge, schema)
+    of = lambda k: judged.where(F.col(k).isNotNull()).select(f"{k}.*", F.col("place").alias("__place"))
+    return Drawing(of("n"), of("e"), judged.where("pointer is not null").select("doc", "pointer", "message"))
 
 
 def _placed(rows: DataFrame, *order) -> DataFrame:
@@ -117,25 +223,19 @@ def to_canvas(nodes: DataFrame, edges: DataFrame) -> Drawing:
     first. A missing position is 0; a size counts only if it is whole. A document with a problem is not drawn at all.
     """
     good = _sound(nodes, edges, True)
-    rows = good.nodes
-    chains = _chains(rows)
-    first = chains.join(rows.select("doc", "id", "pos"), ["doc", "id"]).groupBy("doc", F.col("ancestor").alias("id")).agg(F.min("pos").alias("__first"))
-    depth = chains.groupBy("doc", "id").agg(F.max("hops").alias("__depth"))
-    ordered = rows.join(first, ["doc", "id"], "left").join(depth, ["doc", "id"], "left")
-    ordered = _placed(ordered, F.least("pos", F.coalesce("__first", "pos")), F.coalesce("__depth", F.lit(0)), "pos")
     kind, tier = F.col("kind"), F.col("tier")
     whole = F.col("width").isNotNull() & F.col("height").isNotNull()
-    drawn = ordered.select(
-        "doc", "id", "place", shape_of(kind, tier).alias("shape"), "parent", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), F.when(whole, F.col("width")).alias("width"), F.when(whole, F.col("height")).alias("height"),
+    drawn = good.nodes.select(
+        "doc", "id", F.col("__place").alias("place"), shape_of(kind, tier).alias("shape"), "parent", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), F.when(whole, F.col("width")).alias("width"), F.when(whole, F.col("height")).alias("height"),
         "kind", "name", "tier", "params", service_of(kind, tier).alias("service"))
-    return Drawing(drawn, _placed(good.edges, "pos", "id"), good.problems)
+    return Drawing(drawn, good.edges.withColumn("place", F.col("__place")).drop("__place"), good.problems)
 
 
 def to_document(nodes: DataFrame, edges: DataFrame) -> Drawing:
     """Drawings as documents: places become whole numbers, and services without a cluster get theirs. ``place`` is the order, and ``pos``."""
     whole = nodes.withColumns({c: rounded(F.col(c)).cast("double") for c in ("x", "y", "width", "height")}).withColumn("pos", F.col("place"))
     good = _sound(with_clusters(whole), edges.withColumn("pos", F.col("place")), False)
-    return Drawing(_placed(good.nodes, "pos", "part").withColumn("pos", F.col("place")).drop("part"), good.edges, good.problems)
+    return Drawing(good.nodes.withColumns({"place": F.col("__place"), "pos": F.col("__place")}).drop("part", "__place"), good.edges.drop("__place"), good.problems)
 
 
 def normalised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,14 @@
 """Work that must grow no faster than its tables, and results on the inputs that showed otherwise."""
 
 import math
+import random
 import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
-from corpuscle.operators import chunks, communities, patches, prices, relational, retrieval
+from corpuscle.operators import canvas, chunks, communities, patches, prices, relational, retrieval
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +111,39 @@ def test_expansion_keeps_one_way_a_query_and_node(spark):
     out = communities.expanded(edges, seeds, none, most=6)
     assert not re.search(r"Aggregate \[query#\d+, seed#", plan(out))
     assert sorted((r.query, r.node, r.seed, r.hops, r.weight) for r in out.collect()) == [(2, f"p{j}", "s0", 1, 1.0) for j in (1, 2, 4, 5, 7)]
+
+
+def test_drawings_shuffle_a_document_once(spark):
+    for name in ("d5_canvas", "d5_problems", "d5_normalised", "d5_round_trip"):
+        text = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        assert "MapInArrow" in text and "ExistingRDD" not in text and text.count("Join") <= (name == "d5_round_trip") * 3, name
+
+
+def test_what_nodes_stand_in():
+    """Against a walk of its own from each node: deep chains, rings, ways into rings, lost parents, repeated ids."""
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        nodes = [{"id": k if rng.random() < 0.9 else 0, "parent": rng.choice([None, -1, *range(n)]), "kind": rng.choice(["ecs_cluster", "vpc"])} for k in range(n)]
+        up = {x["id"]: {y["parent"] for y in nodes if y["id"] == x["id"]} - {None} for x in nodes}
+        clusters = {x["id"] for x in nodes if x["kind"] == "ecs_cluster"}
+        for start, got in canvas.above(nodes).items():
+            seen, todo = set(), list(up[start])
+            while todo:
+                if (at := todo.pop()) not in seen:
+                    seen.add(at)
+                    todo += up.get(at, ())
+            assert got.cyclic == (start in seen) and got.held == bool((seen - {start}) & clusters)
+            if not any(len(x) > 1 for x in up.values()) and not any(k in up and k in _reach(up, k) for k in {start, *seen}):
+                assert got.depth == len(seen)
+    deep = [{"id": k, "parent": k - 1 if k else None, "kind": "vpc"} for k in range(50_000)]
+    assert canvas.above(deep)[49_999].depth == 49_999
+
+
+def _reach(up, start):
+    seen, todo = set(), list(up[start])
+    while todo:
+        if (at := todo.pop()) not in seen:
+            seen.add(at)
+            todo += up.get(at, ())
+    return seen
