@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ COMMON_SHINGLES = 1 << 17
 COUNTED_AT_ONCE = 1 << 20
 RARE = 8
 COUNTERS, PIECE = 1 << 19, 1 << 16
+#: The first blocks of an anchor, by which fingerprints in several lanes are dealt to groups, and up to how many shingles a text's
+#: parities in 128 slots, which could rule out no pair of longer ones, go with them. Neither sets a result.
+CELL_BLOCKS = 7
+SKETCHED = 256
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -70,8 +75,8 @@ def _own(fp: Column) -> tuple[Column, Column]:
     return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c)), a.bitwiseXOR(b).bitwiseOR(a.bitwiseXOR(c))
 
 
-def _anchors(fp: Column) -> Column:
-    """Anchors within reach of a fingerprint, as an array of longs.
+def _anchors(fp: Column, blocks: int = 21) -> Column:
+    """Anchors within reach of a fingerprint, or their first ``blocks``, as an array of longs.
 
     The covering code is 21 three-bit repetition codes side by side (the 64th bit is free): a point's own anchor
     takes the majority of each block, and every point is within one bit a block of it. One changed bit leaves the
@@ -80,7 +85,8 @@ def _anchors(fp: Column) -> Column:
     at two bits have a point between them, one bit from each; its anchor is in both arrays.
     """
     own, loose = _own(fp)
-    bit = [F.lit(1 << (3 * k)) for k in range(21)]
+    own = own.bitwiseAND(F.lit(sum(1 << (3 * k) for k in range(blocks))))
+    bit = [F.lit(1 << (3 * k)) for k in range(blocks)]
     return F.array_compact(F.array(own, *(F.when(loose.bitwiseAND(x) != 0, own.bitwiseXOR(x)) for x in bit)))
 
 
@@ -96,6 +102,78 @@ def fingerprint_links(fps: DataFrame, fp_col: str = "fp") -> DataFrame:
     return a.join(b, "anchor").where(close).select("a", "b").distinct()
 
 
+def _reached(fp: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of fingerprints, and the anchors within reach of each (``_anchors``) whose first ``CELL_BLOCKS`` blocks are ``cell``."""
+    low, first = np.uint64(_LOW), np.uint64(sum(1 << (3 * k) for k in range(CELL_BLOCKS)))
+    a, b, c = (fp >> np.uint64(k) & low for k in range(3))
+    own, loose = a & b | a & c | b & c, a ^ b | a ^ c
+    here = np.flatnonzero(own & first == np.uint64(cell))
+    beside = np.flatnonzero(own & first != np.uint64(cell))  # one of the first blocks is flipped, and no other
+    places, anchors = [here, beside], [own[here], own[beside] & ~first | np.uint64(cell)]
+    for k in range(CELL_BLOCKS, 21):
+        bit = np.uint64(1 << (3 * k))
+        free = here[loose[here] & bit != 0]
+        places.append(free)
+        anchors.append(own[free] ^ bit)
+    return np.concatenate(places), np.concatenate(anchors)
+
+
+def _close_pairs(fp: np.ndarray, of: np.ndarray, cell: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places a and b of fingerprints in different classes ``of`` at 2 or fewer differing bits that meet at an anchor of a cell, each
+    once, and that ``may`` does not rule out.
+
+    A class's fingerprints are not compared among themselves: however many they are, only those of others cost time.
+    """
+    who, anchor = _reached(fp, cell)
+    order = np.lexsort((of[who], anchor))
+    who, anchor = who[order], anchor[order]
+    new = np.r_[True, anchor[1:] != anchor[:-1]]
+    other = new | np.r_[True, of[who[1:]] != of[who[:-1]]]
+    ends = lambda starts: np.r_[np.flatnonzero(starts)[1:], len(who)][np.cumsum(starts) - 1]
+    i, j, end = np.arange(len(who)), ends(other), ends(new)
+    found = []
+    while len(i := i[more := j < end]):
+        j, end = j[more], end[more]
+        a, b = who[i], who[j]
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= 2
+        a, b = a[near], b[near]
+        good = may(a, b)
+        found.append(np.unique(np.minimum(a, b)[good] * len(fp) + np.maximum(a, b)[good]))
+        j = j + 1
+    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return pairs // len(fp), pairs % len(fp)
+
+
+def class_links(fps: DataFrame, least: float) -> DataFrame:
+    """Of lane, fp, class, rep, size, sketch_0 and sketch_1 (``_heads``; null: unknown), the reps u and v of all fingerprints of a
+    lane at 2 or fewer differing bits in different classes, but for texts whose size or sketch show that their shingles have no
+    Jaccard similarity of ``least``.
+
+    The covering is that of ``fingerprint_links``: what is within two bits meets at an anchor. Fingerprints are sent not to
+    single anchors but to cells, all anchors with some first blocks: 6 rows each on average, and not 17. A pair that meets in two
+    cells or lanes comes twice.
+    """
+    kind = fps.schema["rep"].dataType.simpleString()
+
+    def close(part: pa.Table) -> pa.Table:
+        rep = part["rep"].combine_chunks()
+        of = pc.coalesce(part["class"].combine_chunks(), rep).dictionary_encode().indices.to_numpy()
+        n, known = part["size"].to_numpy(), part["sketch_0"].is_valid().to_numpy()
+        odd = [part[k].fill_null(0).to_numpy() for k in ("sketch_0", "sketch_1")]
+
+        def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            unlike = sum(np.bitwise_count(x[a].view(np.uint64) ^ x[b].view(np.uint64)).astype(np.int64) for x in odd)
+            fit = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
+            return fit & (~(known[a] & known[b]) | (unlike <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-6))
+
+        a, b = _close_pairs(part["fp"].to_numpy().view(np.uint64), of, part["cell"][0].as_py(), may)
+        return pa.table({"u": rep.take(pa.array(a)), "v": rep.take(pa.array(b))})
+
+    alone = F.when(F.col("class") != F.col("rep"), F.col("class")).alias("class")
+    sent = fps.select("lane", F.explode(_anchors(F.col("fp"), CELL_BLOCKS)).alias("cell"), "fp", alone, "rep", "size", "sketch_0", "sketch_1")
+    return sent.groupBy("lane", "cell").applyInArrow(close, f"u {kind}, v {kind}")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents joined by chains of fingerprints at 2 or fewer differing bits.
 
@@ -142,12 +220,13 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     Every candidate pair is checked on distinct shingles of ``words`` words, by 48 bits of their hashes; texts with fewer
     words are one shingle.
 
-    Pairs are sought in three rounds, so that a large class costs a few pairs a text and not the square of its size. The
+    Pairs are sought in four rounds, so that a large class costs a few pairs a text and not the square of its size. The
     first takes SimHash of the set of words in several lanes: it ties a text to the least text of its fingerprint in each
     lane, and that one to the least text of the commonest fingerprint within two bits under the same anchor. The second
-    ties the texts that share a shingle of their prefixes to one of them, another for each shingle, in two turns. The third seeks
-    all pairs that share a prefix shingle early enough to overlap as the threshold asks, but only between classes still
-    apart; a pair within a class could join nothing.
+    ties the texts that share a shingle of their prefixes to one of them, another for each shingle, in two turns. The third
+    is the whole covering of SimHash: in each lane all fingerprints within two bits, but only between classes still apart
+    (``class_links``); a pair within a class could join nothing. The fourth seeks all pairs that share a prefix shingle early
+    enough to overlap as the threshold asks, again between classes still apart.
 
     Equal texts are one entry from the start. Null counts as empty, empty texts are one
     class, repeated rows stay, a null id gets the least id of its class; an empty table gives an empty one; other
@@ -177,7 +256,9 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     best = at.groupBy("lane", "anchor").agg(F.max(F.struct("n", "fp", "lo")).alias("best"))
     tied = at.join(best, ["lane", "anchor"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("best.fp"))) <= 2)
     links = similar(pair(ends, "rep", "lo").unionByName(pair(tied, "lo", F.col("best.lo"))).where("u <> v").distinct())
-    joined = keep(components(links, "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
+    named = lambda links: keep(components(links, "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
+    more = lambda links, joined: named(links.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))))
+    joined = named(links)
 
     hits = keep(_shared_prefixes(heads), "prefixes")
     of_class = lambda classes: hits.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
@@ -187,7 +268,12 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
         star = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min_by(F.struct("rep", "size", "class"), F.xxhash64(F.lit(turn), "rep", "shingle")).alias("star")).where("one <> other").select("shingle", "star")
         tied = met.join(star, "shingle").where((F.col("class") != F.col("star.class")) & fit(F.col("size"), F.col("star.size")))
         late = similar(pair(tied, "rep", F.col("star.rep")).distinct())
-        joined = keep(components(late.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep", "component": "class"}), "joined")
+        joined = more(late, joined)
+
+    told = heads.select("rep", F.struct("rep", "size", "sketch_0", "sketch_1").alias("one"))
+    in_lanes = first.join(told, "rep").join(joined, "rep", "left").select("one", F.coalesce("class", "rep").alias("class"), F.posexplode("fps").alias("lane", "fp"))
+    apart = class_links(in_lanes.groupBy("lane", "fp", "class").agg(F.min("one").alias("one")).select("lane", "fp", "class", "one.*"), least)
+    joined = more(similar(pair(apart, "u", "v").distinct()), joined)
 
     met = of_class(joined)
     mixed = met.groupBy("shingle").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("shingle")
@@ -196,8 +282,8 @@ def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes
     ahead = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
     enough = ahead >= least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-6
     apart = x.join(y, "shingle").where((F.col("rep_u") < F.col("rep_v")) & (F.col("class_u") != F.col("class_v")) & fit(F.col("size_u"), F.col("size_v")) & enough)
-    more = similar(apart.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct())
-    classes = keep(components(more.unionByName(joined.select(F.col("rep").alias("u"), F.col("class").alias("v"))), "u", "v").withColumnsRenamed({"node": "rep"}), "joined")
+    last = similar(apart.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct())
+    classes = more(last, joined).withColumnRenamed("class", "component")
     for done in (heads, hits, groups):
         if done.columns and not done.isEmpty():
             discard(spark, kept_path(done))
@@ -211,9 +297,9 @@ def _shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingles.shingle_hashes(w, min(words, max(1, len(w)))) >> np.uint64(16))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Of each of some slots, at least two for every hash and a power of two in all, whether an odd number of hashes falls there."""
-    slots = 64 << max(0, (2 * len(hashes) - 1).bit_length() - 6)
+def parities(hashes: np.ndarray, slots: int = 0) -> np.ndarray:
+    """Of each of some slots, if not told at least two for every hash and a power of two in all, whether an odd number of hashes falls there."""
+    slots = slots or 64 << max(0, (2 * len(hashes) - 1).bit_length() - 6)
     odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
 
@@ -294,7 +380,8 @@ def _counts(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """rep, size (of the text's set of shingles), parity (``parities`` of the set) and prefix (its first shingles) of each text, stored.
+    """rep, size (of the text's set of shingles), parity (``parities`` of the set), sketch_0 and sketch_1 (those in 128 slots, of sets of
+    at most ``SKETCHED``) and prefix (its first shingles) of each text, stored.
 
     Two sets with a Jaccard similarity of ``least`` or more share ``least`` of either at the fewest, so that if each
     is put in one order for all sets, the first n - ceil(least * n) + 1 of the n of either meet. Any order serves; this one
@@ -312,11 +399,12 @@ def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: s
         hot = usual + 8 * np.sqrt(usual + 1) + RARE
         limit = np.uint64(int(COUNTED * (1 << 48)))
         for b in batches:
-            sizes, odd, most, low, high, last = [], [], [], [], [], []
+            sizes, odd, sketches, most, low, high, last = [], [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = _shingles(t, words)
                 sizes.append(len(h))
                 odd.append(parities(h).tobytes())
+                sketches.append(parities(h, 128).view(np.int64).tolist() if len(h) <= SKETCHED else [None, None])
                 most.append(len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0)
                 at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
                 often = common[at] == h if len(common) else np.zeros(len(h), bool)
@@ -330,9 +418,10 @@ def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: s
                 high.append(h[counted <= hot][: most[-1]].view(np.int64))
                 last.append(np.concatenate([h[counted > hot], most_common])[: most[-1]].view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (low, high, last)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(most, pa.int32()), *lists], ["rep", "size", "parity", "most", "low", "high", "last"])
+            halves = [pa.array([x[k] for x in sketches], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), *halves, pa.array(most, pa.int32()), *lists], ["rep", "size", "parity", "sketch_0", "sketch_1", "most", "low", "high", "last"])
 
-    cuts = rows.transform(in_batches, cut, f"rep {kind}, size int, parity binary, most int, low array<long>, high array<long>, last array<long>")
+    cuts = rows.transform(in_batches, cut, f"rep {kind}, size int, parity binary, sketch_0 long, sketch_1 long, most int, low array<long>, high array<long>, last array<long>")
     whole = keep(cuts.join(reps.select("rep"), "rep", "left_semi"), "whole")
     entries = whole.select("rep", F.explode("low").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
@@ -340,7 +429,7 @@ def _heads(docs: DataFrame, reps: DataFrame, least: float, words: int, id_col: s
     of = lambda keep_: F.array_intersect(F.coalesce(F.filter("counts", keep_)["shingle"], F.array().cast("array<long>")), "low")
     every, rare = of(lambda x: F.lit(True)), of(lambda x: x["n"] <= RARE)
     ordered = F.concat(F.array_except("low", every), rare, "high", F.array_except(every, rare), "last")
-    heads = keep(whole.join(counts, "rep", "left").select("rep", "size", "parity", F.slice(ordered, F.lit(1), F.col("most")).alias("prefix")), "heads")
+    heads = keep(whole.join(counts, "rep", "left").select("rep", "size", "parity", "sketch_0", "sketch_1", F.slice(ordered, F.lit(1), F.col("most")).alias("prefix")), "heads")
     if not whole.isEmpty():
         discard(docs.sparkSession, kept_path(whole))
     return heads

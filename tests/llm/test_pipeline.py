@@ -135,3 +135,53 @@ def test_near_duplicate_work_grows_with_texts_that_share_words(spark, monkeypatc
         assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(m)} | {m: 0}
         made.append(sum(sizes))
     assert made[1] < 6 * made[0]
+
+
+def test_class_links_against_all_pairs(spark):
+    """Every two fingerprints of a lane within two bits and in different classes are linked, but for sizes and sketches that rule it out."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for lane in range(3):
+        for _ in range(12):
+            base = int(rng.integers(0, 1 << 63))
+            for _ in range(12):
+                fp = base
+                for bit in rng.choice(64, int(rng.integers(0, 3)), replace=False):
+                    fp ^= 1 << int(bit)
+                rep, sketch = len(rows), [int(x) for x in rng.integers(0, 1 << 40, 2)] if rng.random() < 0.5 else [None, None]
+                rows.append((lane, fp - (1 << 64) if fp >> 63 else fp, rep - rep % int(rng.choice([1, 2])), rep, int(rng.choice([40, 100, 104])), *sketch))
+    kinds = "lane int, fp long, class long, rep long, size int, sketch_0 long, sketch_1 long"
+    got = [tuple(sorted(r)) for r in simhash.class_links(spark.createDataFrame(rows, kinds), 0.8).collect()]
+    expected, ruled_out = set(), 0
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if a[0] == b[0] and a[2] != b[2] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 2:
+                unlike = sum((x ^ y).bit_count() for x, y in zip(a[5:], b[5:], strict=True)) if None not in (a[5], b[5]) else 0
+                if min(a[4], b[4]) >= 0.8 * max(a[4], b[4]) and 9 * unlike <= a[4] + b[4]:
+                    expected.add((b[3], a[3]))
+                else:
+                    ruled_out += 1
+    assert set(got) == expected and len(expected) > 300 and ruled_out > 300
+
+
+def test_simhash_alone_ties_all_groups_within_two_bits(spark, monkeypatch):
+    """Chains of edits, each text near the one before and not the commonest: the covering alone, without prefixes, finds all their links."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for chain in range(6):
+        w = [f"w{chain}x{k}" for k in rng.integers(0, 5000, 160)]
+        for _ in range(25):
+            w = list(w)
+            w[int(rng.integers(len(w)))] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(w))
+    monkeypatch.setattr(simhash, "_shared_prefixes", lambda heads: heads.selectExpr("0L shingle", "rep", "size", "0 place").where("false"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    sets = [shingles.shingle_set(shingles.words_of(t), 5) for t in texts]
+    lanes = [simhash.lanes_of(t, 8) for t in texts]
+    expected = {i: i for i in range(len(texts))}
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (np.bitwise_count(lanes[i] ^ lanes[j]) <= 2).any()]
+    for _ in texts:
+        for j, i in links:
+            expected[i] = expected[j] = min(expected[i], expected[j])
+    assert got == expected and len(set(expected.values())) < len(texts) / 2
