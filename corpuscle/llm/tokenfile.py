@@ -30,6 +30,8 @@ from corpuscle.llm.common import discard, in_batches, keep, kept_path, shared_pa
 PART_BYTES = 32 << 20
 #: Ids after which a block is closed; a block holds whole documents, so a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 19
+#: Words that a worker holds in one generation here, where nothing else holds its memory (``tokens.MAX_WORDS``): fewer are coded again.
+HELD_WORDS = 500_000
 
 _COLUMNS = ["key", "row", "ids", "counts"]
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # bytes of the four ranks of a control byte
@@ -72,7 +74,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.coder(tokenizer)
+        coder = tokens.coder(tokenizer, HELD_WORDS)
         kind = coder.kind if end_id < 1 << 16 else np.dtype("<u4")
         end = np.array([end_id], kind).tobytes()
         total, row = np.zeros(0, np.int64), TaskContext.get().partitionId() << 33

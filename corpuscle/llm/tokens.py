@@ -107,14 +107,14 @@ class WordCoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self._split(text))), self.kind)
 
 
-_CODERS: dict[str, WordCoder] = {}
+_CODERS: dict[tuple[str, int], WordCoder] = {}
 
 
-def coder(path: str) -> WordCoder:
+def coder(path: str, max_words: int = MAX_WORDS) -> WordCoder:
     """This worker's coder: a reused Python worker keeps it, with its words, from task to task."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    if (path, max_words) not in _CODERS:
+        _CODERS[path, max_words] = WordCoder(path, max_words)
+    return _CODERS[path, max_words]
 
 
 def default_tokenizer() -> str:

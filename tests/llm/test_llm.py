@@ -668,3 +668,14 @@ def test_long_varied_pages_fold_in_time():
     assert time.time() - began < 4 and seq
     rows = "".join(f"<tr><td>{k}</td><td><b>x</b></td></tr>" for k in range(500))
     assert len(html.fold(html.stream(f"<table>{rows}</table>"))) == 3
+
+
+def test_token_files_code_a_word_once_among_very_many():
+    """A worker that writes token files codes no word again after 400,000 others, and gives the ids that a short memory gives."""
+    path = tokens.default_tokenizer()
+    coder, short = tokens.WordCoder(path, tokenfile.HELD_WORDS), tokens.WordCoder(path, 1000)
+    texts = [" ".join("w" + "".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(start, start + 10_000)) for start in range(0, 400_000, 10_000)]
+    first = [coder.encode(t) for t in texts]
+    coder.tokenize = None
+    assert all(np.array_equal(coder.encode(t), x) for t, x in zip(texts, first, strict=True))
+    assert np.array_equal(short.encode(texts[0]), first[0]) and np.array_equal(short.encode(texts[-1]), first[-1])
