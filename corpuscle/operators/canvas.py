@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,35 +56,45 @@ def rounded(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
-def _documents(rows: DataFrame, of: Callable[[object, list[dict]], Iterator[dict]], schema: StructType) -> DataFrame:
-    """``of`` a doc and its rows for every document: one shuffle by document, sorted there, one document in Python at a time."""
-    arrow = to_arrow_schema(schema)
+def _documents(rows: DataFrame, of: Callable[[pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """``of`` whole documents' rows, a document's together: one shuffle by document, sorted there. Rows stay in Arrow; beside
+    a batch's own documents no more than the one that goes on into the next is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[dict]:
-            doc, held = None, []
-            for b in batches:
-                for row in b.to_pylist():
-                    if held and row["doc"] != doc:
-                        yield from of(doc, held)
-                        held = []
-                    doc = row["doc"]
-                    held.append(row)
-            if held:
-                yield from of(doc, held)
-
-        out = []
-        for row in found():
-            out.append(row)
-            if len(out) == BATCH_ROWS:
-                yield pa.RecordBatch.from_pylist(out, arrow)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, arrow)
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs = b.column("doc").to_pylist()
+            last = next((k for k in range(len(docs) - 1, 0, -1) if docs[k] != docs[k - 1]), 0)
+            if last or held and held[-1].column("doc")[-1].as_py() != docs[0]:
+                yield from of(pa.Table.from_batches([*held, b.slice(0, last)])).to_batches(BATCH_ROWS)
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from of(pa.Table.from_batches(held)).to_batches(BATCH_ROWS)
 
     return in_batches(rows.repartition("doc").sortWithinPartitions("doc"), run, schema)
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    """As ``to_pylist``, which is slow for strings."""
+    return column.to_numpy().tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
+def _by_document(rows: pa.Table, names: list[str], of: str | None = None) -> dict[object, list[dict]]:
+    """By doc the rows, or those where the struct ``of`` is not null, with these columns or fields alone and ``at``, their place in the table."""
+    place, found = range(rows.num_rows), {}
+    if of:
+        kept = rows.column(of).is_valid()
+        place, rows = pc.indices_nonzero(kept).to_pylist(), rows.filter(kept)
+    docs, names = _values(rows.column("doc")), [*names, "at"]
+    columns = [pc.struct_field(rows.column(of), c) if of else rows.column(c) for c in names[:-1]]
+    for doc, row in zip(docs, zip(*map(_values, columns), place, strict=True), strict=True):
+        found.setdefault(doc, []).append(dict(zip(names, row)))  # noqa: B905
+    return found
+
+
 class Above(NamedTuple):
     """What a node stands in: held, whether a cluster is above it; depth, levels above it; cyclic, whether its parents lead back to it."""
 
@@ -136,9 +147,13 @@ def with_clusters(nodes: DataFrame) -> DataFrame:
     """
     nodes = nodes.select(NODE)
 
-    def look(doc, part: list[dict]) -> Iterator[dict]:
-        found = above(part) if doc is not None else {}
-        return ({**n, "held": n["id"] in found and found[n["id"]].held} for n in part)
+    def look(rows: pa.Table) -> pa.Table:
+        held = [False] * rows.num_rows
+        for doc, own in _by_document(rows, ["id", "kind", "parent"]).items():
+            found = above(own) if doc is not None else {}
+            for n in own:
+                held[n["at"]] = n["id"] in found and found[n["id"]].held
+        return rows.append_column("held", pa.array(held, pa.bool_()))
 
     rows = _documents(nodes, look, StructType([*nodes.schema, StructField("held", BooleanType())]))
     alone = (F.col("kind") == "ecs_service") & ~F.col("held")
@@ -193,23 +208,47 @@ def _sound(nodes: DataFrame, edges: DataFrame, drawn: bool) -> Drawing:
     A document's nodes and edges meet in one shuffle, and are judged and put in order together.
     """
     nodes, edges = nodes.where("doc is not null and id is not null"), edges.where("doc is not null and id is not null")
-    whole = lambda df, n, e: df.select("doc", n.alias("n"), e.alias("e"))
-    none = lambda df: F.lit(None).cast(df.schema)
-    rows = whole(nodes, F.struct(*nodes.columns), none(edges)).unionByName(whole(edges, none(nodes), F.struct(*edges.columns)))
-
-    def judge(doc, part: list[dict]) -> Iterator[dict]:
-        mine, lines = [r["n"] for r in part if r["n"] is not None], [r["e"] for r in part if r["e"] is not None]
-        over = above(mine)
-        if found := problems(mine, lines, over, drawn):
-            yield from ({"doc": doc, "pointer": p, "message": m} for p, m in sorted(found))
-            return
-        yield from ({"doc": doc, "n": n, "place": k + 1} for k, n in enumerate(_in_order(mine, over, drawn)))
-        yield from ({"doc": doc, "e": e, "place": k + 1} for k, e in enumerate(sorted(lines, key=lambda e: _nulls_first(e["pos"], e["id"]))))
-
-    schema = StructType([*rows.schema, StructField("place", IntegerType()), StructField("pointer", StringType()), StructField("message", StringType())])
-    judged = _documents(rows, judge, schema)
-    of = lambda k: judged.where(F.col(k).isNotNull()).select(f"{k}.*", F.col("place").alias("__place"))
-    return Drawing(of("n"), of("e"), judged.where("pointer is not null").select("doc", "pointer", "message"))
+    keys = [c for c in nodes.columns if c in ("id", "pos", "part", "kind", "parent")]
+    ends = ["id", "pos", "source", "target"]
+
+    def together(part: list[str], line: list[str]) -> DataFrame:
+        n, e = (df.select(F.struct(*(c for c in df.columns if c in own and c != "doc")).alias("x")) for df, own in ((nodes, part), (edges, line)))
+        none = lambda df: F.lit(None).cast(df.schema["x"].dataType)
+        return nodes.select("doc", F.struct(*n.schema["x"].dataType.names).alias("n"), none(e).alias("e")).unionByName(edges.select("doc", none(n).alias("n"), F.struct(*e.schema["x"].dataType.names).alias("e")))
+
+    def judge(table: pa.Table, part: list[str], line: list[str]) -> Iterator[tuple[object, list[dict], list[dict], dict, set]]:
+        mine, lines = _by_document(table, part, "n"), _by_document(table, line, "e")
+        for doc in {**mine, **lines}:
+            own, out = mine.get(doc, []), lines.get(doc, [])
+            over = above(own)
+            yield doc, own, out, over, problems(own, out, over, drawn)
+
+    def placed(k: str) -> DataFrame:
+        """The nodes or edges of sound documents with ``__place``."""
+
+        def of(table: pa.Table) -> pa.Table:
+            at: list[int] = []
+            place: list[int] = []
+            for _, own, out, over, found in judge(table, keys, ends):
+                if not found:
+                    rows = _in_order(own, over, drawn) if k == "n" else sorted(out, key=lambda r: _nulls_first(r["pos"], r["id"]))
+                    at += (r["at"] for r in rows)
+                    place += range(1, len(rows) + 1)
+            return table.select(["doc", k]).take(pa.array(at, pa.int64())).append_column("place", pa.array(place, pa.int32()))
+
+        df, rows = {"n": nodes, "e": edges}[k], together(nodes.columns, edges.columns)
+        found = _documents(rows, of, StructType([rows.schema["doc"], rows.schema[k], StructField("place", IntegerType())]))
+        return found.select(*(c if c == "doc" else F.col(k)[c].alias(c) for c in df.columns), F.col("place").alias("__place"))
+
+    def told(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([{"doc": doc, "pointer": p, "message": m} for doc, *_, found in judge(table, part, line) for p, m in sorted(found)], arrow)
+
+    # problems need no more than who stands where
+    part, line = ["id", "kind", "parent"], ["id", "source", "target"]
+    rows = together(part, line)
+    schema = StructType([rows.schema["doc"], StructField("pointer", StringType()), StructField("message", StringType())])
+    arrow = to_arrow_schema(schema)
+    return Drawing(placed("n"), placed("e"), _documents(rows, told, schema))
 
 
 def _placed(rows: DataFrame, *order) -> DataFrame:

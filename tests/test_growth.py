@@ -119,6 +119,24 @@ def test_drawings_shuffle_a_document_once(spark):
         assert "MapInArrow" in text and "ExistingRDD" not in text and text.count("Join") <= (name == "d5_round_trip") * 3, name
 
 
+def test_problems_of_drawings_shuffle_no_more_than_they_need(spark):
+    scan = catalog.QUERIES["d5_problems"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "o_orderkey" in scan and "o_totalprice" not in scan
+
+
+def test_drawings_of_documents_longer_than_a_batch(spark):
+    kinds = "doc string, id string, pos int, kind string, name string, parent string, x double, y double, width double, height double, tier string, params string"
+    nodes = [(f"d{d}", f"n{k}", -k, "ecs_service", "N", f"n{k - 1}" if k else None, *[None] * 6) for d, n in enumerate((1, 1300, 2, 499, 1001)) for k in range(n)]
+    lines = [(f"d{d}", f"e{k}", k, "calls", f"n{k}", "n0" if d < 4 else "gone", None) for d, n in enumerate((2, 700, 2, 3, 600)) for k in range(1, n)]
+    df, edges = spark.createDataFrame(nodes, kinds), spark.createDataFrame(lines, "doc string, id string, pos int, kind string, source string, target string, label string")
+    drawing = canvas.to_canvas(df, edges.where("doc <> 'd0'"))
+    rows = {(r.doc, r.id): r.place for r in drawing.nodes.collect()}
+    assert rows == {(f"d{d}", f"n{k}"): k + 1 for d, n in enumerate((1, 1300, 2, 499)) for k in range(n)}
+    assert {(r.doc, r.place) for r in drawing.edges.collect()} == {(f"d{d}", k) for d, n in ((1, 700), (2, 2), (3, 3)) for k in range(1, n)}
+    assert {tuple(r) for r in drawing.problems.collect()} == {("d4", f"/edges/e{k}/target", "no such node") for k in range(1, 600)}
+    assert canvas.with_clusters(df).groupBy("doc", "kind").count().where("kind = 'ecs_cluster'").count() == 5
+
+
 def test_what_nodes_stand_in():
     """Against a walk of its own from each node: deep chains, rings, ways into rings, lost parents, repeated ids."""
     rng = random.Random(4)
