@@ -32,6 +32,9 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, lines: int, overla
 
 def _greedy(text: str, most: int, first: int = 1) -> Iterator[tuple[int, int, str, int]]:
     """Lines gathered while they stay within the budget; a longer line is cut into pieces, none of it lost."""
+    if text and (whole := _count(text)) <= most:  # no token spans a line's end
+        yield first, first + text.count("\n") - text.endswith("\n"), text, whole
+        return
     held, start, tokens = [], first, 0
     for k, line in enumerate(text.splitlines(keepends=True), first):
         n = _count(line)

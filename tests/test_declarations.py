@@ -109,6 +109,13 @@ def test_chunks_keep_every_line(spark):
     assert all(r.token_count <= 40 for r in got)
 
 
+def test_texts_within_the_budget_are_one_chunk():
+    for text in ("", "a", "a\n", "\n", "a\x0bb\x85c\r\nd\u2028e", "a b\n\nc\n"):
+        tokens = len(chunks._TOKEN.findall(text))
+        assert list(chunks._greedy(text, 6, 3)) == ([(3, 3 + text.count("\n") - text.endswith("\n"), text, tokens)] if text else [])
+    assert [c[:2] for c in chunks._greedy("a b\nc d\n", 3)] == [(1, 1), (2, 2)]
+
+
 def test_lines_of_other_breaks(spark):
     rows = [(1, "x = 1\rdef f():\r    pass\ny = '\x0c'\r\nz = 3", "python"), (2, "var a\r\nfunction f() {\r\n}\r\nvar b", "javascript")]
     got = chunks.source_chunks(spark.createDataFrame(rows, "id int, text string, lang string"), "id", "text", "lang").collect()
