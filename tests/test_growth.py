@@ -54,6 +54,23 @@ def test_offered_pairs_are_not_shuffled(spark):
     assert "Aggregate" not in plan(out).split("Join Inner")[0] and plan(out).split("Join Inner")[1].count("Aggregate") == 2
 
 
+def test_offered_pairs_come_in_tiles(spark):
+    """Files keep repeated values in little room: both ends come back after a few hundred rows, however many there are."""
+    needs = spark.range(620).select(F.concat(F.lit("s"), F.col("id") % 600).alias("source"), F.when(F.col("id") < 619, F.lit(7)).alias("need"))
+    nodes = spark.range(700).select(F.concat(F.lit("s"), F.col("id") % 650).alias("target"), F.when(F.col("id") % 100 > 0, F.lit(7)).alias("offer"))
+    last = F.substring("source", -1, 1), F.substring("target", -1, 1)
+    out = relational.offered(needs, nodes, last[0] == last[1], "need", "offer", "source", "target", last)
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    want = {(f"s{s}", f"s{t}", 7) for s in range(600) for t in {k % 650 for k in range(700) if k % 100} if s % 10 != t % 10}
+    assert sorted(tuple(r)[:3] for r in rows) == sorted(want)
+    for end in ("source", "target"):
+        seen, gaps = {}, []
+        for k, r in enumerate(rows):
+            gaps += [k - seen[r.task, r[end]]] if (r.task, r[end]) in seen else []
+            seen[r.task, r[end]] = k
+        assert sorted(gaps)[len(gaps) // 2] <= relational.TILE_TARGETS, end
+
+
 def test_terms_alike_are_parted_by_further_columns(spark):
     terms = [("p", 1, 1, "Quantity", 5.0, "N"), ("p", 1, 1, "GB-Month", 9.0, "A"), ("p", 1, 1, "GB-Month", 7.0, "A"), ("p", 10, 0, "Hours", 1.0, "A"), ("q", 2, 1, "Hours", 3.0, "R"), ("q", 2, 1, "Quantity", 4.0, "N")]
     for order in (terms, terms[::-1]):
