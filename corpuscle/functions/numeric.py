@@ -176,11 +176,15 @@ def rrf(ranks_and_weights: list[tuple[Column, float]], k: int = 60) -> Column:
     return sum((F.coalesce(F.lit(w) / (k + r), F.lit(0.0)) for r, w in ranks_and_weights), F.lit(0.0))
 
 
-def bm25_term(tf: Column, df: Column, docs: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
-    idf = F.log(1 + (docs - df + 0.5) / (df + 0.5))
+def bm25_weight(idf, tf, length, mean_length, k1: float = 1.2, b: float = 0.75):
+    """A term's part of a score; of columns, numbers or arrays."""
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
+def bm25_term(tf: Column, df: Column, docs: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    return bm25_weight(F.log(1 + (docs - df + 0.5) / (df + 0.5)), tf, length, mean_length, k1, b)
+
+
 def search_breadth(limit: Column) -> Column:
     """Candidates that an approximate index would look at for a limit."""
     return F.least(F.lit(400), F.greatest(F.lit(40), 4 * limit))

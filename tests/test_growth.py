@@ -4,11 +4,12 @@ import math
 import random
 import re
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuscle.functions import numeric
-from corpuscle.operators import canvas, chunks, communities, patches, prices, relational, retrieval
+from corpuscle.operators import canvas, chunks, communities, patches, postings, prices, relational, retrieval
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +121,46 @@ def test_bm25_gathers_no_lists(spark):
     assert "collect_list" not in plan(out) and [(r.q, r.id, r["rank"]) for r in out.orderBy("rank").collect()] == [(7, 1, 1), (7, 2, 2)]
 
 
+def test_bm25_leaves_words_where_they_lie(spark):
+    text = plan(catalog.QUERIES["m19_bm25"](spark, SF))
+    assert "MapInArrow" in text and not re.search("Generate|LogicalRDD|Repartition|Join", text)
+
+
+def test_bm25_of_ids_that_repeat_and_of_several_blocks(spark, tmp_path, monkeypatch):
+    """Against its SQL: copies, lone and empty texts, texts and queries of one id, few scores and few rows at once."""
+    rng = random.Random(9)
+    words = [f"{w}{n}" for n in range(12) for w in ("a", "é", "Z")]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    docs = [(n % 70, say(rng.choice([0, 1, 3, 3, 40]))) for n in range(90)] + [(71, None), (72, ""), (73, None), (73, "a1 a1 a2"), (None, "a3 Z4"), (None, "a3 a4 Z4")]
+    docs += [(100 - n, "a5 é6 Z7") for n in range(20)]
+    asked = [(n % 9, say(4)) for n in range(11)] + [(20, "a5 Z7 none"), (21, None), (22, "none"), (23, "a3 a4")]
+    for name, rows, kinds in (("documents", docs, "doc_id long, text string"), ("benchmark", asked, "item_id long, text string")):
+        spark.createDataFrame(rows, kinds).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(catalog.SQL["m19_bm25"]).fetchall()))
+    for terms in (postings.BLOCK_TERMS, 5):
+        monkeypatch.setattr(postings, "BLOCK_TERMS", terms)
+        assert sorted(repr(tuple(r)) for r in catalog.QUERIES["m19_bm25"](spark, str(tmp_path)).collect()) == want
+
+
+def test_bm25_of_few_scores_at_once(monkeypatch):
+    rng = random.Random(3)
+    texts = [[{"t": rng.choices("abcdef", k=rng.randrange(6))} for _ in range(rng.choice([1, 1, 1, 2]))] for _ in range(200)]
+    kind = pa.list_(pa.struct([("t", pa.list_(pa.string()))]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n, n + 40)), pa.array(texts[n : n + 40], kind)], ["id", "texts"]) for n in range(0, 200, 40)]
+    block = next(postings.blocks([(7, ["a", "b"]), (8, ["b", "c", "e"]), (9, ["f", "f"]), (10, ["z"])]))
+    block.weighed(dict(zip(*next(postings.counted(batches, block)).to_pydict().values())))
+    found = []
+    for cells in (postings.CELLS, 300, 1):
+        monkeypatch.setattr(postings, "CELLS", cells)
+        found.append([tuple(r.values()) for b in postings.best(batches, block, 5, pa.int64(), ["q", "id", "score"]) for r in b.to_pylist()])
+    assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == [7] * 5 + [8] * 5 + [9] * 5
+    everything = [tuple(r.values()) for b in postings.best(batches, block, 200, pa.int64(), ["q", "id", "score"]) for r in b.to_pylist()]
+    assert found[0] == [r for q in (7, 8, 9) for r in sorted((r for r in everything if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]]
+
+
 def test_expansion_keeps_one_way_a_query_and_node(spark):
     """Nothing is grouped by seed, and a query of as many seeds as are kept walks nowhere."""
     edges = spark.createDataFrame([(f"s{k}", f"p{j}", "calls" if (j + k) % 3 else "imports") for k in range(6) for j in range(9)], "source string, target string, kind string")
